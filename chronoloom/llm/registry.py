@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
+    "op2_bounded_space_packing": packing.op2_bounded_space_packing,
 }
 
 SQL: dict[str, str] = {}
