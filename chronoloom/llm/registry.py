@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import chat, licenses, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
     "op2_bounded_space_packing": packing.op2_bounded_space_packing,
+    "op5_positional_license_scan": licenses.op5_positional_license_scan,
+    "op10_perspective_rotation": chat.op10_perspective_rotation,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_perspective_rotation": chat.SQL_OP10,
+}
