@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, packing, sharding
+from . import chat, language, licenses, media, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
     "op2_bounded_space_packing": packing.op2_bounded_space_packing,
+    "op4_ppm_language_id": language.op4_ppm_language_id,
     "op5_positional_license_scan": licenses.op5_positional_license_scan,
+    "op7_media_tar_shards": media.op7_media_tar_shards,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
 }
 
