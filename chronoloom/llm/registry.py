@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, licenses, media, packing, sharding
+from . import chat, jaccard, language, licenses, media, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
     "op2_bounded_space_packing": packing.op2_bounded_space_packing,
+    "op3_jaccard_metric_join": jaccard.op3_jaccard_metric_join,
     "op4_ppm_language_id": language.op4_ppm_language_id,
     "op5_positional_license_scan": licenses.op5_positional_license_scan,
     "op7_media_tar_shards": media.op7_media_tar_shards,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_jaccard_metric_join": jaccard.SQL_OP3,
     "op10_perspective_rotation": chat.SQL_OP10,
 }
