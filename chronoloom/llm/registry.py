@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, licenses, media, packing, sharding
+from . import chat, chunks, jaccard, language, licenses, media, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ppm_language_id": language.op4_ppm_language_id,
     "op5_positional_license_scan": licenses.op5_positional_license_scan,
     "op7_media_tar_shards": media.op7_media_tar_shards,
+    "op8_substring_dedup": chunks.op8_substring_dedup,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
 }
 
