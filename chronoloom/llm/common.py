@@ -70,6 +70,17 @@ def byte_table(seed: int) -> np.ndarray:
         return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def slices(batches, column: int, most: int = 4 << 20):
+    """The batches in pieces of about ``most`` bytes of text (one text at least), so that memory doesn't follow the batch size."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(column))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of an Arrow string (or large string) array; nulls have length 0."""
     import pyarrow as pa

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunks, jaccard, language, licenses, media, packing, sharding
+from . import chat, chunks, decontaminate, jaccard, language, licenses, media, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_positional_license_scan": licenses.op5_positional_license_scan,
     "op7_media_tar_shards": media.op7_media_tar_shards,
     "op8_substring_dedup": chunks.op8_substring_dedup,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
 }
 
