@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ship, table, text_buffer
+from .common import cut, ship, slices, table, text_buffer
 
 CLASSES = 64
 #: Documents of the training sample, for each language.
@@ -112,7 +112,7 @@ def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, key: str = "doc_id
         import pyarrow as pa
 
         sums = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             bytes_, offsets = text_buffer(batch.column(1))
             found, of = codes(bytes_, offsets, classes), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             names = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
 
         m = sent.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for batch in batches:
+        for batch in slices(batches, len(schema) - 3):
             bytes_, offsets = text_buffer(batch.column("__text"))
             known = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), dtype=bool)
             bits = text_bits(bytes_, offsets, m)
