@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, ship, table, text_buffer
+from .common import cut, mix64, ship, slices, table, text_buffer
 from .components import components
 from .shingles import shingle_sets
 
@@ -139,20 +139,18 @@ def _sets_of(docs: DataFrame, size: int, percent: int, with_parts: bool) -> Data
         def digest(own):
             return np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                sets = shingle_sets(*text_buffer(batch.column(1)), size)
-                points = pa.array(np.array([digest(s) for s in sets], dtype=np.int64))
-                if with_parts:
-                    parts = [part_values(s, classes, percent) if len(s) else s for s in sets]
-                    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                    flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-                    columns = [pa.array([len(s) for s in sets], pa.int64()), points, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                    names = ["key", "n", "point", "parts"]
-                else:
-                    columns, names = [points, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "point", "set"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+        for batch in slices(batches, 1):
+            sets = shingle_sets(*text_buffer(batch.column(1)), size)
+            points = pa.array(np.array([digest(s) for s in sets], dtype=np.int64))
+            if with_parts:
+                parts = [part_values(s, classes, percent) if len(s) else s for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
+                columns = [pa.array([len(s) for s in sets], pa.int64()), points, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                names = ["key", "n", "point", "parts"]
+            else:
+                columns, names = [points, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "point", "set"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return docs.mapInArrow(run, f"key {kind}, n long, point long, parts array<long>" if with_parts else f"key {kind}, point long, set binary")
 
