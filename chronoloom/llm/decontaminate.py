@@ -11,7 +11,7 @@
 5. Around a candidate the longest common subsequence of words with the whole item is taken. SAME of the item's words in order
    is a copy. A paraphrase has LIKE of them and the answer too: the rarest ANSWER words of the item's last third.
 
-Words are runs of letters, digits and all bytes beyond ASCII, with A-Z lowered.
+Words are runs of letters, digits and all bytes beyond ASCII, in lower case.
 
 Defined cases: null or empty texts hold no words and match nothing, as items too; repeated rows are matched each on their own; items
 with equal texts all match; an empty table gives an empty result; other columns are not looked at.
@@ -36,9 +36,8 @@ CANDIDATE, SAME, LIKE, ANSWER = 0.15, 0.8, 0.55, 3
 BLOCK_WORDS = 200_000
 
 _INSIDE = np.zeros(256, dtype=bool)
-_INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _VALUE = byte_table(71)
-_VALUE[65:91] = _VALUE[97:123]
 
 
 def words(bytes_: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +264,7 @@ def leaks(
     spark = docs.sparkSession
     ship(spark)
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
     schema = f"key {kind}, item {item_kind}, word_start long, word_end long, shared_words long, item_words long, share double, cosine double"
 
     def search(block: Block) -> DataFrame:
@@ -299,7 +298,7 @@ def leaks(
 
     item_type = to_arrow_type(items.schema[item_key].dataType)
     result, waiting, size = None, [], 0
-    rows = items.select(F.col(item_key).alias("id"), F.col(item_text).alias("text")).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    rows = items.select(F.col(item_key).alias("id"), F.lower(item_text).alias("text")).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     parts = []
     for r in rows.toLocalIterator():
         waiting.append((r.id, r.text))
