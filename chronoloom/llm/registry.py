@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunks, decontaminate, jaccard, language, licenses, media, packing, sharding
+from . import chat, chunks, decontaminate, jaccard, language, licenses, media, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_metric_join": jaccard.op3_jaccard_metric_join,
     "op4_ppm_language_id": language.op4_ppm_language_id,
     "op5_positional_license_scan": licenses.op5_positional_license_scan,
+    "op6_forest_secret_scan": secrets.op6_forest_secret_scan,
     "op7_media_tar_shards": media.op7_media_tar_shards,
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
