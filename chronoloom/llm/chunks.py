@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of a text; where its middle bits are small, a chunk ends. The decision looks at the last WINDOW
 bytes only, so an insertion moves the cuts near it and no others, and a passage that stands in two texts is cut alike in both but
 for its edges. Chunks are compared by digest over the whole table. Neighbouring chunks that occur elsewhere too form a
-run; runs of LEAST bytes are repeated passages. The first occurrence of a chunk (least document, then place) is kept, the
+run; runs of LEAST bytes are repeated passages. The first occurrence of a chunk (in the order of the rows) is kept, the
 others are removable.
 
 The gear values are summed in halves (window 1, 2, 4, ...), so a batch costs a few array operations. The first
@@ -29,6 +29,7 @@ SHIFT, CUT_BELOW = 8, 11
 WINDOW = SHIFT + 8
 #: Longer chunks are split at multiples of this; shorter runs are not passages.
 MOST, LEAST = 1024, 96
+PACK = 2 * MOST
 
 _GEAR = (byte_table(41) >> np.uint64(40)).astype(np.uint32)
 _VALUE = byte_table(43)
@@ -62,7 +63,11 @@ def digests(bytes_: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def chunk_table(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, n, at, size, digest) of every chunk, written to the shared folder."""
+    """(row, key, place, mark, digest) of every chunk, written to the shared folder.
+
+    place is where the chunk starts, times PACK, plus its size. mark is twice the row, and one more where the text has had the
+    chunk before: so marks order all occurrences, and a digest is repeated if it has two marks.
+    """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
@@ -77,43 +82,41 @@ def chunk_table(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 continue
             starts = cuts(bytes_, offsets)
             doc = np.searchsorted(offsets, starts, side="right") - 1
-            n = np.arange(len(starts)) - np.searchsorted(starts, offsets[doc])
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(n.astype(np.int32)),
-                    pa.array((starts - offsets[doc]).astype(np.int32)),
-                    pa.array(np.diff(np.append(starts, len(bytes_))).astype(np.int32)),
-                    pa.array(digests(bytes_, starts).view(np.int64)),
-                ],
-                names=["row", "key", "n", "at", "size", "digest"],
-            )
-
-    found = rows.mapInArrow(run, f"row long, key {kind}, n int, at int, size int, digest long")
+            digest = digests(bytes_, starts)
+            order = np.lexsort((digest, doc))
+            again = np.zeros(len(starts), dtype=np.int64)
+            again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+            rows_ = batch.column(0).to_numpy()[doc]
+            place = (starts - offsets[doc]) * PACK + np.diff(np.append(starts, len(bytes_)))
+            columns = [pa.array(rows_), batch.column(1).take(pa.array(doc)), pa.array(place), pa.array(rows_ * 2 + again), pa.array(digest.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "place", "mark", "digest"])
+
+    found = rows.mapInArrow(run, f"row long, key {kind}, place long, mark long, digest long")
     place = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     found.write.option("compression", "zstd").parquet(place)
     return spark.read.schema(found.schema).parquet(place)
 
 
 def passages(docs: DataFrame, *, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Repeated passages: key, span_start, span_end (bytes), n_chunks, removable_bytes, first_key (least key that holds a part first)."""
+    """Repeated passages: key, span_start, span_end (bytes), n_chunks, removable_bytes (those that stand in an earlier place)."""
     chunks = chunk_table(docs, key=key, text=text)
-    first = F.min(F.struct("key", "row", "n")).alias("first")
-    repeated = chunks.groupBy("digest").agg(F.count("*").alias("copies"), first).where("copies > 1").select("digest", "first")
-    held = chunks.join(repeated, "digest").withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.n") == F.col("n")))
-    inside = Window.partitionBy("row").orderBy("n")  # the repeated chunks of one text
-    runs = held.withColumn("run", F.col("n") - F.row_number().over(inside)).groupBy("row", "run").agg(
-        F.min("key").alias("key"),
+    repeated = chunks.groupBy("digest").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first < last").select("digest", "first")
+    held = chunks.select("digest", "mark", "place").join(repeated, "digest")
+    at, size = F.floor(F.col("place") / PACK), F.col("place") % PACK
+    held = held.select(F.shiftright("mark", 1).alias("row"), at.alias("at"), size.alias("size"), F.when(F.col("mark") == F.col("first"), 0).otherwise(size).alias("removable"))
+    inside = Window.partitionBy("row").orderBy("at")  # the repeated chunks of one text
+    opens = F.when(F.lag(F.col("at") + F.col("size")).over(inside) == F.col("at"), 0).otherwise(1)
+    runs = held.withColumn("opens", opens).withColumn("run", F.sum("opens").over(inside)).groupBy("row", "run").agg(
         F.min("at").alias("span_start"),
         F.max(F.col("at") + F.col("size")).alias("span_end"),
         F.count("*").alias("n_chunks"),
-        F.sum(F.when(F.col("kept"), 0).otherwise(F.col("size"))).alias("removable_bytes"),
-        F.min("first.key").alias("first_key"),
+        F.sum("removable").alias("removable_bytes"),
     )
-    return runs.where(F.col("span_end") - F.col("span_start") >= least).select(
-        F.col("key").alias(key), "span_start", "span_end", "n_chunks", "removable_bytes", F.col("first_key").alias(f"first_{key}")
+    keys = chunks.where(F.col("place") < PACK).select("row", "key")  # a text's first chunk starts at 0
+    return (
+        runs.where(F.col("span_end") - F.col("span_start") >= least)
+        .join(keys, "row")
+        .select(F.col("key").alias(key), "span_start", "span_end", "n_chunks", "removable_bytes")
     )
 
 
