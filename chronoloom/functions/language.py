@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import array_of
 
 #: Languages that captions come in, and the script that each is written in.
 LANGUAGES = {
@@ -44,7 +43,7 @@ def english_words(c: Column) -> Column:
 
 
 def english_hits(c: Column) -> Column:
-    return F.size(F.filter(english_words(c), lambda w: F.array_contains(array_of(L.ENGLISH), w)))
+    return F.size(F.filter(english_words(c), lambda w: w.isin(L.ENGLISH)))
 
 
 def english_ratio(c: Column) -> Column:

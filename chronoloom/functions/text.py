@@ -13,10 +13,6 @@ CLAUSE_BREAK = r"[.,;:!?()\[\]\"“”…/]|\s[-–—]\s"
 PHRASE_WORD = r"[a-z][a-z0-9+#\-]*(?:'s)?"
 
 
-def array_of(words) -> Column:
-    return F.array(*map(F.lit, words))
-
-
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -24,7 +20,7 @@ def squeeze(c: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """The XML entities and the no-break space; the ampersand last, so that one level goes at a time."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return c
 
@@ -99,14 +95,12 @@ def normal(c: Column) -> Column:
 
 def candidate_phrases(c: Column, most: int = 3) -> Column:
     """Runs of 1 to most words within a clause that can be a noun phrase. Repeated ones stay: they are counted."""
-    stops, verbs, edges = array_of(L.STOPS), array_of(L.VERBS), array_of(L.EDGE_ADJECTIVES)
-
     def fits(g: Column) -> Column:
+        # isin becomes one look into a hash set
         first, last, n = F.element_at(g, 1), F.element_at(g, -1), F.size(g)
-        outer = ~F.array_contains(stops, first) & ~F.array_contains(stops, last) & ~F.array_contains(edges, last)
-        inner = ~F.arrays_overlap(F.array_remove(F.slice(g, 2, F.greatest(n - 2, F.lit(0))), "of"), stops)
-        each = ~F.exists(g, lambda w: F.array_contains(verbs, w) | w.endswith("ly") | (F.length(w) < 2))
-        return outer & F.when(n > 2, inner).otherwise(F.lit(True)) & each
+        outer = ~first.isin(L.STOPS) & ~last.isin(L.STOPS) & ~last.isin(L.EDGE_ADJECTIVES)
+        inner = ~F.exists(F.slice(g, 2, F.greatest(n - 2, F.lit(0))), lambda w: (w != "of") & w.isin(L.STOPS))
+        return outer & inner & ~F.exists(g, lambda w: (F.length(w) < 2) | w.endswith("ly") | w.isin(L.VERBS))
 
     def runs(ws: Column) -> Column:
         def of_size(n: int) -> Column:
@@ -205,8 +199,8 @@ def estimated_tokens(c: Column) -> Column:
 
 def usable_phrase(c: Column) -> Column:
     """1 to 4 words, none twice, no stop word at an end, at least one that carries meaning."""
-    ws, stops = words(c), array_of(L.STOPS)
-    ends = ~F.array_contains(stops, F.try_element_at(ws, F.lit(1))) & ~F.array_contains(stops, F.try_element_at(ws, F.lit(-1)))
+    ws = words(c)
+    ends = ~F.try_element_at(ws, F.lit(1)).isin(L.STOPS) & ~F.try_element_at(ws, F.lit(-1)).isin(L.STOPS)
     shape = F.size(ws).between(1, 4) & (F.length(c) >= 3) & ~c.rlike(r"^\d+$") & (F.size(F.array_distinct(ws)) == F.size(ws))
     return F.coalesce(shape & ends, F.lit(False))
 
@@ -232,7 +226,7 @@ def tones(c: Column, most: int = 2) -> Column:
     marks = F.length(c) - F.length(F.replace(c, F.lit("!"), F.lit("")))
 
     def scored(k: int, name: str) -> Column:
-        hits = F.size(F.filter(ts, lambda t: F.array_contains(array_of(L.TONES[name]), t))).cast("double")
+        hits = F.size(F.filter(ts, lambda t: t.isin(L.TONES[name]))).cast("double")
         hits = hits + marks * 0.5 if name == "enthusiastic" else hits
         score = hits * (F.lit(1000.0) / F.greatest(F.size(ts), F.lit(1)))
         return F.struct((-F.round(score / L.TONE_LEVELS[name], 2)).alias("low"), F.lit(k).alias("k"), F.lit(name).alias("tone"), (score >= L.TONE_LEVELS[name]).alias("earned"))
@@ -245,5 +239,5 @@ def tones(c: Column, most: int = 2) -> Column:
 
 def merged_tones(lexical: Column, given: Column) -> Column:
     """Given tones that are known first, then those found; three at most."""
-    known = array_of([*L.TONES, *L.OTHER_TONES])
-    return F.slice(F.array_distinct(F.concat(F.filter(F.transform(given, F.lower), lambda t: F.array_contains(known, t)), lexical)), 1, 3)
+    known = [*L.TONES, *L.OTHER_TONES]
+    return F.slice(F.array_distinct(F.concat(F.filter(F.transform(given, F.lower), lambda t: t.isin(known)), lexical)), 1, 3)
