@@ -31,6 +31,8 @@ from .shingles import shingle_sets
 CAP, PIVOTS, DEPTH = 1 << 22, 8, 3
 #: Rows of the smaller side up to which it is broadcast.
 SMALL = 1 << 20
+#: Bits of the largest filter of repeated parts, as a power of two: 32 MB. Bits that are gathered in one row.
+MOST_BITS, BLOCK = 28, 1 << 16
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -127,32 +129,92 @@ def join_region(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def _sets_of(docs: DataFrame, size: int, percent: int, with_parts: bool) -> DataFrame:
-    """(key, n, point, parts) or, of texts already chosen, (key, point, set). point: a digest of the set."""
+def _digest(own: np.ndarray) -> np.int64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)
+
+
+def _points(texts: DataFrame, size: int) -> DataFrame:
+    """(key, n, point) of every text. point: a digest of the set."""
+    kind = texts.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 1):
+            sets = shingle_sets(*text_buffer(batch.column(1)), size)
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([_digest(s) for s in sets], dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "point"])
+
+    return texts.mapInArrow(run, f"key {kind}, n long, point long")
+
+
+def _parts(texts: DataFrame, size: int, percent: int, filter_=None) -> DataFrame:
+    """(part, point) of every text; with a filter (bits, their broadcast), of the parts whose bit is set."""
     classes = size_classes(percent)
-    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        def digest(own):
-            return np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
+        for batch in slices(batches, 1):
+            sets = [s for s in shingle_sets(*text_buffer(batch.column(1)), size) if len(s)]
+            parts = [part_values(s, classes, percent) for s in sets]
+            flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
+            points = np.repeat(np.array([_digest(s) for s in sets], dtype=np.int64), [len(p) for p in parts])
+            if filter_ is not None:
+                at = (flat >> np.uint64(64 - filter_[0])).astype(np.int64)
+                hit = (filter_[1].value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                flat, points = flat[hit], points[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(points)], names=["part", "point"])
+
+    return texts.mapInArrow(run, "part long, point long")
+
+
+def _occupied(parts: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each head of the parts, as bytes. It has 2 ** bits bits; BLOCK of them are gathered at a time."""
+    head = F.shiftrightunsigned("part", 64 - bits)
+    heads = parts.select(head.alias("head")).distinct().withColumn("block", F.floor(F.col("head") / BLOCK))
+
+    def pack(own):
+        import pyarrow as pa
+
+        out = np.zeros(BLOCK, dtype=np.uint8)
+        out[own.column("head").to_numpy() % BLOCK] = 1
+        return pa.table({"block": own.column("block").slice(0, 1), "bytes": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in heads.groupBy("block").applyInArrow(pack, "block long, bytes binary").collect():  # 2 ** bits bits in all
+        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bytes, dtype=np.uint8)
+    return out
+
+
+def _candidates(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) of points that share a part: from each point to the least point with the part.
+
+    Most parts belong to one text. They are counted first, as bare values; then only those that come twice are made again with
+    their points. The bits that tell them apart may let others through, and the join takes those out.
+    """
+    spark = texts.sparkSession
+    twice = cut(_parts(texts, size, percent).groupBy("part").agg(F.count("*").alias("copies")).where("copies > 1").select("part"))
+    bits = min(max(int(twice.count()).bit_length() + 3, 16), MOST_BITS)
+    some = cut(_parts(texts, size, percent, (bits, spark.sparkContext.broadcast(_occupied(twice, bits)))).distinct())
+    several = some.groupBy("part").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").select("part", "a")
+    return some.join(several, "part").select("a", F.col("point").alias("b")).distinct()
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(point, set) of every text."""
+
+    def run(batches):
+        import pyarrow as pa
 
         for batch in slices(batches, 1):
             sets = shingle_sets(*text_buffer(batch.column(1)), size)
-            points = pa.array(np.array([digest(s) for s in sets], dtype=np.int64))
-            if with_parts:
-                parts = [part_values(s, classes, percent) if len(s) else s for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-                columns = [pa.array([len(s) for s in sets], pa.int64()), points, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                names = ["key", "n", "point", "parts"]
-            else:
-                columns, names = [points, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "point", "set"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            points = pa.array(np.array([_digest(s) for s in sets], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([points, pa.array([s.tobytes() for s in sets], pa.binary())], names=["point", "set"])
 
-    return docs.mapInArrow(run, f"key {kind}, n long, point long, parts array<long>" if with_parts else f"key {kind}, point long, set binary")
+    return texts.mapInArrow(run, "point long, set binary")
 
 
 def _joined(members: DataFrame, percent: int) -> DataFrame:
@@ -229,17 +291,14 @@ def near_copies(
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = cut(_sets_of(texts, size, percent, True))
-    parts = rows.select("point", F.explode("parts").alias("part"))
-    several = parts.groupBy("part").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").select("part", "a")
-    edges = parts.join(several, "part").select("a", F.col("point").alias("b")).distinct()
-    clusters = cut(components(edges))
+    rows = cut(_points(texts, size))
+    clusters = cut(components(_candidates(texts, size, percent)))
     owners = rows.where("n > 0").groupBy("point").agg(F.min("key").alias("key"))
     wanted = cut(owners.join(clusters, F.col("point") == F.col("v")).select("key", "point", F.col("component").cast("string").alias("region")))
     keys = wanted.select("key").distinct()
-    chosen = texts.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, "key", "left_semi")
-    sets = _sets_of(chosen, size, percent, False).dropDuplicates(["point"])
-    members = cut(sets.drop("key").join(wanted.select("point", "region"), "point").select("region", "point", "set"))
+    chosen = texts.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, "key", "left_semi").drop("key")
+    sets = _sets(chosen.select(F.lit(0).alias("no"), "text"), size).dropDuplicates(["point"])
+    members = cut(sets.join(wanted.select("point", "region"), "point").select("region", "point", "set"))
     classes = components(region_links(members, percent=percent, cap=cap, pivots=pivots, depth=depth))
     least = owners.join(classes, F.col("point") == F.col("v"), "left").select("point", "key", F.coalesce("component", "point").alias("class"))
     heads = least.groupBy("class").agg(F.min("key").alias("component_id"))
