@@ -27,9 +27,9 @@ class Registry:
 
 
 def everything() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import text
+    from . import concepts, text, timeline
 
-    parts = [text.registry]
+    parts = [text.registry, timeline.registry, concepts.registry]
     found: tuple[dict[str, Query], dict[str, str]] = ({}, {})
     for p in parts:
         found[0].update(p.queries)
