@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut, shared_dir, ship
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="chronoloom-"))
-    return set_dir or context.getCheckpointDir()
-
+__all__ = ["byte_table", "cut", "mix64", "shared_dir", "ship", "slices", "table", "text_buffer"]
 
-_shipped: set[str] = set()
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the Python workers, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    path = os.path.join(tempfile.mkdtemp(), f"{top.name}-code.zip")
-    Path(path).write_bytes(held.getvalue())
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: what follows no longer depends on the executors that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
