@@ -27,9 +27,9 @@ class Registry:
 
 
 def everything() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import concepts, text, timeline
+    from . import concepts, text, timeline, trees
 
-    parts = [text.registry, timeline.registry, concepts.registry]
+    parts = [text.registry, timeline.registry, concepts.registry, trees.registry]
     found: tuple[dict[str, Query], dict[str, str]] = ({}, {})
     for p in parts:
         found[0].update(p.queries)
