@@ -176,7 +176,7 @@ def clean_label(c: Column, most_chars: int, most_words: int) -> Column:
 
 def fuzzy_score(query: Column, text: Column) -> Column:
     q, t = F.lower(F.trim(query)), F.lower(text)
-    qs = words(q)
+    qs = F.filter(words(q), lambda w: F.length(w) > 1)
     share = F.size(F.filter(qs, lambda w: F.contains(t, w))) / F.greatest(F.size(qs), F.lit(1))
     held = F.lit(0.85) - F.least(F.lit(0.3), (F.length(t) - F.length(q)) / F.lit(400.0))
     return F.when((q == "") | (t == ""), F.lit(0.0)).when(q == t, F.lit(1.0)).when(F.contains(t, q), held).otherwise(F.lit(0.7) * share)

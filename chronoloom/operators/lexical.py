@@ -14,6 +14,36 @@ def counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("grp", "seg", "term").agg(F.count("*").alias("tf"))
 
 
+def phrase_rows(rows: DataFrame, keys: list[str], text: str = "text", most: int = 3) -> DataFrame:
+    """(keys, term): the candidate phrases of ``functions.text.candidate_phrases`` as rows, repeated ones too.
+
+    Each clause is a row and each of its words starts up to ``most`` phrases, so the tests of words are plain column
+    expressions that Spark compiles; nothing is shuffled.
+    """
+    clauses = rows.select(*keys, F.explode(F.split(F.lower(text), X.CLAUSE_BREAK)).alias("__k"))
+    words = clauses.select(*keys, F.regexp_extract_all("__k", F.lit(X.PHRASE_WORD), F.lit(0)).alias("__ws")).where(F.size("__ws") > 0)
+    at = words.select("*", F.explode(F.sequence(F.lit(0), F.size("__ws") - 1)).alias("__i"))
+    g = [F.get("__ws", F.col("__i") + k) for k in range(most)]
+    named = at.select(*keys, *[c.alias(f"__g{k}") for k, c in enumerate(g)])
+    g = [F.col(f"__g{k}") for k in range(most)]
+    plain = named.select(
+        *keys,
+        *[f"__g{k}" for k in range(most)],
+        *[(c.isNotNull() & (F.length(c) >= 2) & ~c.endswith("ly") & ~c.isin(L.VERBS)).alias(f"__ok{k}") for k, c in enumerate(g)],
+        *[c.isin(L.STOPS).alias(f"__stop{k}") for k, c in enumerate(g)],
+        *[c.isin(L.EDGE_ADJECTIVES).alias(f"__edge{k}") for k, c in enumerate(g)],
+    )
+    phrases = []
+    for n in range(1, most + 1):
+        fits = ~F.col("__stop0") & ~F.col(f"__stop{n - 1}") & ~F.col(f"__edge{n - 1}")
+        for k in range(n):
+            fits = fits & F.col(f"__ok{k}")
+        for k in range(1, n - 1):
+            fits = fits & (~F.col(f"__stop{k}") | (g[k] == "of"))
+        phrases.append(F.when(fits, F.concat_ws(" ", *g[:n])))
+    return plain.select(*keys, F.explode(F.array_compact(F.array(*phrases))).alias("term"))
+
+
 def class_tf_idf(tf: DataFrame) -> DataFrame:
     """tf with score = share of the term in its segment, times ln(1 + mean segment size / all occurrences of the term).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import language as G
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..operators.lexical import phrase_rows
 from ..sources.tables import SQL_DOCUMENT_CAPTIONS, document_captions, table
 from . import Registry
 
@@ -158,7 +159,8 @@ def candidate_phrases_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten commonest phrases of each document."""
     from pyspark.sql import Window
 
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.candidate_phrases(F.col("text"))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("times"))
+    rows = phrase_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    found = rows.groupBy("doc_id", F.col("term").alias("phrase")).agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"), "phrase"))
     return found.withColumn("rank", rank.cast("bigint")).where("rank <= 10")
 
@@ -243,7 +245,7 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     f"""WITH {SQL_DOCUMENT_CAPTIONS}, s AS (SELECT video_id, pos, lower(trim(left(text, 12))) AS q, lower(CASE WHEN pos % 2 = 0 THEN text ELSE reverse(text) END) AS t FROM captions WHERE pos < 20)
 SELECT video_id, pos, round(CASE WHEN q = '' OR t = '' THEN 0 WHEN q = t THEN 1 WHEN contains(t, q) THEN 0.85 - least(0.3, (length(t) - length(q)) / 400.0)
-  ELSE 0.7 * (len(list_filter({WORDS.format('q')}, lambda w: contains(t, w))) / greatest(len({WORDS.format('q')}), 1)) END, 6) AS score FROM s"""
+  ELSE 0.7 * (len(list_filter({WORDS.format('q')}, lambda w: length(w) > 1 AND contains(t, w))) / greatest(len(list_filter({WORDS.format('q')}, lambda w: length(w) > 1)), 1)) END, 6) AS score FROM s"""
 )
 def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir).where("pos < 20")
