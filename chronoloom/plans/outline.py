@@ -11,6 +11,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import lexical as C
 from ..operators import timeline as T
+from ..session import cut
 
 #: Features of the hashed word vectors that sections are found with.
 FEATURES = 64
@@ -47,8 +48,8 @@ def keywords(blocks: DataFrame, segment: DataFrame | None = None, most: int = 6)
 def build(captions: DataFrame, mode: str = "revision") -> dict[str, DataFrame]:
     """entries, blocks, sections, keywords and nodes(map_id, node_id, parent_id, ord, type, text, start, end)."""
     entries = T.normalized(captions)
-    blocks = T.blocks(entries)
-    segment = sections(blocks, mode)
+    blocks = cut(T.blocks(entries))  # each is read several times below
+    segment = cut(sections(blocks, mode))
     words = keywords(blocks, segment)
     spans = blocks.join(segment, ["video_id", "block_no"]).groupBy("video_id", "seg_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     terms = words.groupBy(F.col("grp").alias("video_id"), F.col("seg").alias("seg_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
