@@ -126,5 +126,31 @@ def op5_positional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(start).cast("long").alias("last_word"),
         joined(F.col("base.label")).alias("base_labels"),
         joined(F.concat(F.col("base.label"), F.col("found.label"))).alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("found.score"), F.lit(0.0))).alias("score"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.round(F.coalesce(F.array_max("found.score"), F.lit(0.0)), 6)).alias("score"),
     )
+
+
+def _rows(table_: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in table_)
+
+
+_T = [(label, j, w) for label, words, _ in TEMPLATES for j, w in enumerate(words.split())]
+_M = [(label, words.split().index(must.split()[0]) + k, w) for label, words, must in TEMPLATES for k, w in enumerate(must.split())]
+_B = [(label, phrase, k, w) for phrase, label in BASE.items() for k, w in enumerate(phrase.split())]
+SQL_OP5 = f"""
+WITH t(label, j, w) AS (VALUES {_rows(_T)}), m(label, j, w) AS (VALUES {_rows(_M)}), b(label, phrase, j, w) AS (VALUES {_rows(_B)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+v AS (SELECT w, ln(1 + ((SELECT count(*) FROM d) + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM (SELECT w FROM t UNION SELECT w FROM b) LEFT JOIN p USING (w) GROUP BY w),
+base AS (SELECT doc_id, b.label, i - j AS start FROM b JOIN p USING (w) JOIN (SELECT label, count(*) AS n FROM b GROUP BY label) k ON k.label = b.label GROUP BY doc_id, b.label, phrase, i - j HAVING count(*) = max(k.n)),
+tv AS (SELECT t.*, idf, sum(idf) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY idf DESC, j) AS r FROM t JOIN v USING (w)),
+begins AS (SELECT DISTINCT doc_id, label, i - j AS start FROM tv JOIN p USING (w) WHERE r <= {ANCHORS}),
+mass AS (SELECT s.doc_id, s.label, s.start, sum(idf / total) AS score FROM begins s JOIN tv ON tv.label = s.label JOIN p ON p.doc_id = s.doc_id AND p.i = s.start + j AND p.w = tv.w GROUP BY ALL),
+whole AS (SELECT s.doc_id, s.label, s.start FROM begins s JOIN m ON m.label = s.label JOIN p ON p.doc_id = s.doc_id AND p.i = s.start + j AND p.w = m.w JOIN (SELECT label, count(*) AS n FROM m GROUP BY label) k ON k.label = s.label GROUP BY s.doc_id, s.label, s.start HAVING count(*) = max(k.n)),
+found AS (SELECT * FROM mass JOIN whole USING (doc_id, label, start) WHERE score >= {COVERAGE})
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(bl, '') AS base_labels,
+  array_to_string(list_sort(list_filter(list_distinct(list_concat(string_split(coalesce(bl, ''), ','), string_split(coalesce(fl, ''), ','))), lambda x: x <> '')), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE WHEN best IS NULL THEN 0.0::DOUBLE ELSE round(least(best, 1), 6)::DOUBLE END AS score
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, min(start) AS low, max(start) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS bl FROM base GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(score) AS best, string_agg(DISTINCT label, ',' ORDER BY label) AS fl FROM found GROUP BY doc_id) USING (doc_id)
+"""

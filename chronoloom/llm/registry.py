@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_jaccard_metric_join": jaccard.SQL_OP3,
+    "op5_positional_license_scan": licenses.SQL_OP5,
     "op10_perspective_rotation": chat.SQL_OP10,
 }

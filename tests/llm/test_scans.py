@@ -76,3 +76,9 @@ def test_forest_on_other_findings(spark):
 def test_secrets_of_odd_rows(odd, none):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
     assert secrets.scan(none).count() == 0
+
+
+def test_licence_twin(spark, duck):
+    from ..twins import check
+
+    check(licenses.op5_positional_license_scan, licenses.SQL_OP5, spark, duck, SMALL)
