@@ -27,9 +27,9 @@ class Registry:
 
 
 def everything() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import activity, concepts, plans, retrieval, sources, text, timeline, trees
+    from . import activity, concepts, extras, plans, retrieval, sources, text, timeline, trees
 
-    parts = [text.registry, timeline.registry, concepts.registry, trees.registry, activity.registry, retrieval.registry, sources.registry, plans.registry]
+    parts = [text.registry, timeline.registry, concepts.registry, trees.registry, activity.registry, retrieval.registry, sources.registry, plans.registry, extras.registry]
     found: tuple[dict[str, Query], dict[str, str]] = ({}, {})
     for p in parts:
         found[0].update(p.queries)

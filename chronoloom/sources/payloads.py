@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,64 @@ def first_json(c: Column) -> Column:
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row of each key, the last by order: what an upsert leaves."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where("__n = 1").drop("__n")
+
+
+def json_after(marker: str):
+    """A column function: the first balanced JSON object after a marker in a page, mindful of strings and escapes."""
+
+    def cut(page: str | None) -> str | None:
+        at = page.find(marker) if page else -1
+        at = page.find("{", at) if at >= 0 else -1
+        depth, quoted, k = 0, False, at
+        while 0 <= k < len(page or ""):
+            c = page[k]
+            if quoted:
+                k += c == "\\"
+                quoted = c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth == 0:
+                    return page[at : k + 1]
+            k += 1
+        return None
+
+    @F.pandas_udf("string")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(cut)
+
+    return found
+
+
+def values_under(rows: DataFrame, key: str, json: str, name: str) -> DataFrame:
+    """(key, place, value) of every value under a name in a JSON text, at any depth, depth first; values as JSON."""
+    from ..session import ship
+
+    ship(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def walk(x):
+        if isinstance(x, dict):
+            for k, v in x.items():
+                if k == name:
+                    yield v
+                yield from walk(v)
+        elif isinstance(x, list):
+            for v in x:
+                yield from walk(v)
+
+    def run(frames):
+        import json as J
+
+        for frame in frames:
+            out = []
+            for k, t in zip(frame[key], frame[json], strict=True):
+                try:
+                    tree = J.loads(t) if t else None
+                except ValueError:
+                    continue
+                out += [(k, n, J.dumps(v, ensure_ascii=False)) for n, v in enumerate(walk(tree))]
+            yield pd.DataFrame(out, columns=[key, "place", "value"])
+
+    return rows.select(key, json).mapInPandas(run, f"{key} {kind}, place long, value string")
