@@ -54,6 +54,7 @@ def build(captions: DataFrame, mode: str = "revision") -> dict[str, DataFrame]:
     spans = blocks.join(segment, ["video_id", "block_no"]).groupBy("video_id", "seg_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     terms = words.groupBy(F.col("grp").alias("video_id"), F.col("seg").alias("seg_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
     heads = spans.join(terms, ["video_id", "seg_no"], "left").withColumn("k", F.coalesce("k", F.array().cast("array<string>")))
+    heads = cut(heads)
     part = lambda *cs: F.concat_ws(".", *[c.cast("string") for c in cs])
     video, seg = F.col("video_id"), F.col("seg_no")
     root = heads.groupBy("video_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("k", "seg_no").alias("k")).select(
