@@ -37,7 +37,9 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every end of an edge (a, b); component is the least vertex that links reach."""
     spark = edges.sparkSession
-    now = cut(_small_star(edges.select("a", "b")))
+    # the steps read the edges twice, so they are made once: another run might find other edges of the same components
+    now = cut(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    now = cut(_small_star(now))
     rounds = 0
     while not _are_stars(now):
         now = cut(_small_star(_large_star(now)))
