@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut, shared_dir, ship
+from ..session import cut, shared_dir
+from ..session import ship as ship_code
+
+__all__ = ["byte_table", "cut", "mix64", "shared_dir", "ship", "slices", "table", "text_buffer", "written"]
+
+
+#: Rows of a batch that goes to Python: texts make rows large.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """The package's code, and batches that fit rows of text."""
+    ship_code(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
-__all__ = ["byte_table", "cut", "mix64", "shared_dir", "ship", "slices", "table", "text_buffer"]
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table: for what is large."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +57,7 @@ def byte_table(seed: int) -> np.ndarray:
         return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def slices(batches, column: int, most: int = 4 << 20):
+def slices(batches, column: int, most: int = 1 << 20):
     """The batches in pieces of about ``most`` bytes of text (one text at least), so that memory doesn't follow the batch size."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(column))

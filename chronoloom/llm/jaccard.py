@@ -3,8 +3,8 @@
 1. Equal sets are one point. All further work is on points.
 2. Documents that have nothing in common are at distance 1 from each other and from every pivot, so Voronoi regions of the
    whole table would hold everything (see README). Points are therefore first gathered in clusters that no link can leave: sets of
-   nearly the same size are cut by the shingles' hashes into more parts than the most elements in which two linked sets
-   can differ, so linked sets have an equal part. An equal part is a candidate; clusters are the components of candidates.
+   nearly the same size are cut by the shingles' hashes into more parts than the elements in which two linked sets can
+   differ, so linked sets have equal parts, and at least a known number of them. Pairs with so many are candidates.
 3. A cluster that fits a task is joined there exactly. A larger one is split: pivots create Voronoi regions, a point goes to the
    region of its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the link distance
    farther. Regions that are still too large are split again with other pivots, and after DEPTH rounds in pairs of blocks, which
@@ -23,12 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, ship, slices, table, text_buffer
+from .common import cut, mix64, ship, slices, table, text_buffer, written
 from ..operators.components import components
 from .shingles import shingle_sets
 
 #: Elements of a region that one task joins; pivots of a region; rounds of regions before blocks.
 CAP, PIVOTS, DEPTH = 1 << 22, 8, 3
+#: Points of a part up to which its pairs are counted; classes and equal parts in a tag.
+FEW, TAG = 48, 1 << 16
 #: Rows of the smaller side up to which it is broadcast.
 SMALL = 1 << 20
 #: Bits of the largest filter of repeated parts, as a power of two: 32 MB. Bits that are gathered in one row.
@@ -51,29 +53,37 @@ def most_apart(classes: np.ndarray, c: int, percent: int) -> int:
     return (100 - percent) * (n + m) // (100 + percent)
 
 
-def part_values(own: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """A value for every part of the set that holds something, for its own size class and the one below.
+def spare(apart: int) -> int:
+    """Parts beyond those that may differ: linked sets share one more than this, where all of them hold something."""
+    return 2 + apart // 8
 
-    Some parts are to spare, so that parts that hold something outnumber the elements that may differ. Where they do not, the empty
-    parts have values too: two linked sets that differ in each part that holds something share an empty one.
+
+def part_values(own: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A value for every part of the set that holds something, for its own size class and the one below, and the part's tag.
+
+    A tag is the class times TAG plus the equal parts that a linked set must show: 1 + spare, less this set's empty parts, which
+    have no value. Where parts that hold something are not more than those that may differ, the empty ones have values too: two
+    linked sets that differ in each part that holds something share an empty one.
     """
     n = len(own)
     c = int(np.searchsorted(classes, n, side="right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(own))])
-    out = [np.zeros(0, np.uint64)]
+    out, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for k in (c, c - 1):
         if k < 0 or (apart := most_apart(classes, k, percent)) == 0:
             continue  # only equal sets link, and they are one point
-        parts = apart + 3 + (apart + 1) // 256
+        parts = apart + 1 + spare(apart)
         at = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as own is
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         held, value = at[first], sums[np.concatenate([first[1:], [n]])] - sums[first]
+        must = max(1, 1 + spare(apart) - (parts - len(held)))
         if len(held) <= apart:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
             held, value = np.concatenate([held, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
         seed = held * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
         out.append(mix64(value ^ mix64(seed)))
-    return np.concatenate(out)
+        tags.append(np.full(len(held), k * TAG + min(must, TAG - 1), dtype=np.int32))
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def linked(shared, n, m, percent: int):
@@ -93,10 +103,16 @@ def join_region(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     if m == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(ids[0], ids[1])] if linked(shared, sizes[0], sizes[1], percent) else []
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(code, kind="stable")
-    lists, heads = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    flat = flat[order]
+    run = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)  # equal shingles have one code
+    del flat
+    code = np.empty(len(order), dtype=np.int32)
+    code[order] = run
+    lists = np.repeat(np.arange(m, dtype=np.int32), sizes)[order]  # the points of each code, one code after the other
+    heads = np.searchsorted(run, np.arange(int(run[-1]) + 2))
+    del order, run
     ends = np.concatenate([[0], np.cumsum(sizes)])
     label, members, out = np.arange(m), {k: [k] for k in range(m)}, []
     largest, waiting = 0, list(range(m - 1, -1, -1))
@@ -150,8 +166,8 @@ def _points(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, f"key {kind}, n long, point long")
 
 
-def _parts(texts: DataFrame, size: int, percent: int, filter_=None) -> DataFrame:
-    """(part, point) of every text; with a filter (bits, their broadcast), of the parts whose bit is set."""
+def _parts(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The parts of every text."""
     classes = size_classes(percent)
 
     def run(batches):
@@ -159,16 +175,30 @@ def _parts(texts: DataFrame, size: int, percent: int, filter_=None) -> DataFrame
 
         for batch in slices(batches, 1):
             sets = [s for s in shingle_sets(*text_buffer(batch.column(1)), size) if len(s)]
-            parts = [part_values(s, classes, percent) for s in sets]
-            flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
-            points = np.repeat(np.array([_digest(s) for s in sets], dtype=np.int64), [len(p) for p in parts])
-            if filter_ is not None:
-                at = (flat >> np.uint64(64 - filter_[0])).astype(np.int64)
-                hit = (filter_[1].value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                flat, points = flat[hit], points[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(points)], names=["part", "point"])
+            flat = np.concatenate([*(part_values(s, classes, percent)[0] for s in sets), np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["part"])
 
-    return texts.mapInArrow(run, "part long, point long")
+    return texts.mapInArrow(run, "part long")
+
+
+def _chosen_parts(texts: DataFrame, size: int, percent: int, bits: int, filter_) -> DataFrame:
+    """(part, point, tag) of the parts whose bit is set."""
+    classes = size_classes(percent)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 1):
+            sets = [s for s in shingle_sets(*text_buffer(batch.column(1)), size) if len(s)]
+            both = [part_values(s, classes, percent) for s in sets]
+            flat = np.concatenate([*(v for v, _ in both), np.zeros(0, np.uint64)])
+            tags = np.concatenate([*(t for _, t in both), np.zeros(0, np.int32)])
+            points = np.repeat(np.array([_digest(s) for s in sets], dtype=np.int64), [len(v) for v, _ in both])
+            at = (flat >> np.uint64(64 - bits)).astype(np.int64)
+            hit = (filter_.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit].view(np.int64)), pa.array(points[hit]), pa.array(tags[hit])], names=["part", "point", "tag"])
+
+    return texts.mapInArrow(run, "part long, point long, tag int")
 
 
 def _occupied(parts: DataFrame, bits: int) -> np.ndarray:
@@ -189,18 +219,37 @@ def _occupied(parts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) of points that share a part: from each point to the least point with the part.
+def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(point, region): points that can be linked share a region.
 
     Most parts belong to one text. They are counted first, as bare values; then only those that come twice are made again with
-    their points. The bits that tell them apart may let others through, and the join takes those out.
+    their points. The bits that tell them apart may let others through, and the counts take those out.
+
+    Parts of up to FEW points: two points that share as many parts as linked ones must are a candidate, and candidates' components
+    are regions. Parts of more points: the points are tied to the least of them, and the components of these ties are further
+    regions. A candidate's missing parts may be among those, so the parts that a point has there count for it.
     """
     spark = texts.sparkSession
-    twice = cut(_parts(texts, size, percent).groupBy("part").agg(F.count("*").alias("copies")).where("copies > 1").select("part"))
-    bits = min(max(int(twice.count()).bit_length() + 3, 16), MOST_BITS)
-    some = cut(_parts(texts, size, percent, (bits, spark.sparkContext.broadcast(_occupied(twice, bits)))).distinct())
-    several = some.groupBy("part").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").select("part", "a")
-    return some.join(several, "part").select("a", F.col("point").alias("b")).distinct()
+    twice = written(_parts(texts, size, percent).groupBy("part").agg(F.count("*").alias("copies")).where("copies > 1").select("part"))
+    bits = min(max(int(twice.count()).bit_length() + 5, 16), MOST_BITS)
+    some = written(_chosen_parts(texts, size, percent, bits, spark.sparkContext.broadcast(_occupied(twice, bits))))
+    # copies of a set count too: that only lets more through
+    groups = some.groupBy("part").agg(F.count("*").alias("m"), F.min("point").alias("least"), F.max("point").alias("most")).where("least < most").drop("most")
+    held = some.join(groups, "part").withColumn("class", F.floor(F.col("tag") / TAG).cast("int")).withColumn("must", (F.col("tag") % TAG).cast("int"))
+    held = written(held.drop("tag"))
+    many = held.where(F.col("m") > FEW)
+    wide = many.groupBy("point", "class").agg(F.count("*").alias("wide"))
+    few = held.where(F.col("m") <= FEW).select("part", "point", "class", "must")
+    a = few.withColumnsRenamed({"point": "a", "must": "must_a"})
+    b = few.select("part", F.col("point").alias("b"), F.col("must").alias("must_b"))
+    pairs = a.join(b, "part").where("a < b").groupBy("a", "b", "class").agg(F.count("*").alias("shared"), F.max(F.greatest("must_a", "must_b")).alias("must"))
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.withColumnsRenamed({"point": end, "wide": f"wide_{end}"}), [end, "class"], "left")
+    need = F.col("must") - F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
+    close = components(pairs.where(F.col("shared") >= need).select("a", "b"))
+    ties = components(many.select(F.col("least").alias("a"), F.col("point").alias("b")).distinct())
+    named = lambda rows, mark: rows.select(F.col("v").alias("point"), F.concat(F.lit(mark), F.col("component").cast("string")).alias("region"))
+    return named(close, "c").unionByName(named(ties, "t"))
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -221,6 +270,7 @@ def _joined(members: DataFrame, percent: int) -> DataFrame:
     def run(own):
         import pyarrow as pa
 
+        own = own.sort_by("point")  # the same links in every run
         sets = [np.frombuffer(s, dtype=np.uint64) for s in own.column("set").to_pylist()]
         links = join_region(own.column("point").to_pylist(), sets, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -292,13 +342,13 @@ def near_copies(
     ship(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(_points(texts, size))
-    clusters = cut(components(_candidates(texts, size, percent)))
+    regions = cut(_regions(texts, size, percent))
     owners = rows.where("n > 0").groupBy("point").agg(F.min("key").alias("key"))
-    wanted = cut(owners.join(clusters, F.col("point") == F.col("v")).select("key", "point", F.col("component").cast("string").alias("region")))
+    wanted = cut(owners.join(regions.select("point").distinct(), "point").select("key", "point"))
     keys = wanted.select("key").distinct()
-    chosen = texts.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, "key", "left_semi").drop("key")
+    chosen = texts.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, "key", "left_semi")
     sets = _sets(chosen.select(F.lit(0).alias("no"), "text"), size).dropDuplicates(["point"])
-    members = cut(sets.join(wanted.select("point", "region"), "point").select("region", "point", "set"))
+    members = cut(sets.join(regions, "point").select("region", "point", "set"))
     classes = components(region_links(members, percent=percent, cap=cap, pivots=pivots, depth=depth))
     least = owners.join(classes, F.col("point") == F.col("v"), "left").select("point", "key", F.coalesce("component", "point").alias("class"))
     heads = least.groupBy("class").agg(F.min("key").alias("component_id"))
