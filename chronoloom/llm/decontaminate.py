@@ -9,7 +9,8 @@
    CANDIDATE is a candidate. Words outside the block count in a passage's norm as the rarest words do, so a passage whose
    norm is mostly of such words can be passed over without being folded in.
 5. Around a candidate the longest common subsequence of words with the whole item is taken. SAME of the item's words in order
-   is a copy. A paraphrase has LIKE of them and the answer too: the rarest ANSWER words of the item's last third.
+   is a copy. A paraphrase has LIKE of them and the answer too: the rarest ANSWER words of the item's last third. Both
+   must have LIKE of the words by weight, so common words alone never make a match.
 
 Words are runs of letters, digits and all bytes beyond ASCII, in lower case.
 
@@ -205,7 +206,9 @@ def _search(own: np.ndarray, at: np.ndarray, b: Block, filter_: np.ndarray, doc:
             same, found = n / len(text), own[low + s : low + e]
             close = e - s <= 2 * len(text) + 8
             answer = b.answers[item]
-            if close and (same >= SAME or (same >= LIKE and np.isin(answer, found).sum() * 3 >= 2 * len(answer))):
+            weights = b.idf[b.places[item]]
+            weighty = weights[np.isin(text, found)].sum() >= LIKE * weights.sum()  # not by common words alone
+            if close and weighty and (same >= SAME or (same >= LIKE and np.isin(answer, found).sum() * 3 >= 2 * len(answer))):
                 done.add((k, item, x // max(len(text), PASSAGE)))
                 yield k, item, low + s - int(at[k]), low + e - int(at[k]), n, float(cosine[r, p])
 
