@@ -68,3 +68,24 @@ def test_label_lines(spark):
 def test_budget(spark):
     rows = spark.createDataFrame([(1, k, float(k), 1.0 - k / 100, "word " * (400 if k < 6 else 2)) for k in range(20)], "v int, pos int, start double, score double, text string")
     assert 5 <= R.within_budget(rows, ["v"], [F.desc("score")]).count() <= 8
+
+
+def test_components_of_edges_that_differ_between_runs(spark):
+    """Each run ties a group's points in another order; the components are the same."""
+
+    def chain(frames):
+        import random
+
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for _, own in f.groupby("g"):
+                v = own["id"].tolist()
+                random.SystemRandom().shuffle(v)
+                rows += list(zip(v, v[1:], strict=False))
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    points = spark.range(0, 400, 1, 1).withColumn("g", F.col("id") % 8)
+    found = components(points.mapInPandas(chain, "a long, b long")).collect()
+    assert len(found) == 400 and all(r.component == r.v % 8 for r in found)
