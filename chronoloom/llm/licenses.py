@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A word, before A-Z are lowered (upper-case letters count as word characters already).
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word's characters, before A-Z are lowered (upper-case letters are word characters already).
+INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = f"{INSIDE}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -44,13 +45,24 @@ COVERAGE, ANCHORS = 0.6, 2
 
 
 def words_of(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """All words, in the case that they have."""
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def lowered(w: Column) -> Column:
+    return F.translate(w, UPPER, LOWER)
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of these whole words in any case; they are ASCII."""
+    return f"(?i)(?<!{INSIDE})(?:{'|'.join(words)})(?!{INSIDE})"
 
 
 def weights(docs: DataFrame, *, text: str = "text") -> dict[str, float]:
-    """IDF of every word of the index over all documents. What is collected has a row for each such word, no more."""
+    """IDF of every word of the index over all documents. What is collected has a count for each such word, no more."""
     vocabulary = sorted({w for _, words, _ in TEMPLATES for w in words.split()} | {w for p in BASE for w in p.split()})
-    found = docs.select(F.array_intersect(words_of(text), F.array(*map(F.lit, vocabulary))).alias("w"))
+    held = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(any_of(vocabulary)), F.lit(0))
+    found = docs.select(F.array_distinct(F.transform(held, lowered)).alias("w"))
     # one row: the documents in all, and those with each word
     has = [F.count_if(F.array_contains("w", w)).alias(f"n{k}") for k, w in enumerate(vocabulary)]
     counts = found.agg(F.count("*").alias("n"), *has).first()
@@ -91,15 +103,12 @@ def scan(docs: DataFrame, idf: dict[str, float], *, coverage: float = COVERAGE,
     rarest = lambda words: sorted(range(len(words)), key=lambda j: (-idf[words[j]], j))
     plans = [(label, words.split(), must.split()) for label, words, must in TEMPLATES]
     looked_up = sorted({ws[j] for _, ws, _ in plans for j in rarest(ws)[:anchors]} | {p.split()[rarest(p.split())[0]] for p in BASE})
-    lookup = F.array(*map(F.lit, looked_up))
-    rows = docs.select(F.col(key), words_of(text).alias("words"))
-    rows = rows.withColumn(
-        "at",
-        F.when(
-            F.arrays_overlap("words", lookup),
-            F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(lookup, x.w)),
-        ).otherwise(F.array().cast("array<struct<w:string,i:int>>")),
-    )
+    # only texts with one of these words are looked at word by word
+    rows = docs.select(F.col(key), words_of(text).alias("all"), F.coalesce(F.col(text).rlike(any_of(looked_up)), F.lit(False)).alias("some"))
+    none = F.array().cast("array<string>")
+    rows = rows.select(key, F.size("all").cast("long").alias("n_words"), F.when(F.col("some"), F.transform("all", lowered)).otherwise(none).alias("words"))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    rows = rows.withColumn("at", F.filter(placed, lambda x: x.w.isin(looked_up)))
     at, words = F.col("at"), F.col("words")
     base = [_base_places(at, words, label, p.split(), rarest(p.split())[0]) for p, label in BASE.items()]
     found = [_template_places(at, words, label, ws, must, rarest(ws)[:anchors], idf, coverage) for label, ws, must in plans]
@@ -107,7 +116,7 @@ def scan(docs: DataFrame, idf: dict[str, float], *, coverage: float = COVERAGE,
     none_base, none_found = "array<struct<label:string,start:int>>", "array<struct<label:string,start:int,score:double>>"
     return rows.select(
         key,
-        F.size("words").cast("long").alias("n_words"),
+        "n_words",
         F.when(some, F.concat(*base)).otherwise(F.array().cast(none_base)).alias("base"),
         F.when(some, F.concat(*found)).otherwise(F.array().cast(none_found)).alias("found"),
     )
