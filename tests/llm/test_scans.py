@@ -60,6 +60,26 @@ def test_secrets(spark):
     assert clean[1] == 'so token = "[secret]" end and again [secret]' and clean[2] == rows[1][1] and clean[6] is None
 
 
+def test_secrets_at_any_place(spark):
+    """The first place of a key says nothing of the others, and what is assigned to a name may be short or of any characters."""
+    letters = "qWzRtPlKjHgFdSxCvBnMqWxZrTkLpN"
+    long = KEY + "77aa10"
+    rows = [
+        (1, f'see commit {KEY} and\nthen token = "{KEY}" end'), (2, f'x{KEY} first, token = "{KEY}"'), (3, 'password = "Tr0ub4dor&3" ok'), (4, "DB_PASSWORD=Tr0ub4dor&3\nuser"),
+        (5, f'api_key = "{letters}"'), (6, 'password = "winterdragon"'), (7, f'token = "{KEY}" then secret = "{long}"'), (8, f"AWS_SECRET_ACCESS_KEY={KEY}\n"),
+        (9, 'pwd: "ma!9xq" and ma!9xq 😀'), (10, "the token: a small unit of internationalization/organization"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("src"))
+    found = {(r.doc_id, r.token): (r.places, r.secret) for r in secrets.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert found[1, KEY] == (2, True) and found[2, KEY] == (1, True) and found[4, "Tr0ub4dor&3"] == (1, True)
+    assert clean == {
+        1: 'see commit [secret] and\nthen token = "[secret]" end', 2: 'x[secret] first, token = "[secret]"', 3: 'password = "[secret]" ok', 4: "DB_PASSWORD=[secret]\nuser",
+        5: 'api_key = "[secret]"', 6: 'password = "[secret]"', 7: 'token = "[secret]" then secret = "[secret]"', 8: "AWS_SECRET_ACCESS_KEY=[secret]\n",
+        9: 'pwd: "[secret]" and [secret] 😀', 10: rows[9][1],
+    }
+
+
 def test_forest_on_other_findings(spark):
     """Rows that it was not fitted on: those past the first LABELLED."""
     score = secrets.forest(secrets.labelled_findings(spark))
