@@ -7,8 +7,9 @@ at the end of the partitions are merged, some partitions at a time, level by lev
 
 Memory per task: ``windows`` sequences and one slice of texts. Merging moves ``windows`` sequences per partition, no more.
 
-Ids come from the ranks of the public byte-level BPE through tiktoken, which is the vocabulary of the ``tokenizers`` file and
-gives the same ids several times as fast; ``encoder(tokenizer="...json")`` uses ``tokenizers`` itself.
+Ids come from the ranks of the public byte-level BPE through tiktoken, which is the vocabulary of the ``tokenizers`` file and,
+with that file's added tokens (<|endoftext|>, found inside a text too), gives the same ids several times as fast;
+``encoder(tokenizer="...json")`` uses ``tokenizers`` itself.
 
 Defined cases: a null text is an empty text, so the document is its end id alone; an empty table gives an empty result; repeated
 rows are packed each on their own; other columns of the input are not looked at.
@@ -45,16 +46,18 @@ def encoder(tokenizer: str = "byte_bpe_50k.tiktoken"):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     import base64
+    import json
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(own.encode_ordinary(text), dtype=np.uint32)
+    with open(public_tokenizers.path(tokenizer.removesuffix(".tiktoken") + ".json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    own = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
 
 
 class Windows:

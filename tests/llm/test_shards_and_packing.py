@@ -89,3 +89,15 @@ def test_packing_odd_rows(odd, monkeypatch):
 @pytest.mark.parametrize("text", ["Hello  world\n\n x's 12 ünï <|endoftext|> !!", " " * 5000, "日本語" * 50, "don't  stop   \t now"])
 def test_both_tokenizers_agree(text):
     assert packing.encoder("byte_bpe_50k.json")(text).tolist() == packing.encoder("byte_bpe_50k.tiktoken")(text).tolist()
+
+
+@pytest.mark.parametrize("text", ["Hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "a\n <|endoftext|>\n\n b", "x<|endoftext|>'s <|endoftext|", ""])
+def test_added_tokens_as_the_library(text):
+    """Against a tokenizer that nothing was set on."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text).tolist() == packing.encoder("byte_bpe_50k.json")(text).tolist() == ids
+    if text.startswith("Hello"):
+        assert ids == [15496, 220, 50256, 2124]
