@@ -1,18 +1,26 @@
 """Exact similarity join of shingle sets under the Jaccard distance, which is a metric.
 
-1. Equal sets are one point. All further work is on points.
-2. Documents that have nothing in common are at distance 1 from each other and from every pivot, so Voronoi regions of the
-   whole table would hold everything (see README). Points are therefore first gathered in clusters that no link can leave: sets of
-   nearly the same size are cut by the shingles' hashes into more parts than the elements in which two linked sets can
-   differ, so linked sets have equal parts, and at least a known number of them. Pairs with so many are candidates.
-3. A cluster that fits a task is joined there exactly. A larger one is split: pivots create Voronoi regions, a point goes to the
-   region of its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the link distance
-   farther. Regions that are still too large are split again with other pivots, and after DEPTH rounds in pairs of blocks, which
-   is exact for any data.
-4. Links found in the regions are tied together by connected components.
-
-Defined cases: a text without words, or a null one, has an empty set and is linked with nothing; repeated rows are copies;
-an empty table gives an empty result; other columns are not looked at.
+1. Equal sets are one point (128-bit digests). All further work is on points.
+2. Most points are isolated, and a count proves it: of a linked set at most (100 - percent) % of the elements are missing in
+   the other. Shingles of a hash range are counted over the table; a point that owns more of them alone than may be missing
+   links with nothing. Every range gives a proof; a wider one proves more.
+3. The rest are gathered in clusters that no link can leave, which is what keeps points without a common shingle (at distance 1
+   from each other and from every pivot) apart: sets of nearly the same size are cut by the shingles' hashes into more parts
+   than the elements in which two linked sets can differ, so linked sets have equal parts, and at least a known number of them.
+4. Every cluster, of two points or of millions, is joined by pivots. A point within the link distance t of a pivot is linked with it
+   and belongs to the Voronoi region of its nearest pivot. A region reaches as far as its farthest point; the triangle inequality
+   asks for the points within t of that, which are copied to it as its boundary, and of the region's own points for those
+   whose distance from the pivot differs by at most t. Points within t of no pivot are joined among themselves, recursively,
+   with other pivots. A region's own points need no comparison with each other: they are linked through the pivot.
+5. Large clusters take a round at a time over the cluster (blocks of points meet the pivots; blocks of a region meet blocks of
+   its boundary), and small ones all rounds in one task. What is still large after ROUNDS is joined in pairs of blocks.
+6. Links are tied together by connected components.
+
+Every task holds a bounded number of points, whatever the size of a group. The result is exact for any data.
+
+Defined cases: a text without words, or a null one, has an empty set and is linked with nothing; a null key is a key, and a group
+whose keys are all null has a null component; repeated rows are copies; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -20,21 +28,20 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, ship, slices, table, text_buffer, written
 from ..operators.components import components
 from .shingles import shingle_sets
 
-#: Elements of a region that one task joins; pivots of a region; rounds of regions before blocks.
-CAP, PIVOTS, DEPTH = 1 << 22, 8, 3
+#: Points and elements of a cluster that one task joins; pivots of a round; rounds before blocks.
+POINTS, ELEMENTS, PIVOTS, ROUNDS = 256, 1 << 21, 8, 3
 #: Points of a part up to which its pairs are counted; classes and equal parts in a tag.
-FEW, TAG = 48, 1 << 16
-#: Rows of the smaller side up to which it is broadcast.
-SMALL = 1 << 20
-#: Bits of the largest filter of repeated parts, as a power of two: 32 MB. Bits that are gathered in one row.
-MOST_BITS, BLOCK = 28, 1 << 16
+FEW, TAG = 16, 1 << 16
+#: Rows of the smaller side up to which it is broadcast; points that a task of small clusters takes.
+SMALL, TASK = 1 << 20, 2048
+EPS = 1e-9
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -90,69 +97,90 @@ def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-def join_region(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the same points as all links of the region do.
-
-    A point is compared with the whole region at once, over the region's shingle lists. Points of one class need no more
-    comparisons with each other, so those of the last, largest class are never looked up.
-    """
-    m = len(ids)
-    if m < 2:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    if m == 2:
+class Sets:
+    """Some sets, with a code for each of their elements."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.heads = np.concatenate([[0], np.cumsum(self.sizes)])
+        kinds, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(kinds), dtype=bool)
+
+    def own(self, x: int) -> np.ndarray:
+        return self.codes[self.heads[x] : self.heads[x + 1]]
+
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Elements that set x shares with each of the others."""
+        if not len(others):
+            return np.zeros(0, dtype=np.int64)
+        self.mark[self.own(x)] = True
+        if len(others) == len(self.sizes):
+            hit = np.add.reduceat(self.mark[self.codes], self.heads[:-1], dtype=np.int64)
+        else:
+            hit = np.array([np.count_nonzero(self.mark[self.own(y)]) for y in others.tolist()], dtype=np.int64)
+        self.mark[self.own(x)] = False
+        return hit
+
+    def distances(self, x: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of set x from each of the others, and whether they are linked."""
+        n, m, hit = self.sizes[x], self.sizes[others], self.shared(x, others)
+        return 1 - hit / (n + m - hit), linked(hit, n, m, percent)
+
+
+def within(held: Sets, x: int, own: np.ndarray, far_x: np.ndarray, far_own: np.ndarray, percent: int) -> int:
+    """The first of own that is linked with x, or -1. far_x, far_own: distances from the pivots; by the triangle inequality
+    those that differ by more than the link distance are not compared."""
+    apart = np.abs(far_own - far_x[:, None]).max(axis=0)
+    for y in own[apart <= 1 - percent / 100 + EPS].tolist():
+        if held.distances(x, np.array([y]), percent)[1][0]:
+            return y
+    return -1
+
+
+def join_points(ids: list[int], sets: list[np.ndarray], percent: int, pivots: int = PIVOTS) -> list[tuple[int, int]]:
+    """Links that join the same points as all links of the cluster do, by pivots and Voronoi regions."""
+    if len(ids) == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(ids[0], ids[1])] if linked(shared, sizes[0], sizes[1], percent) else []
-    flat = np.concatenate(sets)
-    order = np.argsort(flat)
-    flat = flat[order]
-    run = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)  # equal shingles have one code
-    del flat
-    code = np.empty(len(order), dtype=np.int32)
-    code[order] = run
-    lists = np.repeat(np.arange(m, dtype=np.int32), sizes)[order]  # the points of each code, one code after the other
-    heads = np.searchsorted(run, np.arange(int(run[-1]) + 2))
-    del order, run
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    label, members, out = np.arange(m), {k: [k] for k in range(m)}, []
-    largest, waiting = 0, list(range(m - 1, -1, -1))
-    while waiting:
-        x = waiting.pop()
-        if len(members[label[x]]) == m:
-            break
-        if label[x] == largest and len(members[largest]) > 1:
-            # its class is the largest: it is needed only if another class overtakes
-            if all(label[y] == largest for y in waiting):
-                break
-            waiting.insert(0, x)
-            continue
-        own = code[ends[x] : ends[x + 1]]
-        spans = heads[own + 1] - heads[own]
-        at = np.repeat(heads[own] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(int(spans.sum()))
-        shared = np.bincount(lists[at], minlength=m)
-        for y in np.flatnonzero(linked(shared, sizes[x], sizes, percent)).tolist():
-            a, b = int(label[x]), int(label[y])
-            if a != b:
-                out.append((ids[x], ids[y]))
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                label[members[b]] = a
-                members[a] += members.pop(b)
-                if len(members[a]) > len(members.get(largest, [])):
-                    largest = a
-        if largest not in members:
-            largest = max(members, key=lambda k: len(members[k]))
+        return [(ids[0], ids[1])] if linked(shared, len(sets[0]), len(sets[1]), percent) else []
+    held, t = Sets(sets), 1 - percent / 100 + EPS
+    label, out = np.arange(len(ids)), []
+
+    def tie(x: int, y: int) -> None:
+        if label[x] != label[y]:
+            out.append((ids[x], ids[y]))
+            label[label == label[y]] = label[x]
+
+    active = np.arange(len(ids))
+    while len(active) > 1:
+        k = min(pivots, 1 + len(active) // 32)
+        both = [held.distances(int(p), active, percent) for p in active[:k]]
+        far, near = np.stack([b[0] for b in both]), np.stack([b[1] for b in both])
+        for p, x in np.argwhere(near).tolist():
+            tie(int(active[p]), int(active[x]))
+        others = np.arange(len(active)) >= k
+        nearest, owned = far.argmin(axis=0), near.any(axis=0)
+        for p in range(k):
+            own = np.flatnonzero(owned & others & (nearest == p))
+            if not len(own) or label[active].min() == label[active].max():
+                continue
+            boundary = np.flatnonzero(others & ~near[p] & (far[p] <= far[p, own].max() + t))
+            for x in boundary.tolist():
+                if label[active[x]] != label[active[own[0]]] and (y := within(held, int(active[x]), active[own], far[:, x], far[:, own], percent)) >= 0:
+                    tie(int(active[x]), y)
+        active = active[others & ~owned]
     return out
 
 
-def _digest(own: np.ndarray) -> np.int64:
+def _digests(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A 128-bit digest of each set, in two halves."""
     import xxhash
 
-    return np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+    return [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
 
 
 def _points(texts: DataFrame, size: int) -> DataFrame:
-    """(key, n, point) of every text. point: a digest of the set."""
+    """(key, n, a, b) of every text. a, b: a digest of the set."""
     kind = texts.schema["key"].dataType.simpleString()
 
     def run(batches):
@@ -160,81 +188,85 @@ def _points(texts: DataFrame, size: int) -> DataFrame:
 
         for batch in slices(batches, 1):
             sets = shingle_sets(*text_buffer(batch.column(1)), size)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([_digest(s) for s in sets], dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "point"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _digests(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "a", "b"])
 
-    return texts.mapInArrow(run, f"key {kind}, n long, point long")
+    return texts.mapInArrow(run, f"key {kind}, n long, a long, b long")
 
 
-def _parts(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The parts of every text."""
-    classes = size_classes(percent)
+def _range_of(percent: int) -> int:
+    """The shingles below this value are counted: twice the share that may be missing, so that points without a near one are
+    proved so with few exceptions."""
+    return min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100)
+
+
+def _sampled(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(shingle, a) of the shingles in the range, and the first half of their set's digest."""
+    below = np.uint64(_range_of(percent))
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, 1):
-            sets = [s for s in shingle_sets(*text_buffer(batch.column(1)), size) if len(s)]
-            flat = np.concatenate([*(part_values(s, classes, percent)[0] for s in sets), np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["part"])
+        for batch in slices(batches, 0):
+            sets = [s for s in shingle_sets(*text_buffer(batch.column(0)), size) if len(s)]
+            counts = [int(np.searchsorted(s, below)) for s in sets]
+            flat = np.concatenate([*(s[:k] for s, k in zip(sets, counts, strict=True)), np.zeros(0, np.uint64)])
+            a = np.repeat(_digests(sets)[0], counts) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(a)], names=["shingle", "a"])
 
-    return texts.mapInArrow(run, "part long")
+    return texts.select("text").mapInArrow(run, "shingle long, a long")
 
 
-def _chosen_parts(texts: DataFrame, size: int, percent: int, bits: int, filter_) -> DataFrame:
-    """(part, point, tag) of the parts whose bit is set."""
-    classes = size_classes(percent)
+def _not_isolated(texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(point, key, a, b): the points that may have links. point is a number of its own.
+
+    Two points could pass for one here only if the halves of their digests agreed; that matters if they are linked besides.
+    """
+    alone = _sampled(texts, size, percent).groupBy("shingle").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a = last")
+    alone = alone.groupBy("a").agg(F.count("*").alias("alone"))
+    points = rows.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.min("key").alias("key"))
+    some = points.join(alone, "a", "left").where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n"))
+    return cut(some.select(F.monotonically_increasing_id().alias("point"), "key", "a", "b"))
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, set) of every text."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, 1):
-            sets = [s for s in shingle_sets(*text_buffer(batch.column(1)), size) if len(s)]
-            both = [part_values(s, classes, percent) for s in sets]
-            flat = np.concatenate([*(v for v, _ in both), np.zeros(0, np.uint64)])
-            tags = np.concatenate([*(t for _, t in both), np.zeros(0, np.int32)])
-            points = np.repeat(np.array([_digest(s) for s in sets], dtype=np.int64), [len(v) for v, _ in both])
-            at = (flat >> np.uint64(64 - bits)).astype(np.int64)
-            hit = (filter_.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit].view(np.int64)), pa.array(points[hit]), pa.array(tags[hit])], names=["part", "point", "tag"])
+        for batch in slices(batches, 0):
+            sets = [s for s in shingle_sets(*text_buffer(batch.column(0)), size) if len(s)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _digests(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "set"])
 
-    return texts.mapInArrow(run, "part long, point long, tag int")
+    return texts.select("text").mapInArrow(run, "a long, b long, set binary")
 
 
-def _occupied(parts: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each head of the parts, as bytes. It has 2 ** bits bits; BLOCK of them are gathered at a time."""
-    head = F.shiftrightunsigned("part", 64 - bits)
-    heads = parts.select(head.alias("head")).distinct().withColumn("block", F.floor(F.col("head") / BLOCK))
+def _parts(sets: DataFrame, percent: int) -> DataFrame:
+    """(part, point, tag) of the parts of every point."""
+    classes = size_classes(percent)
 
-    def pack(own):
+    def run(batches):
         import pyarrow as pa
 
-        out = np.zeros(BLOCK, dtype=np.uint8)
-        out[own.column("head").to_numpy() % BLOCK] = 1
-        return pa.table({"block": own.column("block").slice(0, 1), "bytes": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+        for batch in slices(batches, 1):
+            both = [part_values(np.frombuffer(s, dtype=np.uint64), classes, percent) for s in batch.column(1).to_pylist()]
+            flat = np.concatenate([*(v for v, _ in both), np.zeros(0, np.uint64)])
+            tags = np.concatenate([*(t for _, t in both), np.zeros(0, np.int32)])
+            points = np.repeat(batch.column(0).to_numpy(), [len(v) for v, _ in both])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(points), pa.array(tags)], names=["part", "point", "tag"])
 
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in heads.groupBy("block").applyInArrow(pack, "block long, bytes binary").collect():  # 2 ** bits bits in all
-        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bytes, dtype=np.uint8)
-    return out
+    return sets.select("point", "set").mapInArrow(run, "part long, point long, tag int")
 
 
-def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
+def clusters(sets: DataFrame, percent: int) -> DataFrame:
     """(point, region): points that can be linked share a region.
 
-    Most parts belong to one text. They are counted first, as bare values; then only those that come twice are made again with
-    their points. The bits that tell them apart may let others through, and the counts take those out.
-
-    Parts of up to FEW points: two points that share as many parts as linked ones must are a candidate, and candidates' components
-    are regions. Parts of more points: the points are tied to the least of them, and the components of these ties are further
-    regions. A candidate's missing parts may be among those, so the parts that a point has there count for it.
+    Parts of up to FEW points: two points that share as many parts as linked ones must are tied. Parts of more points: the points are
+    tied to the least of them. A pair's missing parts may be among those, so the parts that a point has there count for it.
     """
-    spark = texts.sparkSession
-    twice = written(_parts(texts, size, percent).groupBy("part").agg(F.count("*").alias("copies")).where("copies > 1").select("part"))
-    bits = min(max(int(twice.count()).bit_length() + 5, 16), MOST_BITS)
-    some = written(_chosen_parts(texts, size, percent, bits, spark.sparkContext.broadcast(_occupied(twice, bits))))
-    # copies of a set count too: that only lets more through
-    groups = some.groupBy("part").agg(F.count("*").alias("m"), F.min("point").alias("least"), F.max("point").alias("most")).where("least < most").drop("most")
+    some = written(_parts(sets, percent))
+    groups = some.groupBy("part").agg(F.count("*").alias("m"), F.min("point").alias("least")).where("m > 1")
     held = some.join(groups, "part").withColumn("class", F.floor(F.col("tag") / TAG).cast("int")).withColumn("must", (F.col("tag") % TAG).cast("int"))
     held = written(held.drop("tag"))
     many = held.where(F.col("m") > FEW)
@@ -246,118 +278,191 @@ def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(wide.withColumnsRenamed({"point": end, "wide": f"wide_{end}"}), [end, "class"], "left")
     need = F.col("must") - F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-    close = components(pairs.where(F.col("shared") >= need).select("a", "b"))
-    ties = components(many.select(F.col("least").alias("a"), F.col("point").alias("b")).distinct())
-    named = lambda rows, mark: rows.select(F.col("v").alias("point"), F.concat(F.lit(mark), F.col("component").cast("string")).alias("region"))
-    return named(close, "c").unionByName(named(ties, "t"))
+    ties = many.select(F.col("least").alias("a"), F.col("point").alias("b")).distinct()
+    found = components(pairs.where(F.col("shared") >= need).select("a", "b").unionByName(ties))
+    return found.select(F.col("v").alias("point"), F.col("component").alias("region"))
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(point, set) of every text."""
+_LINKS = "a long, b long"
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in slices(batches, 1):
-            sets = shingle_sets(*text_buffer(batch.column(1)), size)
-            points = pa.array(np.array([_digest(s) for s in sets], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([points, pa.array([s.tobytes() for s in sets], pa.binary())], names=["point", "set"])
+def _link_table(links: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return texts.mapInArrow(run, "point long, set binary")
 
+def _unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(s, dtype=np.uint64) for s in column.to_pylist()]
+
+
+def _joined(members: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Links of regions that fit a task; a task takes several."""
+    n = max(1, -(-members.count() // TASK))
 
-def _joined(members: DataFrame, percent: int) -> DataFrame:
     def run(own):
-        import pyarrow as pa
+        own = own.sort_by([("region", "ascending"), ("point", "ascending")])
+        region, links = own.column("region").to_numpy(), []
+        heads = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            part = own.slice(a, b - a)
+            if b - a > 1:
+                links += join_points(part.column("point").to_pylist(), _unpacked(part.column("set")), percent, pivots)
+        return _link_table(links)
 
-        own = own.sort_by("point")  # the same links in every run
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in own.column("set").to_pylist()]
-        links = join_region(own.column("point").to_pylist(), sets, percent)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    return members.groupBy(F.pmod(F.xxhash64("region"), F.lit(n)).alias("task")).applyInArrow(run, _LINKS)
 
-    return members.groupBy("region").applyInArrow(run, "a long, b long")
 
+def _large(members: DataFrame, most: int) -> DataFrame:
+    """(region, points, blocks) of the regions that do not fit a task."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.octet_length("set") / 8).alias("elements"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("points") / most), F.ceil(F.col("elements") / ELEMENTS)).cast("int"))
+    return cut(sizes.where("blocks > 1").select("region", "points", "blocks"))
 
-def _elements(members: DataFrame) -> DataFrame:
-    return members.groupBy("region").agg(F.sum(F.octet_length("set") / 8).alias("elements"), F.count("*").alias("points"))
 
+def _block(blocks: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "point"), blocks).cast("int")
 
-def _voronoi(members: DataFrame, sizes: DataFrame, percent: int, pivots: int, depth: int) -> DataFrame:
-    """Members of the sub-regions: each point with its nearest pivot, and with those that the triangle inequality asks for."""
-    sized = members.join(sizes.select("region", "points"), "region")
-    drawn = F.pmod(F.xxhash64(F.lit(depth), "point"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(4.0 * pivots) / F.col("points")
-    first = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(depth + 100), "point"), "point")
-    chosen = sized.where(drawn).withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)  # about 4 * pivots rows a region
-    centres = chosen.groupBy("region").agg(F.sort_array(F.collect_list("set")).alias("pivots"))
-    margin = 2 * (100 - percent) / 100 + 1e-9
 
-    def run(batches):
+def _measured(members: DataFrame, sizes: DataFrame, percent: int, pivots: int, level: int) -> DataFrame:
+    """region, point, set, far (distances from the pivots), links (pivots that it is linked with), pivot (its own number or -1).
+
+    A task has a block of a region's points and the region's pivots.
+    """
+    sized = members.join(sizes, "region")
+    drawn = F.pmod(F.xxhash64(F.lit(level), "point"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(4.0 * pivots) / F.col("points")
+    first = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(level + 100), "point"), "point")
+    chosen = sized.where(drawn).withColumn("k", F.row_number().over(first) - 1).where(F.col("k") < pivots)  # about 4 * pivots rows a region
+    centres = chosen.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "k", "point", "set")
+    rows = sized.select("region", _block(F.col("blocks"), level).alias("block"), F.lit(-1).alias("k"), "point", "set")
+
+    def run(own):
         import pyarrow as pa
 
-        for batch in batches:
-            regions, points, sets = [], [], []
-            for r in batch.to_pylist():
-                own = np.frombuffer(r["set"], dtype=np.uint64)
-                centre = [np.frombuffer(p, dtype=np.uint64) for p in r["pivots"] or [r["set"]]]
-                shared = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in centre])
-                far = 1 - shared / (len(own) + np.array([len(p) for p in centre]) - shared)
-                for j in np.flatnonzero(far <= far.min() + margin).tolist():
-                    regions.append(f"{r['region']}/{j}")
-                    points.append(r["point"])
-                    sets.append(r["set"])
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.string()), pa.array(points, pa.int64()), pa.array(sets, pa.binary())], names=["region", "point", "set"])
-
-    return members.join(centres, "region", "left").select("region", "point", "set", "pivots").mapInArrow(run, "region string, point long, set binary")
-
-
-def _blocks(members: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
-    """Pairs of blocks of a region: every two of its points meet, and a pair of blocks fits a task."""
-    sized = members.join(sizes.select("region", F.ceil(F.col("elements") * 3 / F.lit(cap)).cast("int").alias("g")), "region")
-    mine = F.pmod(F.xxhash64(F.lit("block"), "point"), F.col("g")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.concat_ws("-", F.least(j, mine), F.greatest(j, mine)))
-    return sized.select(F.explode(pairs).alias("pair"), "region", "point", "set").select(F.concat_ws(":", "region", "pair").alias("region"), "point", "set")
-
-
-def region_links(members: DataFrame, *, percent: int, cap: int = CAP, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) of the points of each region: members have region (text), point, set."""
-    done, now = [], members
-    for level in range(depth + 1):
-        sizes = cut(_elements(now).where(F.col("elements") > cap))
+        own = own.sort_by([("k", "ascending"), ("point", "ascending")])
+        k, point, packed = own.column("k").to_numpy(), own.column("point").to_numpy(), own.column("set")
+        n, held = int((k < 0).sum()), Sets(_unpacked(packed))
+        both = [held.distances(p, np.arange(len(k)), percent) for p in range(n, len(k))]
+        far = [list(map(float, row)) for row in zip(*(b[0][:n] for b in both), strict=True)] or [[]] * n
+        links = [list(map(int, np.flatnonzero(row))) for row in zip(*(b[1][:n] for b in both), strict=True)] or [[]] * n
+        numbers = {int(p): int(j) for p, j in zip(point[n:], k[n:], strict=True)}
+        return pa.table({
+            "region": own.column("region").slice(0, n), "point": point[:n], "set": packed.slice(0, n), "far": pa.array(far, pa.list_(pa.float64())),
+            "links": pa.array(links, pa.list_(pa.int32())), "pivot": pa.array([numbers.get(int(p), -1) for p in point[:n]], pa.int32()),
+            "centres": pa.array([point[n:].tolist()] * n, pa.list_(pa.int64())),
+        })
+
+    schema = "region long, point long, set binary, far array<double>, links array<int>, pivot int, centres array<long>"
+    return written(rows.unionByName(centres).groupBy("region", "block").applyInArrow(run, schema))
+
+
+def _pivot_classes(measured: DataFrame) -> DataFrame:
+    """(region, classes): pivots that points tie together have one class. A region has 2 ** pivots kinds of ties at most."""
+
+    def run(own):
+        import pyarrow as pa
+
+        lists = own.column("links").to_pylist()
+        label = list(range(max(max(x) for x in lists) + 1))
+        for x in lists:
+            old = {label[j] for j in x}
+            label = [min(old) if c in old else c for c in label]
+        return pa.table({"region": own.column("region").slice(0, 1), "classes": pa.array([label], pa.list_(pa.int32()))})
+
+    return cut(measured.where(F.size("links") > 0).select("region", "links").distinct().groupBy("region").applyInArrow(run, "region long, classes array<int>"))
+
+
+def _boundaries(measured: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links between a Voronoi region's own points and its boundary; blocks of both meet."""
+    far, links = F.col("far"), F.col("links")
+    points = measured.where("pivot < 0").join(classes, "region")
+    points = points.withColumn("mine", F.when(F.size("links") > 0, F.get("classes", F.get("links", F.lit(0)))))
+    nearest = (F.array_position(far, F.array_min(far)) - 1).cast("int")
+    owned = points.where(F.size(links) > 0).withColumn("cell", nearest)
+    margin = 1 - percent / 100 + EPS
+    reach = cut(owned.groupBy("region", "cell").agg((F.max(F.array_min(far)) + margin).alias("reach"), F.count("*").alias("n_own"), F.sum(F.octet_length("set") / 8).alias("e_own")))
+    near = points.join(reach, "region").where((F.get("far", F.col("cell")) <= F.col("reach")) & ~F.array_contains("links", F.col("cell")))
+    near = near.where(~F.get("classes", F.col("cell")).eqNullSafe(F.col("mine"))).select("region", "cell", "point", "set", "far")
+    near = written(near)
+    counts = near.groupBy("region", "cell").agg(F.count("*").alias("n_near"), F.sum(F.octet_length("set") / 8).alias("e_near"))
+    blocks = lambda n, e: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(e) / ELEMENTS)).cast("int")
+    shape = cut(counts.join(reach, ["region", "cell"]).select("region", "cell", blocks("n_own", "e_own").alias("rows"), blocks("n_near", "e_near").alias("columns")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = owned.join(shape, ["region", "cell"]).select("region", "cell", _block(F.col("rows"), 7).alias("i"), each("columns").alias("j"), F.lit(True).alias("own"), "point", "set", "far")
+    right = near.join(shape, ["region", "cell"]).select("region", "cell", each("rows").alias("i"), _block(F.col("columns"), 8).alias("j"), F.lit(False).alias("own"), "point", "set", "far")
+
+    def run(part):
+        part = part.sort_by("point")
+        is_own, point = part.column("own").to_numpy(zero_copy_only=False), part.column("point").to_numpy()
+        own, links = np.flatnonzero(is_own), []
+        if len(own) and len(own) < len(point):
+            held, far = Sets(_unpacked(part.column("set"))), np.array(part.column("far").to_pylist()).T
+            for x in np.flatnonzero(~is_own).tolist():
+                if (y := within(held, x, own, far[:, x], far[:, own], percent)) >= 0:
+                    links.append((int(point[x]), int(point[y])))
+        return _link_table(links)
+
+    return left.unionByName(right).groupBy("region", "cell", "i", "j").applyInArrow(run, _LINKS)
+
+
+def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Every two points of a region meet, and a pair of blocks fits a task."""
+    sized = members.join(sizes.select("region", F.col("blocks").alias("g")), "region")
+    mine = _block(F.col("g"), 9)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    rows = sized.select(F.explode(pairs).alias("pair"), "region", "point", "set")
+
+    def run(own):
+        own = own.sort_by("point")
+        return _link_table(join_points(own.column("point").to_pylist(), _unpacked(own.column("set")), percent, pivots) if own.num_rows > 1 else [])
+
+    return rows.select("region", "pair.i", "pair.j", "point", "set").groupBy("region", "i", "j").applyInArrow(run, _LINKS)
+
+
+def region_links(members: DataFrame, *, percent: int, points: int = POINTS, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) that join the same points as all links of each region do: members have region, point, set."""
+    links, now = [], members
+    for level in range(rounds + 1):
+        sizes = _large(now, points)
         if sizes.isEmpty():
-            done.append(now)
+            links.append(_joined(now, percent, pivots))
+            break
+        links.append(_joined(now.join(sizes, "region", "left_anti"), percent, pivots))
+        now = now.join(sizes, "region", "left_semi").select("region", "point", "set")
+        if level == rounds:
+            links.append(_pairs_of_blocks(now, sizes, percent, pivots))
             break
-        done.append(now.join(sizes.select("region"), "region", "left_anti"))
-        large = now.join(sizes.select("region"), "region", "left_semi")
-        now = cut(_voronoi(large, sizes, percent, pivots, level) if level < depth else _blocks(large, sizes, cap))
-        if level == depth:
-            done.append(now)
-    return _joined(functools.reduce(DataFrame.unionByName, done), percent)
+        measured = _measured(now, sizes, percent, pivots, level)
+        to_pivots = measured.select("point", F.explode(F.transform("links", lambda j: F.get("centres", j))).alias("pivot_point")).where("point <> pivot_point")
+        links.append(to_pivots.select(F.col("point").alias("a"), F.col("pivot_point").alias("b")))
+        links.append(_boundaries(measured, _pivot_classes(measured), percent, points))
+        now = measured.where("pivot < 0 AND size(links) = 0").select("region", "point", "set")
+    return functools.reduce(DataFrame.unionByName, links)
 
 
 def near_copies(
-    docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text", cap: int = CAP, pivots: int = PIVOTS, depth: int = DEPTH
+    docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text", points: int = POINTS, pivots: int = PIVOTS, rounds: int = ROUNDS
 ) -> DataFrame:
     """key, n_shingles, component_id (least key of those that links reach) of every row. A link: percent of the union is shared."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(_points(texts, size))
-    regions = cut(_regions(texts, size, percent))
-    owners = rows.where("n > 0").groupBy("point").agg(F.min("key").alias("key"))
-    wanted = cut(owners.join(regions.select("point").distinct(), "point").select("key", "point"))
-    keys = wanted.select("key").distinct()
-    chosen = texts.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, "key", "left_semi")
-    sets = _sets(chosen.select(F.lit(0).alias("no"), "text"), size).dropDuplicates(["point"])
-    members = cut(sets.join(regions, "point").select("region", "point", "set"))
-    classes = components(region_links(members, percent=percent, cap=cap, pivots=pivots, depth=depth))
-    least = owners.join(classes, F.col("point") == F.col("v"), "left").select("point", "key", F.coalesce("component", "point").alias("class"))
-    heads = least.groupBy("class").agg(F.min("key").alias("component_id"))
-    named = least.join(heads, "class").select("point", "component_id")
-    return (
-        rows.select("key", "n", F.when(F.col("n") > 0, F.col("point")).alias("point"))
-        .join(named, "point", "left")
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
-    )
+    some = _not_isolated(texts, rows, size, percent)
+    keys = some.select(F.col("key").alias("chosen")).distinct()
+    keys = F.broadcast(keys) if some.count() <= SMALL else keys
+    chosen = texts.join(keys, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
+    sets = written(_sets(chosen, size).dropDuplicates(["a", "b"]).join(some, ["a", "b"]).select("point", "set"))
+    members = written(sets.join(clusters(sets, percent), "point").select("region", "point", "set"))
+    classes = components(region_links(members, percent=percent, points=points, pivots=pivots, rounds=rounds))
+    # points that nothing is linked with are their own class and need no row
+    named = some.join(classes, F.col("point") == F.col("v")).select("component", "key", "a", "b")
+    heads = named.groupBy("component").agg(F.min("key").alias("component_id"))
+    named = named.join(heads, "component").select("a", "b", F.lit(True).alias("joined"), "component_id")
+    alone = rows.where("n > 0").groupBy("a", "b").agg(F.count("*").alias("copies"), F.min("key").alias("least")).where("copies > 1").select("a", "b", "least")
+    found = rows.join(named, ["a", "b"], "left").join(alone, ["a", "b"], "left")
+    own = F.when(F.col("joined"), F.col("component_id")).when(F.col("n") == 0, F.col("key")).otherwise(F.coalesce("least", "key"))
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op3_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:

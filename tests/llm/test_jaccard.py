@@ -50,15 +50,83 @@ def near_texts(seed, groups=12, most=14):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "size", "percent", "cap", "few"), [(1, 3, 90, 1 << 22, 48), (2, 5, 80, 1 << 22, 48), (3, 5, 80, 300, 48), (4, 3, 90, 1 << 22, 2), (5, 5, 80, 400, 3)])
-def test_against_all_pairs(spark, monkeypatch, seed, size, percent, cap, few):
+@pytest.mark.parametrize(("seed", "size", "percent", "points", "few"), [(1, 3, 90, 256, 16), (2, 5, 80, 256, 16), (3, 5, 80, 3, 16), (4, 3, 90, 256, 2), (5, 5, 80, 4, 3), (6, 5, 60, 4, 1)])
+def test_against_all_pairs(spark, monkeypatch, seed, size, percent, points, few):
+    """Small clusters in one task, large ones by rounds over tasks, and pairs of blocks, are all exact."""
     monkeypatch.setattr(jaccard, "FEW", few)
     texts = near_texts(seed)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(docs, size=size, percent=percent, cap=cap, pivots=3, depth=2).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(docs, size=size, percent=percent, points=points, pivots=3, rounds=2).collect()}
     assert found == brute(texts, size, percent)
 
 
+def chained_sets(rng, n):
+    """Sets that drift: neighbours are linked, far ones are not."""
+    now, out = rng.integers(0, 1 << 62, 60).astype(np.uint64), []
+    for _ in range(n):
+        now = now.copy()
+        now[rng.integers(0, 60, int(rng.integers(1, 9)))] = rng.integers(0, 1 << 62, 1).astype(np.uint64)
+        out.append(np.unique(now))
+    return out
+
+
+def classes_of(n, links):
+    label = list(range(n))
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = [min(x, y) if c in (x, y) else c for c in label]
+    return label
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_regions_in_a_task(percent):
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sets = chained_sets(rng, int(rng.integers(2, 90)))
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent)]
+        found = jaccard.join_points(list(range(len(sets))), sets, percent, pivots=4)
+        assert set(map(tuple, map(sorted, found))) <= set(map(tuple, map(sorted, pairs)))
+        assert classes_of(len(sets), found) == classes_of(len(sets), pairs)
+
+
+def test_regions_over_tasks(spark):
+    """One region of 150 points with at most 10 in a task: regions, boundaries and recursion give the links' classes, from few comparisons."""
+    sets = chained_sets(np.random.default_rng(4), 150)
+    members = spark.createDataFrame([(1, k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "region long, point long, set binary")
+    pairs = [(a, b) for a in range(150) for b in range(a) if jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)]
+    measured = jaccard._measured(members, jaccard._large(members, 10), 80, 4, 0)
+    assert measured.where("size(links) > 0 AND pivot < 0").count() > 0
+    links = [(r.a, r.b) for r in jaccard.region_links(members, percent=80, points=10, pivots=4, rounds=3).collect()]
+    assert set(map(tuple, map(sorted, links))) <= set(map(tuple, map(sorted, pairs)))
+    assert classes_of(150, links) == classes_of(150, pairs)
+    boundary = jaccard._boundaries(measured, jaccard._pivot_classes(measured), 80, 10)
+    assert boundary.count() > 0  # a region's own points and those copied to it
+
+
+def test_isolated_points_are_proved(spark):
+    """Those that are left out have no link, and few others are left in."""
+    rng = random.Random(9)
+    texts = near_texts(9) | {1000 + k: " ".join(f"u{rng.random()}" for _ in range(120)) for k in range(200)}
+    rows = spark.createDataFrame(list(texts.items()), "key long, text string")
+    points = jaccard._points(rows, 5).cache()
+    kept = {r.key for r in jaccard._not_isolated(rows, points, 5, 80).collect()}
+    heads = [top for _, top in brute(texts, 5, 80).values()]
+    least = {(r.a, r.b): min(k.key for k in points.collect() if (k.a, k.b) == (r.a, r.b)) for r in points.collect()}
+    linked_keys = {k for k, (_, top) in brute(texts, 5, 80).items() if heads.count(top) > 1}
+    distinct = {least[r.a, r.b] for r in points.collect() if r.key in linked_keys}
+    heads_of = brute({k: texts[k] for k in distinct}, 5, 80)
+    need = {k for k, (_, top) in heads_of.items() if [t for _, t in heads_of.values()].count(top) > 1}
+    assert need <= kept and sum(k >= 1000 for k in kept) <= 10
+
+
+def test_null_and_shared_keys(spark):
+    """Rows under null keys, and other texts under the same key, are joined by their texts."""
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(None, a), (7, a + " more"), (7, b), (9, b), (None, "quite alone")]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90).collect()), key=str)
+    assert found == sorted([(None, 48, 7), (7, 49, 7), (7, 48, 7), (9, 48, 7), (None, 1, None)], key=str)
+
+
 def test_sql_twin(spark, duck):
     check(jaccard.op3_jaccard_metric_join, jaccard.SQL_OP3, spark, duck, SMALL)
 
