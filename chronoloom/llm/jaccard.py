@@ -195,9 +195,9 @@ def _points(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _range_of(percent: int) -> int:
-    """The shingles below this value are counted: twice the share that may be missing, so that points without a near one are
+    """The shingles below this value are counted: half as many again as may be missing, so that points without a near one are
     proved so with few exceptions."""
-    return min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100)
+    return min((1 << 64) - 1, (1 << 64) * 3 * (100 - percent) // 200)
 
 
 def _sampled(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -229,17 +229,26 @@ def _not_isolated(texts: DataFrame, rows: DataFrame, size: int, percent: int) ->
     return cut(some.select(F.monotonically_increasing_id().alias("point"), "key", "a", "b"))
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, set) of every text."""
+def _sets(texts: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(point, set) of the points."""
+    some = some.withColumnRenamed("key", "chosen")
+    some = F.broadcast(some) if some.count() <= SMALL else some
+    chosen = texts.join(some, F.col("key").eqNullSafe(F.col("chosen"))).select("text", "point", "a", "b")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, 0):
-            sets = [s for s in shingle_sets(*text_buffer(batch.column(0)), size) if len(s)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, _digests(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "set"])
+            sets = shingle_sets(*text_buffer(batch.column(0)), size)
+            a, b = _digests(sets)
+            keep = (a == batch.column(2).to_numpy()) & (b == batch.column(3).to_numpy())  # a key may have other texts
+            held = pa.array([s.tobytes() for s, k in zip(sets, keep.tolist(), strict=True) if k], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep)), held], names=["point", "set"])
 
-    return texts.select("text").mapInArrow(run, "a long, b long, set binary")
+    sets = written(chosen.mapInArrow(run, "point long, set binary"))
+    if sets.groupBy("point").count().where("count > 1").isEmpty():
+        return sets
+    return written(sets.dropDuplicates(["point"]))  # rows that repeat under one key
 
 
 def _parts(sets: DataFrame, percent: int) -> DataFrame:
@@ -353,7 +362,7 @@ def _measured(members: DataFrame, sizes: DataFrame, percent: int, pivots: int, l
         })
 
     schema = "region long, point long, set binary, far array<double>, links array<int>, pivot int, centres array<long>"
-    return written(rows.unionByName(centres).groupBy("region", "block").applyInArrow(run, schema))
+    return written(rows.unionByName(centres).repartition("region", "block").groupBy("region", "block").applyInArrow(run, schema))
 
 
 def _pivot_classes(measured: DataFrame) -> DataFrame:
@@ -402,7 +411,7 @@ def _boundaries(measured: DataFrame, classes: DataFrame, percent: int, most: int
                     links.append((int(point[x]), int(point[y])))
         return _link_table(links)
 
-    return left.unionByName(right).groupBy("region", "cell", "i", "j").applyInArrow(run, _LINKS)
+    return left.unionByName(right).repartition("region", "cell", "i", "j").groupBy("region", "cell", "i", "j").applyInArrow(run, _LINKS)
 
 
 def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, percent: int, pivots: int) -> DataFrame:
@@ -416,7 +425,7 @@ def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, percent: int, pivots:
         own = own.sort_by("point")
         return _link_table(join_points(own.column("point").to_pylist(), _unpacked(own.column("set")), percent, pivots) if own.num_rows > 1 else [])
 
-    return rows.select("region", "pair.i", "pair.j", "point", "set").groupBy("region", "i", "j").applyInArrow(run, _LINKS)
+    return rows.select("region", "pair.i", "pair.j", "point", "set").repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(run, _LINKS)
 
 
 def region_links(members: DataFrame, *, percent: int, points: int = POINTS, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
@@ -449,11 +458,10 @@ def near_copies(
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = cut(_points(texts, size))
     some = _not_isolated(texts, rows, size, percent)
-    keys = some.select(F.col("key").alias("chosen")).distinct()
-    keys = F.broadcast(keys) if some.count() <= SMALL else keys
-    chosen = texts.join(keys, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = written(_sets(chosen, size).dropDuplicates(["a", "b"]).join(some, ["a", "b"]).select("point", "set"))
-    members = written(sets.join(clusters(sets, percent), "point").select("region", "point", "set"))
+    sets = _sets(texts, some, size)
+    regions = cut(clusters(sets, percent))
+    regions = F.broadcast(regions) if regions.count() <= SMALL else regions
+    members = sets.join(regions, "point").select("region", "point", "set")
     classes = components(region_links(members, percent=percent, points=points, pivots=pivots, rounds=rounds))
     # points that nothing is linked with are their own class and need no row
     named = some.join(classes, F.col("point") == F.col("v")).select("component", "key", "a", "b")
