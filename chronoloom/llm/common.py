@@ -60,7 +60,7 @@ def byte_table(seed: int) -> np.ndarray:
 def slices(batches, column: int, most: int = 1 << 20):
     """The batches in pieces of about ``most`` bytes of text (one text at least), so that memory doesn't follow the batch size."""
     for batch in batches:
-        _, offsets = text_buffer(batch.column(column))
+        _, offsets = text_buffer(batch.column(column % batch.num_columns))
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)

@@ -6,35 +6,42 @@
 3. A distributed randomised SVD of the items' TF-IDF passages gives the latent space: partitions multiply their rows with a random
    matrix and back, sums are taken by term, and two power rounds sharpen them.
 4. Every document is cut into passages, which are folded into the space. A passage whose cosine with an item's passage reaches
-   CANDIDATE is a candidate. Words outside the block count in a passage's norm as the rarest words do, so a passage whose
-   norm is mostly of such words can be passed over without being folded in.
+   CANDIDATE is a candidate, if its words have OVERLAP of the item's passage by weight. Words outside the block count as the
+   items' words do in the mean, and its length as no more than LONGEST times that of the item's passage, so what else
+   stands beside a short item plays no great part, nor the number of documents, by which all weights grow.
 5. Around a candidate the longest common subsequence of words with the whole item is taken. SAME of the item's words in order
    is a copy. A paraphrase has LIKE of them and the answer too: the rarest ANSWER words of the item's last third. Both
    must have LIKE of the words by weight, so common words alone never make a match.
+6. What was found is left out when the same item is looked for beside it, so an item that stands in a text several times has a row for
+   each place.
 
 Words are runs of letters, digits and all bytes beyond ASCII, in lower case.
 
 Defined cases: null or empty texts hold no words and match nothing, as items too; repeated rows are matched each on their own; items
-with equal texts all match; an empty table gives an empty result; other columns are not looked at.
+with equal texts all match; of two overlapping places of one item the one that the earlier passage leads to is given; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, cut, mix64, ship, slices, table, text_buffer
+from .common import byte_table, mix64, ship, slices, table, text_buffer
 from .shingles import powers
 
 PASSAGE, STRIDE = 32, 16
 #: Dimensions of the latent space, and more that the random matrix has.
 DIMENSIONS, EXTRA, ROUNDS = 128, 16, 2
-CANDIDATE, SAME, LIKE, ANSWER = 0.15, 0.8, 0.55, 3
+CANDIDATE, OVERLAP, LONGEST = 0.2, 0.3, 2.0
+SAME, LIKE, ANSWER = 0.8, 0.55, 3
 #: Words of the items that are searched for at a time.
 BLOCK_WORDS = 200_000
+LOWERED = "__lowered"
 
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -72,12 +79,15 @@ class Block:
     texts: list[np.ndarray]  # word values of each item
     terms: np.ndarray  # sorted
     idf: np.ndarray
-    rarest: float  # weight of a word outside the block
-    basis: np.ndarray  # [terms, dimensions]
-    vectors: np.ndarray  # [passages, dimensions], of unit length in the space of all terms
+    mean: float  # root of the items' words' mean squared weight
+    basis: np.ndarray  # [terms, dimensions], times the terms' weights
+    vectors: np.ndarray  # [passages, dimensions]
     owner: np.ndarray  # item of each passage
     answers: list[np.ndarray]
     places: list[np.ndarray]  # of each item's words among the terms
+    weights: list[np.ndarray]  # of each item's words
+    kinds: np.ndarray  # [passages, PASSAGE]: each passage's terms, and then one beyond them
+    shares: np.ndarray  # of the passage's weight, of these terms
 
 
 def _lookup(values: np.ndarray, terms: np.ndarray, filter_: np.ndarray) -> np.ndarray:
@@ -98,13 +108,12 @@ def _filter(terms: np.ndarray) -> np.ndarray:
 
 
 def _rows(items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray):
-    """(item, indices, weights) of each passage; weights are of unit length."""
+    """(item, indices, weights) of each passage."""
     for k, own in enumerate(items):
         for a, b in windows(len(own)):
             at = np.searchsorted(terms, own[a:b])
             kinds, times = np.unique(at, return_counts=True)
-            w = idf[kinds] * np.sqrt(times)
-            yield k, kinds, w / max(np.linalg.norm(w), 1e-12)
+            yield k, kinds, idf[kinds] * times
 
 
 def latent_basis(spark: SparkSession, items: DataFrame, terms: np.ndarray, idf: np.ndarray, dimensions: int) -> np.ndarray:
@@ -161,56 +170,102 @@ def common_words(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return n, end - int(np.searchsorted(back, n)), end
 
 
-def _search(own: np.ndarray, at: np.ndarray, b: Block, filter_: np.ndarray, doc: np.ndarray, candidate: float):
+def _folded(own: np.ndarray, at: np.ndarray, b: Block, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages (text, first word, end word) of the texts, and their latent vectors. A passage is two strides of words, and a
+    stride is summed once."""
+    sizes = np.diff(at)
+    n = -(-sizes // STRIDE)  # strides of each text
+    text = np.repeat(np.arange(len(n)), n)
+    place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    first = at[text] + place
+    if not len(first):
+        return np.zeros((0, 3), dtype=np.int64), np.zeros((0, b.basis.shape[1]), dtype=np.float32)
+    sums = np.zeros((len(first) + 1, b.basis.shape[1]), dtype=np.float32)
+    hit = np.flatnonzero(term >= 0)
+    of = np.searchsorted(first, hit, side="right") - 1
+    held, heads = np.unique(of, return_index=True)
+    for a in range(0, len(held), 1024):  # the words of so many strides at a time
+        own_heads = heads[a : a + 1024]
+        stop = heads[a + 1024] if a + 1024 < len(heads) else len(hit)
+        sums[held[a : a + 1024]] = np.add.reduceat(b.basis[term[hit[own_heads[0] : stop]]], own_heads - own_heads[0], axis=0)
+    last = place + STRIDE >= sizes[text]
+    passage = sums[:-1] + np.where(last[:, None], np.float32(0), sums[1:])
+    spans = np.stack([text, first, np.minimum(first + PASSAGE, at[text + 1])], axis=1)
+    keep = ~last | (place == 0)
+    return spans[keep], passage[keep]
+
+
+def _open(found: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The parts of low to high that were not found before."""
+    out = []
+    for s, e in sorted(found):
+        if s < high and e > low:
+            out.append((low, s))
+            low = e
+    return [*out, (low, high)]
+
+
+def accepted(b: Block, item: int, found: np.ndarray, shared: int) -> bool:
+    """Whether the words found, of which so many are common with the item in its order, repeat or paraphrase it."""
+    text, weights, answer = b.texts[item], b.weights[item], b.answers[item]
+    if len(found) > 2 * len(text) + 8 or shared < LIKE * len(text):
+        return False
+    if weights[np.isin(text, found)].sum() < LIKE * weights.sum():
+        return False  # by common words alone
+    return shared >= SAME * len(text) or np.isin(answer, found).sum() * 3 >= 2 * len(answer)
+
+
+def _search(own: np.ndarray, at: np.ndarray, b: Block, filter_: np.ndarray, candidate: float):
     """(text, item, first word, end word, LCS, cosine) of each match, in the texts whose words own[at[k]:at[k + 1]] are."""
     term = _lookup(own, b.terms, filter_)
-    weight = np.where(term >= 0, b.idf[term] ** 2, 0.0)
-    missing = np.where(term >= 0, 0.0, b.rarest**2)
-    held, lost = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, missing))
-    spans = []
-    for k in range(len(at) - 1):
-        n = int(at[k + 1] - at[k])
-        if n:
-            first = np.arange(0, max(n - STRIDE, 1), STRIDE)
-            spans.append(np.stack([np.full(len(first), k), at[k] + first, at[k] + np.minimum(first + PASSAGE, n)], axis=1))
-    if not spans:
-        return
-    spans = np.concatenate(spans)
-    inside, outside = held[spans[:, 2]] - held[spans[:, 1]], lost[spans[:, 2]] - lost[spans[:, 1]]
-    norm = np.sqrt(inside + outside)
-    share = np.sqrt(inside / np.maximum(norm**2, 1e-12))  # of the passage's length that lies in the block's terms: bounds the cosine
-    spans, share = spans[(keep := share >= candidate)], share[keep]
-    done: set[tuple[int, int, int]] = set()
+    spans, folded = _folded(own, at, b, term)
+    squares = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, b.idf[term], b.mean) ** 2)])
+    length = np.sqrt(squares[spans[:, 2]] - squares[spans[:, 1]]).astype(np.float32)
+    item_length = np.linalg.norm(b.vectors, axis=1)
+    unit = b.vectors / np.maximum(item_length, 1e-12)[:, None]
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     there = np.zeros(len(b.terms) + 1, dtype=bool)
-    for a in range(0, len(spans), 4096):
-        part, size = spans[a : a + 4096], share[a : a + 4096]
-        folded = np.zeros((len(part), b.basis.shape[1]), dtype=np.float32)
-        for r, (_, x, y) in enumerate(part.tolist()):
-            t = term[x:y]
-            t = t[t >= 0]
-            folded[r] = b.idf[t].astype(np.float32) @ b.basis[t]
-        folded *= (size / np.maximum(np.linalg.norm(folded, axis=1), 1e-12))[:, None].astype(np.float32)
-        cosine = folded @ b.vectors.T
-        for r, p in np.argwhere(cosine >= candidate).tolist():
+    step = max(16, min(1 << 12, (1 << 22) // len(unit), (1 << 23) // len(there)))
+    for a in range(0, len(spans), step):
+        part = spans[a : a + step]
+        cosine = folded[a : a + step] @ unit.T
+        cosine /= np.maximum(np.minimum(length[a : a + step, None], np.float32(LONGEST) * item_length[None, :]), 1e-12)
+        rows, passages = np.nonzero(cosine >= candidate)
+        if not len(rows):
+            continue
+        n = part[:, 2] - part[:, 1]
+        present = np.zeros((len(part), len(there)), dtype=bool)
+        at_word = np.repeat(part[:, 1] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        present[np.repeat(np.arange(len(part)), n), term[at_word]] = True  # -1 marks the last column
+        present[:, -1] = False
+        some = np.einsum("ij,ij->i", present[rows[:, None], b.kinds[passages]], b.shares[passages]) >= OVERLAP
+        for r, p in zip(rows[some].tolist(), passages[some].tolist(), strict=True):
             k, x, y = part[r].tolist()
             item = int(b.owner[p])
             text = b.texts[item]
-            if (k, item, x // max(len(text), PASSAGE)) in done:
-                continue
-            low, high = max(int(at[k]), x - len(text)), min(int(at[k + 1]), y + len(text))
-            there[:] = False
-            there[term[low:high]] = True  # -1 marks the last place, which no item looks at
-            if there[b.places[item]].sum() < LIKE * len(text):
-                continue  # more than the common subsequence can have
-            n, s, e = common_words(text, own[low:high])
-            same, found = n / len(text), own[low + s : low + e]
-            close = e - s <= 2 * len(text) + 8
-            answer = b.answers[item]
-            weights = b.idf[b.places[item]]
-            weighty = weights[np.isin(text, found)].sum() >= LIKE * weights.sum()  # not by common words alone
-            if close and weighty and (same >= SAME or (same >= LIKE and np.isin(answer, found).sum() * 3 >= 2 * len(answer))):
-                done.add((k, item, x // max(len(text), PASSAGE)))
-                yield k, item, low + s - int(at[k]), low + e - int(at[k]), n, float(cosine[r, p])
+            weights, places, known = b.weights[item], b.places[item], found.setdefault((k, item), [])
+            waiting = _open(known, max(int(at[k]), x - len(text)), min(int(at[k + 1]), y + len(text)))
+            while waiting:
+                low, high = waiting.pop()
+                if high - low < LIKE * len(text):
+                    continue
+                there[:] = False
+                there[term[low:high]] = True  # -1 marks the last place, which no item looks at
+                held = there[places]
+                if held.sum() < LIKE * len(text) or weights[held].sum() < LIKE * weights.sum():
+                    continue  # more than the common subsequence can have
+                shared, s, e = common_words(text, own[low:high])
+                if accepted(b, item, own[low + s : low + e], shared):
+                    s, e = low + s, low + e
+                    # what was looked at may end within a place: once more, with it in the middle
+                    ends = _open(known, max(int(at[k]), s - len(text)), min(int(at[k + 1]), e + len(text)))
+                    left, right = next((x, y) for x, y in ends if x <= s and e <= y)
+                    again = common_words(text, own[left:right])
+                    if again[0] > shared:
+                        shared, s, e = again[0], left + again[1], left + again[2]
+                    known.append((s, e))
+                    waiting = [w for a, z in [*waiting, (left, s), (e, right)] for w in _open(known, a, z)]
+                    yield k, item, s - int(at[k]), e - int(at[k]), shared, float(cosine[r, p])
 
 
 def block_of(spark: SparkSession, docs: DataFrame, items: list[tuple], dimensions: int) -> Block:
@@ -246,17 +301,40 @@ def block_of(spark: SparkSession, docs: DataFrame, items: list[tuple], dimension
     idf = np.log(1 + (total + 1) / (counts + 1))
     rows = spark.createDataFrame([(t,) for _, t in items], "text string").repartition(max(1, min(64, len(items) // 256)))
     basis = latent_basis(spark, rows, terms, idf, dimensions)
-    owner, vectors = [], []
-    for k, kinds, w in _rows(texts, terms, idf):
+    return made([i for i, _ in items], texts, terms, idf, basis)
+
+
+def made(ids: list, texts: list[np.ndarray], terms: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> Block:
+    basis = basis * idf[:, None].astype(np.float32)
+    owner, vectors, n = [], [], sum(len(windows(len(t))) for t in texts)
+    held, shares = np.full((n, PASSAGE), len(terms)), np.zeros((n, PASSAGE))
+    for row, (k, kinds, w) in enumerate(_rows(texts, terms, idf)):
         owner.append(k)
-        vectors.append(w.astype(np.float32) @ basis[kinds])
+        vectors.append((w / idf[kinds]).astype(np.float32) @ basis[kinds])
+        held[row, : len(kinds)], shares[row, : len(kinds)] = kinds, idf[kinds] / idf[kinds].sum()
     answers = []
     for t in texts:
         tail = np.unique(t[len(t) * 2 // 3 :])
         answers.append(tail[np.argsort(-idf[np.searchsorted(terms, tail)], kind="stable")[:ANSWER]])
-    unit = np.stack(vectors)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-    return Block([i for i, _ in items], texts, terms, idf, float(np.log(1 + (total + 1))), basis, unit, np.array(owner), answers, [np.searchsorted(terms, t) for t in texts])
+    places = [np.searchsorted(terms, t) for t in texts]
+    weights = [idf[p] for p in places]
+    mean = float(np.sqrt(np.mean(np.concatenate(weights) ** 2)))
+    return Block(ids, texts, terms, idf, mean, basis, np.stack(vectors), np.array(owner), answers, places, weights, held, shares)
+
+
+def blocks(spark: SparkSession, docs: DataFrame, items: DataFrame, *, text: str, item_key: str, item_text: str, dimensions: int, block_words: int):
+    """A Block for each block_words words of the items."""
+    texts = docs.select(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+    rows = items.select(F.col(item_key).alias("id"), F.lower(item_text).alias("text")).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    waiting, size = [], 0
+    for r in rows.toLocalIterator():
+        waiting.append((r.id, r.text))
+        size += len(r.text.split()) + len(r.text) // 8
+        if size >= block_words:
+            yield block_of(spark, texts, waiting, dimensions)
+            waiting, size = [], 0
+    if waiting:
+        yield block_of(spark, texts, waiting, dimensions)
 
 
 def leaks(
@@ -264,10 +342,13 @@ def leaks(
     dimensions: int = DIMENSIONS, candidate: float = CANDIDATE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """key, item_key, word_start, word_end, shared_words, item_words, share, cosine of every match."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     ship(spark)
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+    item_type = to_arrow_type(items.schema[item_key].dataType)
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
     schema = f"key {kind}, item {item_kind}, word_start long, word_end long, shared_words long, item_words long, share double, cosine double"
 
     def search(block: Block) -> DataFrame:
@@ -280,7 +361,7 @@ def leaks(
             filter_ = _filter(b.terms)
             for batch in slices(batches, 1):
                 own, at = words(*text_buffer(batch.column(1)))
-                found = list(_search(own, at, b, filter_, batch.column(0), candidate))
+                found = list(_search(own, at, b, filter_, candidate))
                 keys = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 size = [len(b.texts[f[1]]) for f in found]
                 columns = [[f[2] for f in found], [f[3] for f in found], [f[4] for f in found], size]
@@ -295,29 +376,40 @@ def leaks(
                     names=["key", "item", "word_start", "word_end", "shared_words", "item_words", "share", "cosine"],
                 )
 
-        return texts.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_type = to_arrow_type(items.schema[item_key].dataType)
-    result, waiting, size = None, [], 0
-    rows = items.select(F.col(item_key).alias("id"), F.lower(item_text).alias("text")).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    parts = []
-    for r in rows.toLocalIterator():
-        waiting.append((r.id, r.text))
-        size += len(r.text.split()) + len(r.text) // 8
-        if size >= block_words:
-            parts.append(cut(search(block_of(spark, texts, waiting, dimensions))))
-            waiting, size = [], 0
-    if waiting:
-        parts.append(search(block_of(spark, texts, waiting, dimensions)))
-    for p in parts:
-        result = p if result is None else result.unionByName(p)
-    if result is None:
-        result = spark.createDataFrame([], schema)
+    made = blocks(spark, docs, items, text=text, item_key=item_key, item_text=item_text, dimensions=dimensions, block_words=block_words)
+    parts = [search(b) for b in made]
+    result = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return result.withColumnsRenamed({"key": key, "item": item_key})
 
 
+def clean(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    dimensions: int = DIMENSIONS, candidate: float = CANDIDATE, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of docs in which no item is found. Rows are judged where they lie: ids and joins play no part."""
+    spark = docs.sparkSession
+    ship(spark)
+    for block in blocks(spark, docs, items, text=text, item_key=item_key, item_text=item_text, dimensions=dimensions, block_words=block_words):
+        sent = spark.sparkContext.broadcast(block)  # bounded by block_words
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            b = sent.value
+            filter_ = _filter(b.terms)
+            for batch in slices(batches, -1):
+                own, at = words(*text_buffer(batch.column(batch.num_columns - 1)))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[f[0] for f in _search(own, at, b, filter_, candidate)]] = False
+                yield batch.drop_columns([LOWERED]).filter(pa.array(keep))
+
+        schema = docs.schema
+        docs = docs.withColumn(LOWERED, F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))).mapInArrow(run, schema)
+    return docs
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a document that repeats or paraphrases a benchmark item."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import chat, decontaminate
+from chronoloom.llm.common import text_buffer
 
 from ..conftest import SMALL
 from ..twins import check
@@ -44,6 +48,52 @@ def test_exact_items_in_the_table(spark):
     assert want <= found and len(found - want) <= 2
 
 
+def test_every_place(spark):
+    """An item that stands several times in a text, one place right after the other, has a row for each."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(6))
+    items = {k: [word() for _ in range(n)] for k, n in enumerate((15, 30, 70))}
+    fill = lambda n: [word() for _ in range(n)]
+    rows, want = [], []
+    for d, (k, gaps) in enumerate([(0, [0, 0, 0]), (0, [5, 0, 40]), (1, [3, 0, 1]), (2, [0, 0, 17]), (2, [100, 90, 0]), (1, [0])]):
+        words = []
+        for gap in gaps:
+            words += fill(gap)
+            want.append((d, k, len(words), len(words) + len(items[k])))
+            words += items[k]
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows + [(100 + k, " ".join(fill(80))) for k in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.word_start, r.word_end) for r in found) == want
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {r.doc_id for r in docs.where("doc_id >= 100").collect()}
+
+
+@pytest.mark.parametrize("documents", [10_000, 100_000_000])
+def test_recall_against_all_pairs(spark, monkeypatch, documents):
+    """Of the pairs of item and text that the checks accept when every item is compared with every place, nine in ten or more are found,
+    for paraphrases that keep 60 % of an item's words, whatever the number of documents by which the words are weighted."""
+    rng = np.random.default_rng(3)
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    b = next(decontaminate.blocks(spark, docs, bench, text="text", item_key="item_id", item_text="text", dimensions=64, block_words=1 << 20))
+    grown = np.log(1 + documents / (np.exp(-b.idf) * 100 + 1))  # weights as of so many documents
+    b = decontaminate.made(b.ids, b.texts, b.terms, grown, b.basis / b.idf[:, None].astype(np.float32))
+    own, at = decontaminate.words(*text_buffer(pa.array([(r.text or "").lower() for r in docs.limit(60).collect()], pa.large_string())))
+    texts, pairs = [], []
+    for k, x in enumerate(b.texts):
+        y = np.where(rng.random(len(x)) < 0.62, x, rng.integers(0, 1 << 63, len(x)).astype(np.uint64))
+        w = own[at[k % 60] : at[k % 60 + 1]]
+        c = int(rng.integers(0, len(w) + 1))
+        texts.append(np.concatenate([w[:c], y, w[c:]]))
+        n, s, e = decontaminate.common_words(x, texts[-1])
+        if decontaminate.accepted(b, k, texts[-1][s:e], n):
+            pairs.append((k, k))
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = {f[:2] for f in decontaminate._search(np.concatenate(texts), ends, b, decontaminate._filter(b.terms), decontaminate.CANDIDATE)}
+    assert len(pairs) >= 8 and len(found & set(pairs)) >= 0.9 * len(pairs)
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and saw the dog"), (2, None), (3, ""), (4, "one"), (5, "the cat sat on the mat and saw the dog")], "item_id long, text string")
     found = [(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()]
