@@ -381,8 +381,8 @@ def _pivot_classes(measured: DataFrame) -> DataFrame:
     return cut(measured.where(F.size("links") > 0).select("region", "links").distinct().groupBy("region").applyInArrow(run, "region long, classes array<int>"))
 
 
-def _boundaries(measured: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Links between a Voronoi region's own points and its boundary; blocks of both meet."""
+def _boundaries(measured: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame | None:
+    """Links between a Voronoi region's own points and its boundary, if it has one; blocks of both meet."""
     far, links = F.col("far"), F.col("links")
     points = measured.where("pivot < 0").join(classes, "region")
     points = points.withColumn("mine", F.when(F.size("links") > 0, F.get("classes", F.get("links", F.lit(0)))))
@@ -393,6 +393,8 @@ def _boundaries(measured: DataFrame, classes: DataFrame, percent: int, most: int
     near = points.join(reach, "region").where((F.get("far", F.col("cell")) <= F.col("reach")) & ~F.array_contains("links", F.col("cell")))
     near = near.where(~F.get("classes", F.col("cell")).eqNullSafe(F.col("mine"))).select("region", "cell", "point", "set", "far")
     near = written(near)
+    if near.isEmpty():
+        return None
     counts = near.groupBy("region", "cell").agg(F.count("*").alias("n_near"), F.sum(F.octet_length("set") / 8).alias("e_near"))
     blocks = lambda n, e: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(e) / ELEMENTS)).cast("int")
     shape = cut(counts.join(reach, ["region", "cell"]).select("region", "cell", blocks("n_own", "e_own").alias("rows"), blocks("n_near", "e_near").alias("columns")))
@@ -429,22 +431,24 @@ def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, percent: int, pivots:
 
 
 def region_links(members: DataFrame, *, percent: int, points: int = POINTS, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) that join the same points as all links of each region do: members have region, point, set."""
+    """Links (a, b) that join the same points as all links of each region do: members have region, point, set. Each step is cut off, so
+    the driver plans one of them at a time."""
     links, now = [], members
     for level in range(rounds + 1):
         sizes = _large(now, points)
         if sizes.isEmpty():
-            links.append(_joined(now, percent, pivots))
+            links.append(cut(_joined(now, percent, pivots)))
             break
-        links.append(_joined(now.join(sizes, "region", "left_anti"), percent, pivots))
+        links.append(cut(_joined(now.join(sizes, "region", "left_anti"), percent, pivots)))
         now = now.join(sizes, "region", "left_semi").select("region", "point", "set")
         if level == rounds:
-            links.append(_pairs_of_blocks(now, sizes, percent, pivots))
+            links.append(cut(_pairs_of_blocks(now, sizes, percent, pivots)))
             break
         measured = _measured(now, sizes, percent, pivots, level)
         to_pivots = measured.select("point", F.explode(F.transform("links", lambda j: F.get("centres", j))).alias("pivot_point")).where("point <> pivot_point")
         links.append(to_pivots.select(F.col("point").alias("a"), F.col("pivot_point").alias("b")))
-        links.append(_boundaries(measured, _pivot_classes(measured), percent, points))
+        if (boundary := _boundaries(measured, _pivot_classes(measured), percent, points)) is not None:
+            links.append(cut(boundary))
         now = measured.where("pivot < 0 AND size(links) = 0").select("region", "point", "set")
     return functools.reduce(DataFrame.unionByName, links)
 
