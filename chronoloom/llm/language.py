@@ -1,16 +1,15 @@
 """Language identification by prediction by partial matching.
 
-Every language has a tree of byte contexts of orders 2, 1 and 0. A byte that a context has not seen costs an escape and is coded
-by the next shorter one, without the bytes that the longer one has seen (method C with exclusions); below order 0 all bytes are
-alike. The statistics are frozen after training, so a text's code length is a sum over its bytes of a value that depends on
-three bytes alone: the trees are tabulated once, and scoring is one gather and one sum per text. The predicted language
-codes the text in the fewest bits.
+Every language has a tree of byte contexts of up to ORDER bytes, over all 256 bytes. A byte that a context has not seen costs an
+escape and is coded by the next shorter context, without the bytes that the longer one has seen (method C with exclusions);
+below order 0 all bytes left are alike. Contexts that a language has never met are passed over. The statistics are frozen
+after training, so the bits of a byte depend on the ORDER bytes before it and itself, and are the same wherever these stand:
+they are tabulated for all strings of the sample, one row for all languages, and for others they are put together from the
+shorter strings' rows and what the longer contexts add. The predicted language codes the text in the fewest bits.
 
-Bytes outside the most frequent CLASSES - 1 of the sample share one class and are alike within it, which keeps the code exact
-(its lengths sum to one) and the table bounded by CLASSES ** 3 values a language.
-
-Training takes at most about TRAIN_DOCS labelled documents a language, chosen by a hash of their id; context counts are
-summed where the sample lies, and only the sums reach the driver.
+Training takes at most about TRAIN_DOCS labelled documents a language, chosen by a hash of id and text, and of their strings of ORDER
++ 1 bytes the GRAMS most frequent ones of each language; strings are counted where the sample lies, and only the kept sums reach the
+driver: LANGUAGES times GRAMS rows at most, and more languages are refused.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from everything is ``und``;
 ties go to the first language by name; repeated rows are predicted each on their own; a null id counts as held out; an
@@ -22,138 +21,236 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, ship, slices, table, text_buffer
 
-CLASSES = 64
-#: Documents of the training sample, for each language.
-TRAIN_DOCS = 3000
-#: Bytes that are scored at a time.
-SLICE = 1 << 20
+#: Bytes of the longest context.
+ORDER = 4
+#: Documents of the training sample and strings that are kept, for each language; languages.
+TRAIN_DOCS, GRAMS, LANGUAGES = 3000, 1 << 16, 64
+#: Values that are looked up at a time; partitions that count the sample.
+SLICE, COUNTERS = 1 << 22, 8
 UNKNOWN = "und"
+#: What stands before a text.
+START = 10
+
+
+def is_held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def grams(bytes_: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ORDER bytes before each byte and itself, as one number."""
+    out = bytes_.astype(np.uint64)
+    for k in range(1, ORDER + 1):
+        before = np.empty_like(bytes_)
+        before[k:] = bytes_[:-k]
+        before[:k] = START
+        for j in range(k):  # the first bytes of each text
+            at = offsets[:-1][np.diff(offsets) > j] + j
+            before[at] = START
+        out |= before.astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _low(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes."""
+    return codes & np.uint64((1 << 8 * n) - 1)
+
+
+class Keys:
+    """Rows of 64-bit keys, found by open addressing."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        waiting, slot = np.arange(len(keys)), self._first(keys)
+        while len(waiting):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = waiting[free]
+            left = self.slots[slot] != waiting
+            waiting, slot = waiting[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self.STEP) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        slot = self._first(keys)
+        out = self.slots[slot]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(wrong):
+            slot_ = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            slot[wrong] = slot_
+            out[wrong] = self.slots[slot_]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[out[wrong]] != keys[wrong])]
+        return out
 
 
 @dataclass
 class Model:
+    """Of order k: strings[k] (context and byte) have bits[k] and seen[k] of each language; contexts[k] have what they add to the
+    bits of the next shorter one, where that one has seen the byte (found[k]) and where it has not (escaped[k])."""
+
     languages: list[str]
-    classes: np.ndarray  # of each byte
-    bits: np.ndarray  # [CLASSES ** 3, languages]: of a class after two others
-
-
-def codes(bytes_: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Two classes before each byte and its own, as one number. Before a text stand line ends."""
-    c = classes[bytes_].astype(np.int32)
-    one, two = np.empty_like(c), np.empty_like(c)
-    one[1:], two[2:] = c[:-1], c[:-2]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    newline = classes[10]
-    one[starts] = newline
-    two[starts] = newline
-    seconds = offsets[:-1][np.diff(offsets) > 1] + 1
-    two[seconds] = newline
-    return (two * CLASSES + one) * CLASSES + c
-
-
-def code_lengths(counts: np.ndarray, rare: int) -> np.ndarray:
-    """Bits of each class after each two classes, from counts[CLASSES, CLASSES, CLASSES]; rare: bytes of the last class."""
-    k = CLASSES
-    n2 = counts.reshape(k * k, k).astype(np.float64)
-    n1 = np.tile(counts.sum(axis=0), (k, 1, 1)).reshape(k * k, k).astype(np.float64)
-    n0 = np.tile(counts.sum(axis=(0, 1)), (k * k, 1)).astype(np.float64)
-    p, escape, open_ = np.zeros((k * k, k)), np.ones((k * k, 1)), np.ones((k * k, k), dtype=bool)
-    for n in (n2, n1, n0):
-        n = np.where(open_, n, 0)
-        seen = n > 0
-        total, kinds = n.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        full = (open_.sum(axis=1, keepdims=True) == kinds) & (kinds > 0)  # nothing is left to escape to
-        denominator = np.maximum(total + np.where(full, 0, kinds), 1)
-        p = np.where(seen, escape * n / denominator, p)
-        escape = np.where(kinds > 0, escape * np.where(full, 0, kinds) / denominator, escape)
-        open_ &= ~seen
-    left = np.maximum(open_.sum(axis=1, keepdims=True), 1)
-    p = np.where(open_, escape / left, p)
-    p[:, k - 1] /= max(rare, 1)
-    return -np.log2(np.maximum(p, 1e-300)).reshape(-1).astype(np.float32)
+    strings: list[Keys]
+    bits: list[np.ndarray]
+    seen: list[np.ndarray]
+    contexts: list[Keys]
+    found: list[np.ndarray]
+    escaped: list[np.ndarray]
+
+
+def _log2(x: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(x, 1e-300))
+
+
+def _tree(codes: np.ndarray, counts: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """A language's contexts and strings of every order, from its counted strings of ORDER + 1 bytes."""
+    tree: list[dict[str, np.ndarray]] = []
+    for k in range(ORDER + 1):
+        own, at = np.unique(_low(codes, k + 1), return_inverse=True)
+        n = np.bincount(at, weights=counts, minlength=len(own))
+        contexts, where = np.unique(own >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(where, weights=n, minlength=len(contexts)), np.bincount(where, minlength=len(contexts)).astype(float)
+        escapes = np.where(kinds < 256, kinds, 0)  # nothing is left to escape to
+        level = {"codes": own, "n": n, "where": where, "contexts": contexts, "total": total, "kinds": kinds}
+        level["start"] = _log2(total + escapes)
+        level["escape"] = np.where(kinds > 0, level["start"] - _log2(escapes), 0.0)
+        if k:
+            up = tree[-1]
+            above = np.searchsorted(up["contexts"], _low(contexts, k - 1))
+            excluded = np.bincount(where, weights=up["n"][np.searchsorted(up["codes"], _low(own, k))], minlength=len(contexts))
+            total_, kinds_ = up["total"][above] - excluded, up["kinds"][above] - kinds
+            escapes_ = np.where(kinds_ < 256 - kinds, kinds_, 0)
+            after = _log2(total_ + escapes_)
+            level["found"] = level["escape"] + after - up["start"][above]
+            level["escaped"] = level["escape"] + np.where(kinds_ > 0, after - _log2(escapes_), 0.0) - up["escape"][above]
+        tree.append(level)
+    return tree
+
+
+def model_of(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """counted: of each language the strings of ORDER + 1 bytes, as grams() has them, and how often they occur."""
+    trees = [_tree(c.astype(np.uint64), n.astype(float)) for c, n in counted]
+    strings, bits, seen, contexts, found, escaped = [], [], [], [], [], []
+    for k in range(ORDER + 1):
+        codes = np.arange(256, dtype=np.uint64) if k == 0 else np.unique(np.concatenate([t[k]["codes"] for t in trees]))
+        above = np.unique(np.concatenate([t[k]["contexts"] for t in trees]))
+        more, less = np.zeros((len(above), len(trees))), np.zeros((len(above), len(trees)))
+        for j, t in enumerate(trees if k else []):
+            rows = np.searchsorted(above, t[k]["contexts"])
+            more[rows, j], less[rows, j] = t[k]["found"], t[k]["escaped"]
+        if k:
+            up = np.searchsorted(strings[-1].keys, _low(codes, k))
+            at = np.searchsorted(above, codes >> np.uint64(8))
+            b = bits[-1][up] + np.where(seen[-1][up], more[at], less[at])
+        else:
+            b = np.stack([np.full(256, t[0]["escape"].sum() + np.log2(256 - t[0]["kinds"].sum())) for t in trees], axis=1)
+        s = np.zeros(b.shape, dtype=bool)
+        for j, t in enumerate(trees):
+            rows = np.searchsorted(codes, t[k]["codes"])
+            b[rows, j] = t[k]["start"][t[k]["where"]] - np.log2(t[k]["n"])
+            s[rows, j] = True
+        strings.append(Keys(codes))
+        bits.append(b)
+        seen.append(s)
+        contexts.append(Keys(above))
+        found.append(more.astype(np.float32))
+        escaped.append(less.astype(np.float32))
+    return Model(languages, strings, [b.astype(np.float32) for b in bits], seen, contexts, found, escaped)
+
+
+def _bits(k: int, codes: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each string's last byte under every language, by contexts of k bytes and less, and whether that of k bytes saw it."""
+    if k == 0:
+        return m.bits[0][codes.astype(np.int64)], m.seen[0][codes.astype(np.int64)]
+    rows = m.strings[k].rows(codes)
+    out, seen = m.bits[k][rows], m.seen[k][rows]
+    if len(lost := np.flatnonzero(rows < 0)):
+        shorter, known = _bits(k - 1, _low(codes[lost], k), m)
+        at = m.contexts[k].rows(codes[lost] >> np.uint64(8))
+        some = at >= 0
+        shorter[some] += np.where(known[some], m.found[k][at[some]], m.escaped[k][at[some]])
+        out[lost], seen[lost] = shorter, False
+    return out, seen
 
 
-def is_held_out(key: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+def text_bits(bytes_: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    """Code length of every text under every language."""
+    total = np.zeros((len(offsets) - 1, len(model.languages)))
+    if not len(bytes_) or not len(model.strings[ORDER].keys):
+        return total
+    codes, step = grams(bytes_, offsets), max(1, SLICE // len(model.languages))
+    for a in range(0, len(bytes_), step):
+        b = min(a + step, len(bytes_))
+        first = np.searchsorted(offsets, a, side="right") - 1
+        last = np.searchsorted(offsets, b, side="left") - 1
+        docs = np.arange(first, last + 1)
+        docs = docs[(offsets[docs + 1] > np.maximum(offsets[docs], a))]
+        total[docs] += np.add.reduceat(_bits(ORDER, codes[a:b], model)[0], np.maximum(offsets[docs], a) - a, axis=0, dtype=np.float64)
+    return total
 
 
-def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of the rows whose lang is not null. All that is collected is bounded by the languages and CLASSES ** 3."""
+def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """A model of the rows whose lang is not null."""
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return None
     languages = sorted(sizes)
     share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
-    sample = cut(labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text"))
-
-    def histogram(batches):
-        import pyarrow as pa
+    sample = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text").coalesce(COUNTERS)
 
-        n = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            n += np.bincount(text_buffer(batch.column(1))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n)], names=["byte", "n"])
-
-    often = {r.byte: r.n for r in sample.mapInArrow(histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    own = sorted((b for b, n in often.items() if n > 0 or b == 10), key=lambda b: (b != 10, -often[b], b))[: CLASSES - 1]
-    classes = np.full(256, CLASSES - 1, dtype=np.uint8)
-    classes[own] = np.arange(len(own))
-
-    def contexts(batches):
+    def count(batches):
         import pyarrow as pa
 
-        sums = {}
+        held: dict[str, list] = {}
         for batch in slices(batches, 1):
             bytes_, offsets = text_buffer(batch.column(1))
-            found, of = codes(bytes_, offsets, classes), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            codes, of = grams(bytes_, offsets), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             names = np.array(batch.column(0).to_pylist(), dtype=object)
-            for name in set(names):
-                n = np.bincount(found[(names == name)[of]], minlength=CLASSES**3)
-                sums[name] = sums.get(name, 0) + n
-        for name, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "code", "n"])
-
-    rows = sample.mapInArrow(contexts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    bits = []
-    for name in languages:
-        mine, counts = rows[rows.lang == name], np.zeros(CLASSES**3)
-        counts[mine.code.to_numpy(dtype=np.int64)] = mine.n.to_numpy()
-        bits.append(code_lengths(counts.reshape(CLASSES, CLASSES, CLASSES), 256 - len(own)))
-    return Model(languages, classes, np.ascontiguousarray(np.stack(bits, axis=1)))
+            for name in sorted(set(names)):
+                held.setdefault(name, []).append(np.unique(codes[(names == name)[of]], return_counts=True))
+                if len(held[name]) > 16:
+                    held[name] = [_sum(held[name])]
+        for name, parts in held.items():
+            codes, n = _sum(parts)
+            for a in range(0, len(codes), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes[part]), pa.string()), pa.array(codes[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], names=["lang", "code", "n"])
 
+    counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    rows = counted.withColumn("r", F.row_number().over(often)).where(F.col("r") <= kept).drop("r").toPandas()
+    of = [rows[rows.lang == name] for name in languages]
+    return model_of(languages, [(r.code.to_numpy(dtype=np.int64), r.n.to_numpy(dtype=np.int64)) for r in of])
 
-def text_bits(bytes_: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Code length of every text under every language."""
-    total = np.zeros((len(offsets) - 1, len(model.languages)))
-    of = codes(bytes_, offsets, model.classes)
-    for a in range(0, len(bytes_), SLICE):
-        b = min(a + SLICE, len(bytes_))
-        first = np.searchsorted(offsets, a, side="right") - 1
-        last = np.searchsorted(offsets, b, side="left") - 1
-        docs = np.arange(first, last + 1)
-        docs = docs[(offsets[docs + 1] > np.maximum(offsets[docs], a))]
-        starts = np.maximum(offsets[docs], a) - a
-        total[docs] += np.add.reduceat(model.bits[of[a:b]], starts, axis=0, dtype=np.float64)
-    return total
+
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
 
 
 def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """key, the columns to keep, lang_pred, score, bits_per_byte. score: the language's share, all being as likely before."""
     spark, keep = docs.sparkSession, [c for c in keep or [] if c != key]
     if model is None:
-        model = Model([UNKNOWN], np.zeros(256, np.uint8), np.zeros((CLASSES**3, 1), np.float32))
+        model = model_of([UNKNOWN], [(np.zeros(0, np.int64), np.zeros(0, np.int64))])
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # CLASSES ** 3 floats for each language
+    sent = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and GRAMS
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(key), *keep, F.when(letter, F.col(text).cast("string")).alias("__text"), letter.alias("__letter"))
     schema = T.StructType([f for f in rows.schema if not f.name.startswith("__")])
