@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -29,6 +30,10 @@ def test_base_against_a_loop(spark):
         ("Released under the MIT License. All Rights Reserved", {"mit"}),
         ("under the GNU General Public License, version 3", {"gpl-3.0"}),
         ("permitted by MIT, license to follow", set()),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", {"mit"}),
+        ("Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following terms are met", {"bsd"}),
+        ("Redistribution and use in binary and source forms, with or without modification, are permitted provided that the following conditions are met", set()),
+        ("x " * 200_000 + "released under the mit license", {"mit"}),
         ("a public general license", set()),
     ],
 )
@@ -38,6 +43,31 @@ def test_templates(spark, text, labels):
     assert {f.label for f in found} == labels and all(0 < f.score <= 1 for f in found)
 
 
+def test_templates_against_a_loop(spark):
+    """Every place of every template, with words left out, changed and moved, is judged as a loop over all starts judges it."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(160):
+        words = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split()
+        words = [rng.choice(["the", "license", "zebra"]) if rng.random() < rng.choice([0, 0.1, 0.3, 0.5]) else w for w in words]
+        if rng.random() < 0.3:
+            del words[rng.randrange(len(words))]
+        texts.append(" ".join(rng.choices(["plain", "of", "under", "software", "version"], k=rng.randint(0, 30)) + words + ["to", "the"] * rng.randint(0, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licenses.weights(docs)
+    found = {r.doc_id: sorted((f.label, f.start, round(f.score, 9)) for f in r.found) for r in licenses.scan(docs, idf).collect()}
+    for k, t in enumerate(texts):
+        w, want = t.split(), []
+        for label, words, must in licenses.TEMPLATES:
+            ws, ms = words.split(), must.split()
+            at = next(j for j in range(len(ws)) if ws[j : j + len(ms)] == ms)
+            for s in range(-len(ws), len(w)):
+                mass = sum(idf[x] for j, x in enumerate(ws) if 0 <= s + j < len(w) and w[s + j] == x) / sum(idf[x] for x in ws)
+                if mass >= licenses.COVERAGE and s + at >= 0 and w[s + at : s + at + len(ms)] == ms:
+                    want.append((label, s, round(mass, 9)))
+        assert found[k] == sorted(want)
+
+
 def test_licences_of_odd_rows(odd, none):
     idf = licenses.weights(odd)
     rows = licenses.scan(odd, idf).collect()
