@@ -7,9 +7,9 @@ at the end of the partitions are merged, some partitions at a time, level by lev
 
 Memory per task: ``windows`` sequences and one slice of texts. Merging moves ``windows`` sequences per partition, no more.
 
-Ids come from the ranks of the public byte-level BPE through tiktoken, which is the vocabulary of the ``tokenizers`` file and,
-with that file's added tokens (<|endoftext|>, found inside a text too), gives the same ids several times as fast;
-``encoder(tokenizer="...json")`` uses ``tokenizers`` itself.
+Ids are those of the ``tokenizers`` file. tiktoken gives the same several times as fast from the same vocabulary, with the file's added
+tokens (<|endoftext|>, found inside a text too); a text with RUN blanks in a row, which its pattern cannot take, is encoded by
+``tokenizers`` itself, and ``encoder(tokenizer="...json")`` uses nothing else.
 
 Defined cases: a null text is an empty text, so the document is its end id alone; an empty table gives an empty result; repeated
 rows are packed each on their own; other columns of the input are not looked at.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from .common import shared_dir, ship, table
 LENGTH = 1024
 #: Open windows of a partition; ids below which a gap is left as padding; partitions whose leftovers are merged in one task.
 WINDOWS, MIN_CUT, FAN_IN = 32, 16, 64
+#: Blanks in a row from which tiktoken is not used.
+RUN = 4096
 #: Bytes of text that are encoded before their pieces are handed on.
 SLICE = 4 << 20
 
@@ -57,7 +60,14 @@ def encoder(tokenizer: str = "byte_bpe_50k.tiktoken"):
     with open(public_tokenizers.path(tokenizer.removesuffix(".tiktoken") + ".json"), encoding="utf-8") as f:
         added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     own = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
+    blanks, library = re.compile(rf"\s{{{RUN}}}"), encoder(tokenizer.removesuffix(".tiktoken") + ".json")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= RUN and blanks.search(text):
+            return library(text)
+        return np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
+
+    return encode
 
 
 class Windows:

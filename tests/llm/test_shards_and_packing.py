@@ -101,3 +101,62 @@ def test_added_tokens_as_the_library(text):
     assert packing.encoder()(text).tolist() == packing.encoder("byte_bpe_50k.json")(text).tolist() == ids
     if text.startswith("Hello"):
         assert ids == [15496, 220, 50256, 2124]
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" + "\t " * 2_500_000 + "b", "q" * 5_000_000, "\U0001f600" * 300_000, "x y " * 1_000_000, "\n" * 4096 + "end", " " * 4095, "7" * 2_000_000])
+def test_very_long_runs(text):
+    """No text stops the encoder, and its ids are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.array_equal(packing.encoder()(text), np.array(ids, dtype=np.uint32))
+
+
+def best_fit(texts, encode, most, length, min_cut):
+    """Sequences (lists of (doc, start, ids)) of one partition, by a plain loop over a list of windows, and those left open."""
+    out, windows, clock = [], [], 0
+    for doc, text in texts:
+        ids, start = [*encode(text).tolist(), 0], 0
+        while len(ids) - start >= length:
+            out.append([(doc, start, length)])
+            start += length
+        if start == len(ids):
+            continue
+        room = [w for w in windows if sum(p[2] for p in w[1]) + len(ids) - start <= length]
+        if room:
+            pick = max(room, key=lambda w: (sum(p[2] for p in w[1]), w[0]))
+            windows.remove(pick)
+            pieces = pick[1]
+        elif len(windows) < most:
+            pieces = []
+        else:
+            pick = max(windows, key=lambda w: (sum(p[2] for p in w[1]), w[0]))
+            windows.remove(pick)
+            gap = length - sum(p[2] for p in pick[1])
+            if gap >= min_cut:
+                pick[1].append((doc, start, gap))
+                start += gap
+            out.append(pick[1])
+            pieces = []
+        pieces.append((doc, start, len(ids) - start))
+        clock += 1
+        if sum(p[2] for p in pieces) == length:
+            out.append(pieces)
+        else:
+            windows.append((clock, pieces))
+    return out, [w[1] for w in windows]
+
+
+def test_placement_against_a_loop(spark):
+    """The sequences that the windows emit, before leftovers are merged."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(90).collect()]
+    encode = packing.encoder()
+    for most, length in ((1, 256), (4, 512), (32, 1024)):
+        open_, done = packing.Windows(most, length, packing.MIN_CUT), []
+        for doc, text in docs:
+            ids = np.append(encode(text), 0).astype(np.uint32)
+            done += [[(p[0], p[1], len(p[2])) for p in s] for s in open_.place((doc, 0, ids, len(ids)))]
+        want, left = best_fit(docs, encode, most, length, packing.MIN_CUT)
+        assert done == want
+        assert sorted([(p[0], p[1], len(p[2])) for p in s] for s in open_.held) == sorted(left)
