@@ -6,12 +6,13 @@ conversation. Only DataFrame functions are used.
 
 Defined cases: a null role speaks as ``unknown``; a null text is empty; turns that share a number follow role, then text; a
 null turn comes first; repeated rows are repeated turns; a conversation with nobody but the system has no perspective and no
-rows; an empty table gives an empty result; marks inside a text are broken up, so that no text can open a turn.
+rows; an empty table gives an empty result; a null conversation is one of its own; marks inside a text or a role's name are broken
+up, so that neither can open or close a turn (``speaker`` and ``perspective`` give the role as it is).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -21,6 +22,11 @@ BLOCK = 1024
 SYSTEM = "system"
 
 
+def unmarked(c: Column) -> Column:
+    """Without marks that open or close."""
+    return F.replace(F.replace(c, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def rotate(turns: DataFrame, *, block: int = BLOCK, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """key, perspective, seq (from 0), turn, speaker, rendered, char_start, char_end, masked, loss_start, loss_end.
 
@@ -30,10 +36,10 @@ def rotate(turns: DataFrame, *, block: int = BLOCK, key: str = "conv_id", turn:
         F.col(key).alias("conv"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"),
-        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
+        unmarked(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(block)), F.lit(-1 << 62)))
     mine, system = F.col("speaker") == F.col("perspective"), F.col("speaker") == F.lit(SYSTEM)
-    head = F.when(system, F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    head = F.when(system, F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), unmarked(F.col("speaker")), F.lit("|>\n")))
     tail = F.lit("<|end|>\n")
     parts = said.groupBy("conv", "block", "speaker").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
     people = parts.where(~system).select(F.col("conv").alias("p_conv"), F.col("speaker").alias("perspective")).distinct()
@@ -78,13 +84,13 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP10 = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS body FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
 ), lines AS (
   SELECT s.*, p.perspective, s.speaker = p.perspective AS mine,
     CASE WHEN s.speaker = 'system' THEN '<|system|>' || chr(10) WHEN s.speaker = p.perspective THEN '<|assistant|>' || chr(10)
-         ELSE '<|user name=' || s.speaker || '|>' || chr(10) END AS head
+         ELSE '<|user name=' || replace(replace(s.speaker, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), sized AS (
   SELECT *, head || body || '<|end|>' || chr(10) AS rendered FROM lines
