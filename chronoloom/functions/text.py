@@ -222,19 +222,23 @@ def keyword_title(c: Column) -> Column:
 
 def tones(c: Column, most: int = 2) -> Column:
     """(tone, score) of the strongest tones; ties in the order of the list."""
-    ts = tokens(c)
     marks = F.length(c) - F.length(F.replace(c, F.lit("!"), F.lit("")))
-
-    def scored(k: int, name: str) -> Column:
-        hits = F.size(F.filter(ts, lambda t: t.isin(L.TONES[name]))).cast("double")
-        hits = hits + marks * 0.5 if name == "enthusiastic" else hits
-        score = hits * (F.lit(1000.0) / F.greatest(F.size(ts), F.lit(1)))
-        return F.struct((-F.round(score / L.TONE_LEVELS[name], 2)).alias("low"), F.lit(k).alias("k"), F.lit(name).alias("tone"), (score >= L.TONE_LEVELS[name]).alias("earned"))
-
-    every = F.array(*[scored(k, n) for k, n in enumerate(L.TONES)])
-    best = F.slice(F.array_sort(F.filter(every, lambda x: x["earned"])), 1, most)
-    found = F.transform(best, lambda x: F.struct(x["tone"].alias("tone"), (-x["low"]).alias("score")))
-    return F.when(F.size(ts) > 0, found).otherwise(F.array().cast("array<struct<tone:string,score:double>>"))
+    none = F.array().cast("array<struct<tone:string,score:double>>")
+
+    def of(ts: Column) -> Column:
+        def scored(k: int, name: str) -> Column:
+            hits = F.size(F.filter(ts, lambda t: t.isin(L.TONES[name]))).cast("double")
+            hits = hits + marks * 0.5 if name == "enthusiastic" else hits
+            score = hits * (F.lit(1000.0) / F.greatest(F.size(ts), F.lit(1)))
+            return F.struct((-F.round(score / L.TONE_LEVELS[name], 2)).alias("low"), F.lit(k).alias("k"), F.lit(name).alias("tone"), (score >= L.TONE_LEVELS[name]).alias("earned"))
+
+        every = F.array(*[scored(k, n) for k, n in enumerate(L.TONES)])
+        best = F.slice(F.array_sort(F.filter(every, lambda x: x["earned"])), 1, most)
+        found = F.transform(best, lambda x: F.struct(x["tone"].alias("tone"), (-x["low"]).alias("score")))
+        return F.when(F.size(ts) > 0, found).otherwise(none)
+
+    # bound once: each use of an expression would cut the text into words again
+    return F.element_at(F.transform(F.array(tokens(c)), of), 1)
 
 
 def merged_tones(lexical: Column, given: Column) -> Column:

@@ -22,9 +22,10 @@ def phrase_rows(rows: DataFrame, keys: list[str], text: str = "text", most: int
     """
     clauses = rows.select(*keys, F.explode(F.split(F.lower(text), X.CLAUSE_BREAK)).alias("__k"))
     words = clauses.select(*keys, F.regexp_extract_all("__k", F.lit(X.PHRASE_WORD), F.lit(0)).alias("__ws")).where(F.size("__ws") > 0)
-    at = words.select("*", F.explode(F.sequence(F.lit(0), F.size("__ws") - 1)).alias("__i"))
-    g = [F.get("__ws", F.col("__i") + k) for k in range(most)]
-    named = at.select(*keys, *[c.alias(f"__g{k}") for k, c in enumerate(g)])
+    # a row has its own words only, so long clauses are not copied for each of theirs
+    following = F.transform("__ws", lambda w, i: F.struct(w.alias("__g0"), *[F.get("__ws", i + k).alias(f"__g{k}") for k in range(1, most)]))
+    at = words.select(*keys, F.explode(following).alias("__g"))
+    named = at.select(*keys, *[f"__g.__g{k}" for k in range(most)])
     g = [F.col(f"__g{k}") for k in range(most)]
     plain = named.select(
         *keys,

@@ -1,18 +1,23 @@
 """Trees as adjacency tables: nodes(map_id, node_id, parent_id, ord, type, text, ...).
 
-A walk goes down level by level, so its plan has as many joins as the tree has levels and no action in between. The place
-of a node in pre-order is a sortable path; nothing numbers a whole tree in one task.
+A walk goes from level to level until one is empty, however deep the tree is; every level is written, so no plan grows with the
+depth and nothing is computed twice. The place of a node in pre-order is a sortable path; nothing numbers a whole tree in one task.
+Nodes that no root reaches are in no walk; a tree deeper than DEEPEST levels, as one whose ids repeat may be, is refused.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import ship
+from ..session import cut, ship
 
-LEVELS = 5
+#: Levels from which a tree is taken for an endless one.
+DEEPEST = 4096
 #: Digits of one step of a path.
 DIGITS = 12
 
@@ -21,48 +26,66 @@ def _step() -> Column:
     return F.lpad(F.col("ord").cast("string"), DIGITS, "0")
 
 
-def walk(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _levels(first: DataFrame, following: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """first and all that follow, until nothing does."""
+    found = [cut(first)]
+    for depth in range(1, DEEPEST):
+        level = cut(following(found[-1], depth))
+        if level.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        found.append(level)
+    raise ValueError(f"a tree of {DEEPEST} levels: its ids repeat, or it goes in circles")
+
+
+def walk(nodes: DataFrame) -> DataFrame:
     """nodes with depth and path, from the roots down."""
-    level = nodes.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("path", _step())
-    out = level
-    for depth in range(1, levels):
+    nodes = cut(nodes)
+
+    def below(level: DataFrame, depth: int) -> DataFrame:
         up = level.select(F.col("map_id").alias("u_map"), F.col("node_id").alias("u_node"), F.col("path").alias("u_path"))
         down = nodes.join(up, (F.col("map_id") == F.col("u_map")) & (F.col("parent_id") == F.col("u_node")))
-        level = down.withColumn("depth", F.lit(depth)).withColumn("path", F.concat("u_path", F.lit("/"), _step())).drop("u_map", "u_node", "u_path")
-        out = out.unionByName(level)
-    return out
+        return down.withColumn("depth", F.lit(depth)).withColumn("path", F.concat("u_path", F.lit("/"), _step())).drop("u_map", "u_node", "u_path")
 
+    return _levels(nodes.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("path", _step()), below)
 
-def ancestors(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(map_id, node_id, ancestor_id, up) of every node and each node above it, itself at 0."""
-    links = nodes.select("map_id", F.col("node_id").alias("k"), F.col("parent_id").alias("p"))
-    level = nodes.select("map_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("up"))
-    out = level
-    for up in range(1, levels):
+    links = cut(nodes.select("map_id", F.col("node_id").alias("k"), F.col("parent_id").alias("p")))
+
+    def above(level: DataFrame, up: int) -> DataFrame:
         level = level.join(links.withColumnRenamed("map_id", "m"), (F.col("map_id") == F.col("m")) & (F.col("ancestor_id") == F.col("k"))).where("p IS NOT NULL")
-        level = level.select("map_id", "node_id", F.col("p").alias("ancestor_id"), F.lit(up).alias("up"))
-        out = out.unionByName(level)
-    return out
+        return level.select("map_id", "node_id", F.col("p").alias("ancestor_id"), F.lit(up).alias("up"))
 
+    return _levels(links.select("map_id", F.col("k").alias("node_id"), F.col("k").alias("ancestor_id"), F.lit(0).alias("up")), above)
 
-def leaf_counts(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+
+def leaf_counts(nodes: DataFrame) -> DataFrame:
     """(map_id, node_id, leaves): summed upwards a level at a time, a leaf counts as one."""
-    parents = nodes.where("parent_id IS NOT NULL").select("map_id", F.col("parent_id").alias("node_id")).distinct()
-    level = nodes.join(parents, ["map_id", "node_id"], "left_anti").select("map_id", "node_id", F.lit(1).cast("bigint").alias("leaves"))
-    links = nodes.select("map_id", "node_id", "parent_id")
-    out = level
-    for _ in range(levels - 1):
-        level = level.join(links, ["map_id", "node_id"]).where("parent_id IS NOT NULL").groupBy("map_id", F.col("parent_id").alias("node_id")).agg(F.sum("leaves").alias("leaves"))
-        out = out.unionByName(level)
-    return out.groupBy("map_id", "node_id").agg(F.sum("leaves").alias("leaves"))
+    links = cut(nodes.select("map_id", "node_id", "parent_id"))
+    parents = links.where("parent_id IS NOT NULL").select("map_id", F.col("parent_id").alias("node_id")).distinct()
+
+    def above(level: DataFrame, _: int) -> DataFrame:
+        return level.join(links, ["map_id", "node_id"]).where("parent_id IS NOT NULL").groupBy("map_id", F.col("parent_id").alias("node_id")).agg(F.sum("leaves").alias("leaves"))
 
+    leaves = links.join(parents, ["map_id", "node_id"], "left_anti").select("map_id", "node_id", F.lit(1).cast("bigint").alias("leaves"))
+    return _levels(leaves, above).groupBy("map_id", "node_id").agg(F.sum("leaves").alias("leaves"))
 
-def without_subtrees(nodes: DataFrame, gone: DataFrame, levels: int = LEVELS) -> DataFrame:
+
+def subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """(map_id, node_id) of the nodes of tops and all that hangs below them."""
+    links = cut(nodes.select("map_id", "node_id", "parent_id"))
+
+    def below(level: DataFrame, _: int) -> DataFrame:
+        return links.join(level.withColumnRenamed("node_id", "parent_id"), ["map_id", "parent_id"], "left_semi").select("map_id", "node_id")
+
+    return _levels(tops.select("map_id", "node_id").distinct(), below).distinct()
+
+
+def without_subtrees(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     """nodes without those of gone (map_id, node_id) and all that hangs below them; roots stay."""
     roots = nodes.where("parent_id IS NULL").select("map_id", "node_id")
-    marked = gone.join(roots, ["map_id", "node_id"], "left_anti").select("map_id", F.col("node_id").alias("ancestor_id"))
-    below = ancestors(nodes, levels).join(marked, ["map_id", "ancestor_id"], "left_semi").select("map_id", "node_id").distinct()
-    return nodes.join(below, ["map_id", "node_id"], "left_anti")
+    return nodes.join(subtrees(nodes, gone.join(roots, ["map_id", "node_id"], "left_anti")), ["map_id", "node_id"], "left_anti")
 
 
 def edges_without(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -128,56 +151,164 @@ def balanced_split(children: DataFrame) -> DataFrame:
     return cut.select("map_id", "node_id", F.when(F.col("ord") <= F.col("cut"), "right").otherwise("left").alias("side"))
 
 
-PROTECTED = ("id", "children")
+#: Steps that can be undone.
+HISTORY = 200
+LOG = {"seq": "long", "type": "string", "id": "string", "parent_id": "string", "index": "int", "text": "string", "node_type": "string", "source": "string", "target": "string", "origin": "string"}
+
+
+class _Document:
+    """A map whose edits are applied one after the other; each gives its inverse, and the last HISTORY of them can be undone."""
+
+    def __init__(self, rows, edges):
+        self.nodes = {r.node_id: {"parent": r.parent_id, "type": r.type, "text": r.text} for r in rows}
+        self.kids: dict = {}
+        for r in sorted(rows, key=lambda r: (r.ord, r.node_id)):
+            self.kids.setdefault(r.parent_id, []).append(r.node_id)
+        self.edges = {r.node_id: (r.source, r.target) for r in edges}
+        self.undone: list = []
+        self.done: list = []
+
+    def below(self, top: str) -> list[str]:
+        out, waiting = [], [top]
+        while waiting:
+            out.append(waiting.pop())
+            waiting += reversed(self.kids.get(out[-1], []))
+        return out
+
+    def put(self, node: str, parent: str, index) -> None:
+        row = self.kids.setdefault(parent, [])
+        row.insert(len(row) if index is None else max(0, min(int(index), len(row))), node)
+        self.nodes[node]["parent"] = parent
+
+    def take(self, node: str) -> tuple[str, int]:
+        parent = self.nodes[node]["parent"]
+        index = self.kids[parent].index(node)
+        self.kids[parent].pop(index)
+        return parent, index
+
+    def apply(self, op: dict) -> list[dict] | None:
+        """The inverse of op, as edits in order, or None where it does not apply."""
+        kind, node = op["type"], op.get("id")
+        here = self.nodes.get(node)
+        hangs = here is not None and here["parent"] in self.nodes
+        if kind == "add" and here is None and node is not None and op.get("parent_id") in self.nodes:
+            self.nodes[node] = {"parent": None, "type": op.get("node_type") or "concept", "text": op.get("text")}
+            self.put(node, op["parent_id"], op.get("index"))
+            return [{"type": "remove", "id": node}]
+        if kind == "update" and here is not None:
+            before, here["text"] = here["text"], op.get("text")
+            return [{"type": "update", "id": node, "text": before}]
+        if kind == "remove" and hangs:
+            gone = self.below(node)
+            back = []
+            for k in gone:
+                n = self.nodes[k]
+                back.append({"type": "add", "id": k, "parent_id": n["parent"], "index": self.kids[n["parent"]].index(k), "text": n["text"], "node_type": n["type"]})
+            lost = set(gone)
+            back += [{"type": "edge:add", "id": e, "source": a, "target": b} for e, (a, b) in self.edges.items() if a in lost or b in lost]
+            self.take(node)
+            self.edges = {e: ends for e, ends in self.edges.items() if lost.isdisjoint(ends)}
+            for k in gone:
+                self.nodes.pop(k)
+                self.kids.pop(k, None)
+            return back
+        if kind == "move" and hangs and op.get("parent_id") in self.nodes and op["parent_id"] not in set(self.below(node)):
+            parent, index = self.take(node)
+            self.put(node, op["parent_id"], op.get("index"))
+            return [{"type": "move", "id": node, "parent_id": parent, "index": index}]
+        if kind == "edge:add" and node is not None and node not in self.edges:
+            self.edges[node] = (op.get("source"), op.get("target"))
+            return [{"type": "edge:remove", "id": node}]
+        if kind == "edge:remove" and node in self.edges:
+            a, b = self.edges.pop(node)
+            return [{"type": "edge:add", "id": node, "source": a, "target": b}]
+        return None
+
+    def again(self, taken: list, given: list) -> list[dict] | None:
+        """Apply the last step of taken that still applies; its inverse goes to given."""
+        while taken:
+            back: list[dict] = []
+            for op in taken.pop():
+                back = (self.apply(op) or []) + back
+            if back:
+                given.append(back)
+                return back
+        return None
+
+    def step(self, op: dict) -> list[dict] | None:
+        """One line of the log: an edit, or ``undo`` or ``redo``. What others did (origin ``remote``) is not recorded."""
+        if op["type"] == "undo":
+            return self.again(self.done, self.undone)
+        if op["type"] == "redo":
+            return self.again(self.undone, self.done)
+        back = self.apply(op)
+        if back is not None and op.get("origin") != "remote":
+            self.done = [*self.done, back][-HISTORY:]
+            self.undone = []
+        return back
+
+
+def _replayed(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None, out, schema: str) -> DataFrame:
+    """out(map, document, log) of each map, whose log is one document's history and is replayed in one task."""
+    ship(nodes.sparkSession)
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    state = nodes.select("map_id", F.lit(False).alias("edge"), "node_id", "parent_id", "ord", "type", "text", *none("source", "target"))
+    if edges is not None:
+        state = state.unionByName(edges.select("map_id", F.lit(True).alias("edge"), F.col("edge_id").alias("node_id"), *none("parent_id"), F.lit(0).cast("bigint").alias("ord"), *none("type", "text"), "source", "target"))
+    log = ops.select("map_id", *[(F.col(n) if n in ops.columns else F.lit(None)).cast(kind).alias(n) for n, kind in LOG.items()])
+
+    def replay(own, lines):
+        import pandas as pd
+
+        clean = lambda v: None if v is None or v != v or v is pd.NA else v
+        rows = [r for r in own.astype(object).where(own.notna(), None).itertuples(index=False)]
+        document = _Document([r for r in rows if not r.edge], [r for r in rows if r.edge])
+        steps = [{k: clean(v) for k, v in r._asdict().items()} for r in lines.sort_values("seq").itertuples(index=False)]
+        names = [part.split()[0] for part in schema.split(", ")]
+        number = own["map_id"].iloc[0] if len(own) else lines["map_id"].iloc[0]
+        return pd.DataFrame([(number, *r) for r in out(document, steps)], columns=names)
+
+    return state.groupBy("map_id").cogroup(log.groupBy("map_id")).applyInPandas(replay, schema)
+
 
+def _map_kind(nodes: DataFrame) -> str:
+    return nodes.schema["map_id"].dataType.simpleString()
 
-def apply_ops(nodes: DataFrame, ops: DataFrame) -> DataFrame:
-    """Nodes after each map's log: add, update, remove and move, in the order of seq; what no longer applies is passed over.
 
-    ops: map_id, seq, type, id, parent_id, index, text. A map's log is one document's history and is replayed in one task.
+def apply_ops(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Nodes after each map's log, in the order of seq: add, update, remove, move, edge:add, edge:remove, undo and redo. What no longer
+    applies is passed over; ids can't be changed; an index is clamped; nothing moves below itself; roots stay.
+
+    ops: map_id, seq, type, id, parent_id, index, text, and where they are needed node_type, source, target, origin.
     """
-    ship(nodes.sparkSession)
-    schema = nodes.select("map_id", "node_id", "parent_id", "ord", "type", "text").schema
 
-    def replay(own, log):
-        import pandas as pd
+    def out(document, steps):
+        for op in steps:
+            document.step(op)
+        place = {k: j for row in document.kids.values() for j, k in enumerate(row)}
+        return [(k, n["parent"], place[k], n["type"], n["text"]) for k, n in document.nodes.items()]
+
+    return _replayed(nodes, ops, edges, out, f"map_id {_map_kind(nodes)}, node_id string, parent_id string, ord long, type string, text string")
+
+
+def apply_edge_ops(nodes: DataFrame, ops: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (map_id, edge_id, source, target) after the log: those that touch what was removed are gone."""
+
+    def out(document, steps):
+        for op in steps:
+            document.step(op)
+        return [(e, a, b) for e, (a, b) in document.edges.items()]
+
+    return _replayed(nodes, ops, edges, out, f"map_id {_map_kind(nodes)}, edge_id string, source string, target string")
+
+
+def inverses(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(map_id, seq, part, type, id, parent_id, index, text, node_type, source, target): what takes back each line that applied, in
+    the order of part; lines of the log that did not apply have no rows."""
+
+    def out(document, steps):
+        fields = ["id", "parent_id", "index", "text", "node_type", "source", "target"]
+        return [(op["seq"], j, back["type"], *[back.get(f) for f in fields]) for op in steps for j, back in enumerate(document.step(op) or [])]
 
-        held = {r.node_id: r._asdict() for r in own.itertuples(index=False)}
-        kids: dict = {}
-        for r in own.sort_values(["ord", "node_id"]).itertuples(index=False):
-            kids.setdefault(r.parent_id, []).append(r.node_id)
-
-        def below(k):
-            yield k
-            for c in kids.get(k, []):
-                yield from below(c)
-
-        def place(k, parent, index):
-            row = kids.setdefault(parent, [])
-            at = len(row) if index is None or index != index else int(index)
-            row.insert(max(0, min(at, len(row))), k)
-            held[k]["parent_id"] = parent
-
-        for op in log.sort_values("seq").itertuples(index=False):
-            if op.type == "add" and op.parent_id in held and op.id not in held:
-                held[op.id] = {"map_id": op.map_id, "node_id": op.id, "parent_id": None, "ord": 0, "type": "concept", "text": op.text}
-                place(op.id, op.parent_id, op.index)
-            elif op.type == "update" and op.id in held:
-                held[op.id]["text"] = op.text
-            elif op.type in ("remove", "move") and op.id in held and held[op.id]["parent_id"] in held:
-                parent = held[op.id]["parent_id"]
-                if op.type == "remove":
-                    kids[parent].remove(op.id)
-                    for k in list(below(op.id)):
-                        held.pop(k)
-                elif op.parent_id in held and op.parent_id not in set(below(op.id)):
-                    kids[parent].remove(op.id)
-                    place(op.id, op.parent_id, op.index)
-        for row in kids.values():
-            for k, node in enumerate(row):
-                if node in held:
-                    held[node]["ord"] = k
-        return pd.DataFrame(list(held.values()), columns=[f.name for f in schema])
-
-    a = nodes.select("map_id", "node_id", "parent_id", "ord", "type", "text").groupBy("map_id")
-    return a.cogroup(ops.groupBy("map_id")).applyInPandas(replay, schema)
+    kinds = "seq long, part int, type string, id string, parent_id string, index int, text string, node_type string, source string, target string"
+    return _replayed(nodes, ops, edges, out, f"map_id {_map_kind(nodes)}, {kinds}")

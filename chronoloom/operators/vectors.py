@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 #: Query vectors that are held against the rows at a time.
 BLOCK = 4096
@@ -56,6 +56,108 @@ def similar(queries: DataFrame, rows: DataFrame, least: float, *, key: str = "ve
     return out
 
 
+#: Vectors of a region's block; pivots of the rows, and the sample that they are drawn from.
+LINK_BLOCK, PIVOTS = 1024, 64
+
+
+def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, block: int = LINK_BLOCK) -> DataFrame:
+    """(a, b) of vectors whose cosine is at least so much: not every such pair, but links that join the same vectors as all of them.
+
+    The angle between vectors is a metric. Every vector belongs to the region of its nearest pivot, and is copied to each region whose
+    farthest own vector is at most the link angle nearer to that pivot than it is; a pair is looked at in the region of the one or
+    the other. Regions are joined in blocks of bounded size, own vectors with all; equal vectors are linked in a chain first and
+    stand in the join once. Exact for any data; how many regions a vector is copied to depends on how the vectors cluster.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    kind = rows.schema[key].dataType.simpleString()
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    equal = held.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeats = held.join(equal.where("n > 1"), "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    points = cut(equal.select(F.col("first").alias("id"), "v"))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # so many vectors
+    if not drawn:
+        return repeats
+    centre = np.array([r.v for r in drawn])
+    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-300)
+    angle, sent = float(np.arccos(np.clip(least, -1, 1))) + 1e-7, spark.sparkContext.broadcast(centre)
+
+    def far(column) -> tuple[np.ndarray, np.ndarray]:
+        v = np.array(column.to_pylist(), dtype=np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        return v, np.arccos(np.clip(v @ sent.value.T, -1, 1))
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                d = far(batch.column(1))[1]
+                at = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], names=["cell", "far"])
+
+    own_sizes = {r.cell: r for r in points.mapInArrow(nearest, "cell int, far double").groupBy("cell").agg(F.max("far").alias("reach"), F.count("*").alias("n")).collect()}
+    cells = range(len(centre))
+    reach = np.array([own_sizes[c].reach if c in own_sizes else -10.0 for c in cells])
+
+    def copied(batches):
+        import pyarrow as pa
+
+        n = np.zeros(len(reach), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                d = far(batch.column(1))[1]
+                n += (d <= reach + angle).sum(axis=0) - np.bincount(d.argmin(axis=1), minlength=len(reach))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["cell", "n"])
+
+    copies = {r.cell: r.n for r in points.mapInArrow(copied, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    parts = [-(-own_sizes[c].n // block) if c in own_sizes else 1 for c in cells]
+    copy_parts = [-(-copies[c] // block) for c in cells]
+
+    def dealt(batches):
+        """A row for each group that a vector is in: two blocks of a cell's own vectors (k = -1), or a block of them and the k-th of copies."""
+        import zlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = far(batch.column(1))[1]
+            home, take, groups = d.argmin(axis=1).tolist(), [], []
+            for r, x in enumerate(batch.column(0).to_pylist()):
+                number = zlib.crc32(repr(x).encode())
+                for c in np.flatnonzero(d[r] <= reach + angle).tolist():
+                    if c == home[r]:
+                        mine = number % parts[c]
+                        own = [(c, min(mine, j), max(mine, j), -1, True) for j in range(parts[c])] + [(c, mine, mine, k, True) for k in range(copy_parts[c])]
+                    else:
+                        own = [(c, j, j, number % copy_parts[c], False) for j in range(parts[c])]
+                    groups += own
+                    take += [r] * len(own)
+            at = pa.array(take, pa.int64())
+            columns = [pa.array([g[k] for g in groups], pa.int32()) for k in range(4)] + [pa.array([g[4] for g in groups], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "i", "j", "k", "own", "id", "v"])
+
+    def join(part):
+        import pyarrow as pa
+
+        part = part.sort_by("id")
+        v = np.array(part.column("v").to_pylist(), dtype=np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        own, ids = np.flatnonzero(part.column("own").to_numpy(zero_copy_only=False)), part.column("id").to_numpy()
+        label, links = np.arange(len(v)), []
+        for x in own.tolist():
+            for y in np.flatnonzero(v @ v[x] >= least).tolist():
+                if label[x] != label[y]:
+                    links.append((ids[x], ids[y]))
+                    label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in links], part.schema.field("id").type), "b": pa.array([b for _, b in links], part.schema.field("id").type)})
+
+    pairs = points.mapInArrow(dealt, f"cell int, i int, j int, k int, own boolean, id {kind}, v array<double>").repartition("cell", "i", "j", "k")
+    return pairs.groupBy("cell", "i", "j", "k").applyInArrow(join, f"a {kind}, b {kind}").unionByName(repeats)
+
+
 def links(found: DataFrame) -> DataFrame:
     """Each pair once, smaller id first."""
     return found.select(F.least("query", "row").alias("a"), F.greatest("query", "row").alias("b"), "cosine").dropDuplicates(["a", "b"])

@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import lexical as C
 from ..operators import vectors as V
 from ..operators.components import components
+from ..operators.ranks import ranked
 from ..sources.tables import SQL_DOCUMENT_CAPTIONS, document_captions, table
 from . import Registry
 from .text import SQL_TOKENS, sql_normal, sql_titled, sql_truncated
@@ -227,29 +228,42 @@ def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 0.2).where("ql = rl AND cosine < 0.5").select("query", "row", F.round("cosine", 6).alias("weight"))
 
 
-@registry.query(
-    f"""WITH RECURSIVE {_SQL_NEAR}, e AS (SELECT query AS a, row AS b FROM near WHERE cosine >= 0.25 UNION SELECT row, query FROM near WHERE cosine >= 0.25),
-r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT a AS v, least(a, min(b)) AS component FROM r GROUP BY a"""
-)
+#: Cosine from which vectors say the same; each vector also has a near copy of itself here, so that there is something to find.
+SAME = 0.82
+_SQL_SAME = f"""copies AS (SELECT CAST(vec_id AS BIGINT) AS v, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  UNION ALL SELECT CAST(vec_id AS BIGINT) + 1000000000, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i % 10 = 1 THEN x * (vec_id % 5) ELSE x END) FROM embeddings
+  UNION ALL SELECT CAST(vec_id AS BIGINT) + 2000000000, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) FROM embeddings WHERE vec_id % 3 = 0),
+e AS (SELECT p.v AS a, q.v AS b FROM copies p JOIN copies q ON p.v <> q.v AND list_cosine_similarity(p.e, q.e) >= {SAME}),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT v, label, least(v, (SELECT min(b) FROM r WHERE a = v)) AS component FROM copies)"""
+
+
+def _same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, label, component) of every vector, with altered and scaled copies of it."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("v"), "label", F.col("embedding").cast("array<double>").alias("e"))
+    altered = F.transform("e", lambda x, i: F.when(i % 10 == 0, x * (F.col("v") % 5)).otherwise(x))
+    scaled = rows.where("v % 3 = 0").select((F.col("v") + 2_000_000_000).alias("v"), "label", F.transform("e", lambda x: x * 2).alias("e"))
+    copies = rows.unionByName(rows.select((F.col("v") + 1_000_000_000).alias("v"), "label", altered.alias("e"))).unionByName(scaled)
+    found = components(V.near_links(copies, SAME, key="v", vector="e")).withColumnRenamed("v", "k")
+    return copies.select("v", "label").join(found, F.col("v") == F.col("k"), "left").select("v", "label", F.coalesce("component", "v").alias("component"))
+
+
+@registry.query(f"WITH RECURSIVE {_SQL_SAME} SELECT v, component FROM c")
 def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return components(V.similar(rows.where("vec_id % 50 = 0"), rows, 0.25).select(F.col("query").alias("a"), F.col("row").alias("b")))
+    """Every vector with the least vector that links reach; all pairs count."""
+    return _same(spark, sf_dir).select("v", "component")
 
 
 @registry.query(
-    f"""WITH RECURSIVE {_SQL_NEAR}, e AS (SELECT query AS a, row AS b FROM near WHERE cosine >= 0.25 UNION SELECT row, query FROM near WHERE cosine >= 0.25),
-r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS v, least(a, min(b)) AS component FROM r GROUP BY a)
-SELECT component, count(*) AS members, count(DISTINCT label) AS videos, arg_min(v, (length(CAST(v AS VARCHAR)), v)) AS head,
-  CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INTEGER) AS rank FROM c JOIN embeddings ON v = vec_id GROUP BY component"""
+    f"""WITH RECURSIVE {_SQL_SAME} SELECT component, count(*) AS members, count(DISTINCT label) AS videos, arg_min(v, (length(CAST(v AS VARCHAR)), v)) AS head,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INTEGER) AS rank FROM c GROUP BY component"""
 )
 def hub_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked vectors as shared topics: the most members first, the shortest name as head."""
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "label")
-    held = near_duplicate_components(spark, sf_dir).join(labels, "v").groupBy("component").agg(
+    held = _same(spark, sf_dir).groupBy("component").agg(
         F.count("*").alias("members"), F.countDistinct("label").alias("videos"), F.min_by("v", F.struct(F.length(F.col("v").cast("string")), "v")).alias("head")
     )
-    return held.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("members"), "component")))
+    return ranked(held, [F.desc("members"), F.asc("component")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 _KEY = "left(sha1(doc_id || '|' || left(text, 80)), 20)"
@@ -290,10 +304,10 @@ def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("concept = 1").select("video_id", "pos").intersect(found.where("concept = 2").select("video_id", "pos"))
 
 
-@registry.query(f"WITH {_SQL_MENTIONS} SELECT video_id, pos FROM captions WHERE pos < 50 EXCEPT SELECT video_id, pos FROM mentions")
+@registry.query(f"WITH {_SQL_MENTIONS} SELECT video_id, pos FROM captions EXCEPT SELECT video_id, pos FROM mentions")
 def unmentioned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lines, found = _mentions(spark, sf_dir)
-    return lines.where("pos < 50").select("video_id", "pos").exceptAll(found.select("video_id", "pos").distinct()).distinct()
+    return lines.select("video_id", "pos").join(found.select("video_id", "pos"), ["video_id", "pos"], "left_anti").distinct()
 
 
 @registry.query("WITH a AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS id, label + 100 AS label FROM embeddings WHERE vec_id % 2 = 0) SELECT id, CAST(label AS INTEGER) AS label FROM a UNION ALL SELECT id, CAST(label AS INTEGER) FROM b WHERE id NOT IN (SELECT id FROM a)")
@@ -309,4 +323,6 @@ def union_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct titles of a source in the order of their first document, joined and cut."""
     t = table(spark, sf_dir, "documents").groupBy("source", F.left("text", F.lit(12)).alias("title")).agg(F.min("doc_id").alias("first"))
+    # a title takes three characters at least with what joins it, so no more than these can show
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("first", "title"))).where(F.col("n") <= 140 // 3 + 2)
     return t.groupBy("source").agg(F.left(F.expr("listagg(title, ' + ') WITHIN GROUP (ORDER BY first)"), F.lit(140)).alias("titles"))

@@ -21,21 +21,21 @@ _share = lambda c, ws: "(" + " + ".join(f"CASE WHEN contains({c}, '{w}') THEN 1.
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the vectors of the same numbers, and the likeness to vector 0."""
+    """All documents, with the likeness of the vector of the same number, where there is one, to vector 0."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
     query = F.array(*[F.lit(float(x)) for x in rows.where("doc_id = 0").first().v])
-    return table(spark, sf_dir, "documents").join(rows, "doc_id").withColumn("cosine", T.cosine(F.col("v"), query)).drop("v")
+    return table(spark, sf_dir, "documents").join(rows, "doc_id", "left").withColumn("cosine", T.cosine(F.col("v"), query)).drop("v")
 
 
-_SQL_V = "v AS (SELECT d.*, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cosine FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
+_SQL_V = "v AS (SELECT d.*, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cosine FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
 
 
 @registry.query(
-    f"""WITH {_SQL_V}, s AS (SELECT doc_id, round(cosine * 0.75 + {_share('lower(text)', _WORDS3)} * 0.35 + CASE WHEN doc_id % 3 = 0 THEN 0.05 ELSE 0.0 END, 4) AS score FROM v),
+    f"""WITH {_SQL_V}, s AS (SELECT doc_id, round(coalesce(cosine, 0) * 0.75 + {_share('lower(text)', _WORDS3)} * 0.35 + CASE WHEN doc_id % 3 = 0 THEN 0.05 ELSE 0.0 END, 4) AS score FROM v),
 t AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 12) SELECT * FROM t WHERE score >= greatest(0.15, 0.45 * (SELECT max(score) FROM t))"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = R.hybrid_score(F.col("cosine"), F.lower("text"), _WORDS3, F.col("doc_id") % 3 == 0)
+    score = R.hybrid_score(F.coalesce("cosine", F.lit(0.0)), F.lower("text"), _WORDS3, F.col("doc_id") % 3 == 0)
     return R.best(_vectors(spark, sf_dir).select("doc_id", F.round(score, 4).alias("score")), 12, "doc_id")
 
 
@@ -142,10 +142,10 @@ def vector_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.themes(rows, "label", "embedding")
 
 
-@registry.query(f"WITH {_SQL_V} SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1) > 0.6 THEN round(greatest(0, cosine), 2) END AS faith FROM v")
+@registry.query(f"WITH {_SQL_V} SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1) > 0.6 AND cosine IS NOT NULL THEN round(greatest(0, cosine), 2) END AS faith FROM v")
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How near a label is to what it stands for; only Latin text has a value."""
-    return _vectors(spark, sf_dir).select("doc_id", F.when(X.ascii_share(F.col("text")) > 0.6, F.round(F.greatest(F.lit(0.0), "cosine"), 2)).alias("faith"))
+    return _vectors(spark, sf_dir).select("doc_id", F.when((X.ascii_share(F.col("text")) > 0.6) & F.col("cosine").isNotNull(), F.round(F.greatest(F.lit(0.0), "cosine"), 2)).alias("faith"))
 
 
 @registry.query("SELECT source, coalesce(avg(CASE WHEN l.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 1.0) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
@@ -212,11 +212,11 @@ def section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("video_id", "section", B.section_key(F.col("t")).alias("key"))
 
 
-@registry.query(f"WITH {SQL_DOCUMENT_CAPTIONS} SELECT video_id, pos, 's' || dense_rank() OVER (PARTITION BY video_id ORDER BY pos // 8) AS section, 'c' || row_number() OVER (PARTITION BY video_id ORDER BY pos) AS concept FROM captions WHERE pos % 2 = 0")
+@registry.query(f"WITH {SQL_DOCUMENT_CAPTIONS} SELECT video_id, pos, 's' || dense_rank() OVER (PARTITION BY video_id ORDER BY pos // 8) AS section, 'c' || row_number() OVER (PARTITION BY video_id ORDER BY pos) AS concept FROM captions")
 def candidate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates numbered through a whole document."""
     w = Window.partitionBy("video_id")
-    rows = document_captions(spark, sf_dir).where("pos % 2 = 0")
+    rows = document_captions(spark, sf_dir)
     section = F.dense_rank().over(w.orderBy(F.floor(F.col("pos") / 8)))
     return rows.select("video_id", "pos", F.concat(F.lit("s"), section.cast("string")).alias("section"), F.concat(F.lit("c"), F.row_number().over(w.orderBy("pos")).cast("string")).alias("concept"))
 

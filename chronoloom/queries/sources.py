@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..sources import payloads as P
 from ..sources.tables import table
 from . import Registry
@@ -107,4 +108,4 @@ def tone_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps with their sizes, newest first."""
     m = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("map_id")).agg(F.count("*").alias("nodes"), F.coalesce(F.max("lang"), F.lit("untitled")).alias("title"), F.max("doc_id").alias("at"))
-    return m.withColumn("place", F.rank().over(Window.orderBy(F.desc("at")))).drop("at")
+    return ranked(m, [F.desc("at")], "place").withColumn("place", F.col("place").cast("int")).drop("at")

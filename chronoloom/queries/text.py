@@ -116,9 +116,9 @@ def truncated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.truncated(F.col("text"), 60).alias("title"), X.truncated(F.col("text"), 140).alias("gist"))
 
 
-@registry.query(f"WITH {SQL_DOCUMENT_CAPTIONS} SELECT video_id, pos, {sql_titled('text')} AS title FROM captions WHERE pos < 3")
+@registry.query(f"WITH {SQL_DOCUMENT_CAPTIONS} SELECT video_id, pos, {sql_titled('text')} AS title FROM captions")
 def titled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("pos < 3").select("video_id", "pos", X.titled(F.col("text")).alias("title"))
+    return _lines(spark, sf_dir).select("video_id", "pos", X.titled(F.col("text")).alias("title"))
 
 
 @registry.query(
@@ -134,10 +134,10 @@ def clock_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x) <> '') AS a FROM documents) "
     "SELECT doc_id, CAST(len(a) AS INTEGER) AS n_items, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(trim(y))), lower(trim(x))) = i), ' ') AS kept "
-    "FROM (SELECT doc_id, a[1:60] AS a FROM w)"
+    "FROM w"
 )
 def distinct_items_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: F.trim(x) != "").alias("a")).withColumn("a", F.slice("a", 1, 60))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: F.trim(x) != "").alias("a"))
     return w.select("doc_id", F.size("a").alias("n_items"), F.array_join(X.distinct_in_order(F.col("a")), " ").alias("kept"))
 
 
@@ -243,23 +243,23 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query(
-    f"""WITH {SQL_DOCUMENT_CAPTIONS}, s AS (SELECT video_id, pos, lower(trim(left(text, 12))) AS q, lower(CASE WHEN pos % 2 = 0 THEN text ELSE reverse(text) END) AS t FROM captions WHERE pos < 20)
+    f"""WITH {SQL_DOCUMENT_CAPTIONS}, s AS (SELECT video_id, pos, lower(trim(left(text, 12))) AS q, lower(CASE WHEN pos % 2 = 0 THEN text ELSE reverse(text) END) AS t FROM captions)
 SELECT video_id, pos, round(CASE WHEN q = '' OR t = '' THEN 0 WHEN q = t THEN 1 WHEN contains(t, q) THEN 0.85 - least(0.3, (length(t) - length(q)) / 400.0)
   ELSE 0.7 * (len(list_filter({WORDS.format('q')}, lambda w: length(w) > 1 AND contains(t, w))) / greatest(len(list_filter({WORDS.format('q')}, lambda w: length(w) > 1)), 1)) END, 6) AS score FROM s"""
 )
 def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).where("pos < 20")
+    lines = _lines(spark, sf_dir)
     other = F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(F.reverse("text"))
     return lines.select("video_id", "pos", F.round(X.fuzzy_score(F.left("text", F.lit(12)), other), 6).alias("score"))
 
 
 @registry.query(
     f"""WITH {SQL_DOCUMENT_CAPTIONS} SELECT video_id, pos, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug,
-  CAST(list_reduce(list_transform(list_filter(string_split(left(text, 24), ''), lambda x: x <> ''), lambda x: CAST(unicode(x) AS BIGINT)),
-    lambda h, x: (xor(h, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS BIGINT) AS hash FROM captions WHERE pos < 5"""
+  CAST(list_reduce(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: CAST(unicode(x) AS BIGINT)),
+    lambda h, x: (xor(h, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS BIGINT) AS hash FROM captions"""
 )
 def slugs_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("pos < 5").select("video_id", "pos", X.slug(F.col("text")).alias("slug"), X.fnv1a(F.left("text", F.lit(24))).alias("hash"))
+    return _lines(spark, sf_dir).select("video_id", "pos", X.slug(F.col("text")).alias("slug"), X.fnv1a(F.col("text")).alias("hash"))
 
 
 @registry.query(
@@ -275,14 +275,14 @@ _STOPS = L.sql_list(L.STOPS)
 
 
 @registry.query(
-    f"""WITH t AS (SELECT doc_id, list_distinct_in AS k FROM (SELECT doc_id, list_filter({SQL_TOKENS.format('text')}[1:8], lambda x: length(x) > 1) AS list_distinct_in FROM documents)),
+    f"""WITH t AS (SELECT doc_id, list_distinct_in AS k FROM (SELECT doc_id, list_filter({SQL_TOKENS.format('text')}, lambda x: length(x) > 1) AS list_distinct_in FROM documents)),
 p AS (SELECT doc_id, list_concat([k[1] || ' ' || k[2]], k) AS k FROM t WHERE len(k) >= 2)
 SELECT doc_id, array_to_string(list_filter(k, lambda x: contains(x, ' ') OR NOT list_contains(string_split(k[1], ' '), x))[1:6], ', ') AS keywords,
   coalesce(len(string_split(k[1], ' ')) BETWEEN 1 AND 4 AND length(k[1]) >= 3 AND len(list_distinct(string_split(k[1], ' '))) = len(string_split(k[1], ' '))
     AND NOT list_contains({_STOPS}, string_split(k[1], ' ')[1]) AND NOT list_contains({_STOPS}, string_split(k[1], ' ')[-1]), false) AS usable FROM p"""
 )
 def preferred_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.filter(F.slice(X.tokens(F.col("text")), 1, 8), lambda x: F.length(x) > 1)
+    k = F.filter(X.tokens(F.col("text")), lambda x: F.length(x) > 1)
     t = table(spark, sf_dir, "documents").select("doc_id", k.alias("k")).where(F.size("k") >= 2)
     t = t.withColumn("k", F.concat(F.array(F.concat(F.element_at("k", 1), F.lit(" "), F.element_at("k", 2))), "k"))
     return t.select("doc_id", F.array_join(X.prefer_phrases(F.col("k"), 6), ", ").alias("keywords"), X.usable_phrase(F.element_at("k", 1)).alias("usable"))

@@ -28,7 +28,7 @@ def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names from the root to each order."""
     n = nodes(spark, sf_dir, 4)
-    up = T.ancestors(n, 4).where(F.col("node_id").startswith("o"))
+    up = T.ancestors(n).where(F.col("node_id").startswith("o"))
     named = up.join(n.select("map_id", F.col("node_id").alias("ancestor_id"), "text"), ["map_id", "ancestor_id"])
     trail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "text"))), lambda x: x["text"]), " > ")
     return named.groupBy("node_id").agg(trail.alias("trail")).select(F.substring("node_id", 2, 20).cast("bigint").alias("o_orderkey"), "trail")
@@ -36,7 +36,7 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(f"WITH RECURSIVE {_SQL_WALK} SELECT map_id, path, repeat('  ', depth) || '- [' || node_id || '] ' || trim(text, '“”\" ') AS line FROM walked WHERE type <> 'transcript' AND depth <= 3")
 def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.outline(T.walk(nodes(spark, sf_dir, 4), 4), 3)
+    return T.outline(T.walk(nodes(spark, sf_dir, 4)), 3)
 
 
 @registry.query(f"WITH {SQL_NODES} SELECT map_id, type, count(*) AS n FROM nodes GROUP BY ALL")
@@ -53,7 +53,7 @@ leaves AS (SELECT w.map_id, w.node_id, w.parent_id, w.ord, w.depth, count(*) AS
 @registry.query(f"WITH RECURSIVE {_SQL_LEAVES} SELECT map_id, node_id, leaves FROM leaves")
 def leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves below every node down to the orders (the ids of lines repeat in this table)."""
-    return T.leaf_counts(nodes(spark, sf_dir, 4), 4)
+    return T.leaf_counts(nodes(spark, sf_dir, 4))
 
 
 @registry.query(
@@ -63,7 +63,7 @@ SELECT map_id, node_id, CASE WHEN ord <= (SELECT arg_min(ord, (off, ord)) FROM s
 def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir, 4)
     sections = n.where("type = 'section'").select("map_id", "node_id", "ord")
-    return T.balanced_split(sections.join(T.leaf_counts(n, 4), ["map_id", "node_id"]))
+    return T.balanced_split(sections.join(T.leaf_counts(n), ["map_id", "node_id"]))
 
 
 _GONE = "type IN ('section', 'concept') AND ord % 7 = 3"
@@ -84,7 +84,7 @@ def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that are not below a folded one, without transcripts."""
     n = nodes(spark, sf_dir, 4)
     folded = n.where("value < 0").select("map_id", F.col("node_id").alias("ancestor_id"))
-    hidden = T.ancestors(n, 4).where("up > 0").join(folded, ["map_id", "ancestor_id"], "left_semi").select("map_id", "node_id").distinct()
+    hidden = T.ancestors(n).where("up > 0").join(folded, ["map_id", "ancestor_id"], "left_semi").select("map_id", "node_id").distinct()
     return n.join(hidden, ["map_id", "node_id"], "left_anti").select("map_id", "node_id", "type")
 
 
@@ -110,7 +110,7 @@ UNION ALL SELECT s.map_id, path, 1, 'Key terms: ' || string_agg(term, ' · ' ORD
 UNION ALL SELECT map_id, path, 0, '- **' || trim(split_part(text, ':', 1)) || '**: ' || trim(substring(text, instr(text, ':') + 1)) FROM walked WHERE type = 'concept'"""
 )
 def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.markdown(T.walk(nodes(spark, sf_dir, 3), 3))
+    return T.markdown(T.walk(nodes(spark, sf_dir, 3)))
 
 
 @registry.query(
@@ -118,7 +118,7 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT map_id, path || '~', repeat(' ', depth) || '</outline>' FROM walked"""
 )
 def opml_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.opml(T.walk(nodes(spark, sf_dir, 3), 3))
+    return T.opml(T.walk(nodes(spark, sf_dir, 3)))
 
 
 @registry.query(f"WITH {SQL_NODES} SELECT r.map_id, r.text AS title, count(*) AS children, string_agg('[[' || n.text || ']]', ', ' ORDER BY n.ord) AS strings FROM nodes r JOIN nodes n ON n.parent_id = r.node_id AND n.map_id = r.map_id WHERE r.type = 'root' GROUP BY r.map_id, r.text")
@@ -140,7 +140,7 @@ def nested_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(f"WITH RECURSIVE {_SQL_CUST}, f AS (SELECT *, CASE WHEN depth >= 2 THEN repeat('→ ', depth - 1) ELSE '' END || text AS line FROM walked), n AS (SELECT map_id, parent_id, node_id, line, row_number() OVER (PARTITION BY map_id, coalesce(parent_id, '') ORDER BY ord) - 1 AS r FROM f) SELECT map_id, node_id, line, CAST(r // 100 AS BIGINT) AS batch FROM n")
 def flattened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children in batches of a hundred, deeper levels behind arrows."""
-    walked = T.walk(nodes(spark, sf_dir, 3), 3)
+    walked = T.walk(nodes(spark, sf_dir, 3))
     line = F.concat(F.when(F.col("depth") >= 2, F.repeat(F.lit("→ "), F.col("depth") - 1)).otherwise(F.lit("")), "text")
     r = F.row_number().over(Window.partitionBy("map_id", F.coalesce("parent_id", F.lit(""))).orderBy("ord")) - 1
     return walked.select("map_id", "node_id", line.alias("line"), F.floor(r / 100).alias("batch"))

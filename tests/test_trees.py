@@ -42,6 +42,119 @@ def test_walk_and_removal(spark):
     assert {r.node_id: r.leaves for r in T.leaf_counts(n).collect()} == {"r": 2, "a": 1, "b": 1, "c": 1, "d": 1}
 
 
+def test_trees_of_any_depth(spark):
+    """A chain of fifty levels and a bush; ids that go in circles are refused."""
+    rows = [(1, f"n{k}", f"n{k - 1}" if k else None, 0, "concept", str(k)) for k in range(50)] + [(2, f"m{k}", f"m{(k - 1) // 2}" if k else None, (k - 1) % 2 if k else 0, "concept", str(k)) for k in range(31)]
+    n = spark.createDataFrame(rows, NODES).repartition(3)
+    walked = {(r.map_id, r.node_id): (r.depth, r.path) for r in T.walk(n).collect()}
+    assert len(walked) == 81 and all(walked[1, f"n{k}"][0] == k for k in range(50))
+    order = [k for (m, k), _ in sorted(walked.items(), key=lambda kv: (kv[0][0], kv[1][1])) if m == 2]
+
+    def pre(k):
+        return [f"m{k}"] + [x for c in (2 * k + 1, 2 * k + 2) if c < 31 for x in pre(c)]
+
+    assert order == pre(0)
+    assert T.ancestors(n).where("node_id = 'n49'").count() == 50
+    leaves = {(r.map_id, r.node_id): r.leaves for r in T.leaf_counts(n).collect()}
+    assert leaves[1, "n0"] == 1 and leaves[2, "m0"] == 16 and leaves[2, "m1"] == 8
+    assert {r.node_id for r in T.without_subtrees(n, n.where("node_id IN ('n20', 'm1', 'm0')").select("map_id", "node_id")).collect()} == {f"n{k}" for k in range(20)} | {x for x in pre(0) if x not in pre(1)}
+    assert T.outline(T.walk(n), 100).where("map_id = 1").count() == 50
+
+
+def nested(rows):
+    """The same log on nested dictionaries, as a tree is written down."""
+    held = {r[1]: {"id": r[1], "type": r[4], "text": r[5], "children": []} for r in rows}
+    for r in sorted(rows, key=lambda r: r[3]):
+        if r[2] is not None:
+            held[r[2]]["children"].append(held[r[1]])
+    return next(held[r[1]] for r in rows if r[2] is None)
+
+
+def find(node, key, parent=None):
+    if node["id"] == key:
+        return node, parent
+    for c in node["children"]:
+        if (hit := find(c, key, node))[0]:
+            return hit
+    return None, None
+
+
+def ids_of(node):
+    return [node["id"]] + [x for c in node["children"] for x in ids_of(c)]
+
+
+def applied(root, edges, op):
+    kind, key, parent_id, index, text, source, target = op
+    node, parent = find(root, key)
+    home = find(root, parent_id)[0]
+    place = lambda row: len(row) if index is None else max(0, min(index, len(row)))
+    if kind == "add" and home and not node:
+        home["children"].insert(place(home["children"]), {"id": key, "type": "concept", "text": text, "children": []})
+    elif kind == "update" and node:
+        node["text"] = text
+    elif kind == "remove" and parent:
+        gone = set(ids_of(node))
+        parent["children"].remove(node)
+        for e in [e for e, ends in edges.items() if gone & set(ends)]:
+            edges.pop(e)
+    elif kind == "move" and parent and home and home["id"] not in ids_of(node):
+        parent["children"].remove(node)
+        home["children"].insert(place(home["children"]), node)
+    elif kind == "edge:add" and key not in edges:
+        edges[key] = (source, target)
+    elif kind == "edge:remove":
+        edges.pop(key, None)
+
+
+OPS = "map_id int, seq long, type string, id string, parent_id string, index int, text string, source string, target string"
+
+
+def flat(node, parent=None, ord_=0):
+    return {(node["id"], parent, ord_, node["text"]) for _ in [0]}.union(*[flat(c, node["id"], k) for k, c in enumerate(node["children"])])
+
+
+def test_random_logs_against_nested_trees(spark):
+    """Nodes, edges, and the inverses, which taken backwards lead to where the log began."""
+    import random
+
+    rng = random.Random(3)
+    start = [(m, "r", None, 0, "root", "R") for m in range(6)] + [(m, f"s{k}", "r", k, "section", f"S{k}") for m in range(6) for k in range(4)]
+    ops, want_nodes, want_edges = [], {}, {}
+    for m in range(6):
+        root, edges = nested([r for r in start if r[0] == m]), {"e0": ("s0", "s1")}
+        names = ["r", *(f"s{k}" for k in range(4)), *(f"x{k}" for k in range(14))]
+        for seq in range(120):
+            kind = rng.choice(["add", "add", "add", "update", "remove", "move", "move", "edge:add", "edge:add", "edge:remove"])
+            key = f"e{rng.randrange(8)}" if kind.startswith("edge") else rng.choice(names)
+            op = (kind, key, rng.choice(names), rng.choice([None, 0, 1, 9, -2]), f"t{seq}", rng.choice(names), rng.choice(names))
+            ops.append((m, seq, *op))
+            applied(root, edges, op)
+        want_nodes[m], want_edges[m] = flat(root), set((e, *ends) for e, ends in edges.items())
+    nodes_, log = spark.createDataFrame(start, NODES), spark.createDataFrame(ops, OPS)
+    edges_ = spark.createDataFrame([(m, "e0", "s0", "s1") for m in range(6)], "map_id int, edge_id string, source string, target string")
+    got = T.apply_ops(nodes_, log, edges_)
+    for m in range(6):
+        assert {(r.node_id, r.parent_id, r.ord, r.text) for r in got.where(f"map_id = {m}").collect()} == want_nodes[m]
+        assert {(r.edge_id, r.source, r.target) for r in T.apply_edge_ops(nodes_, log, edges_).where(f"map_id = {m}").collect()} == want_edges[m]
+    back = T.inverses(nodes_, log, edges_)
+    take_back = back.selectExpr("map_id", "1000000 - seq * 1000 + part AS seq", "type", "id", "parent_id", "index", "text", "node_type", "source", "target")
+    both = log.withColumn("node_type", F.lit(None).cast("string")).unionByName(take_back)
+    assert {(r.map_id, r.node_id, r.parent_id, r.ord, r.text) for r in T.apply_ops(nodes_, both, edges_).collect()} == {(r[0], r[1], r[2], r[3], r[5]) for r in start}
+    assert T.apply_edge_ops(nodes_, both, edges_).count() == 6
+
+
+def test_undo_and_redo(spark):
+    """Steps are undone the last first; a new edit ends what can be redone; what others did is not undone."""
+    assert replay(spark, [("add", "x", "a", 0, "X"), ("undo", None, None, None, None)]).keys() == {"r", "a", "b", "c", "d"}
+    out = replay(spark, [("add", "x", "a", 0, "X"), ("update", "b", None, None, "B2"), ("undo", None, None, None, None), ("undo", None, None, None, None), ("redo", None, None, None, None)])
+    assert out["b"][2] == "B" and out["x"] == ("a", 0, "X")
+    out = replay(spark, [("remove", "a", None, None, None), ("undo", None, None, None, None)])
+    assert {k: v[:2] for k, v in out.items()} == {"r": (None, 0), "a": ("r", 0), "b": ("r", 1), "c": ("a", 0), "d": ("c", 0)}
+    out = replay(spark, [("add", "x", "a", 0, "X"), ("undo", None, None, None, None), ("update", "b", None, None, "B2"), ("redo", None, None, None, None)])
+    assert "x" not in out and out["b"][2] == "B2"
+    assert "y" in replay(spark, [("add", f"x{k}", "a", 0, "X") for k in range(2)] + [("add", "y", "a", 0, "Y")] + [("undo", None, None, None, None)] * 1 + [("redo", None, None, None, None)])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.v: r.component for r in components(edges).collect()}
