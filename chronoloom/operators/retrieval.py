@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut
 
 LEAST_SCORE, OF_BEST = 0.15, 0.45
 FEWEST, MOST, BUDGET = 5, 8, 1250
+#: Sections of a video whose themes one task finds.
+MOST_SECTIONS = 4096
 
 
 def query_words(question: str, least: int) -> list[str]:
@@ -64,32 +69,32 @@ def round_robin(rows: DataFrame, key: str, part: str, order: str, most: int) ->
 
 
 def mmr(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """k rows of each key (id, vector) that are near its mean vector and unlike each other: .7 relevance less .3 likeness."""
-    from ..session import ship
-
-    ship(rows.sparkSession)
-
-    def pick(own):
-        import numpy as np
-        import pandas as pd
+    """k rows of each key (id, vector) that are near its mean vector and unlike each other: .7 relevance less .3 likeness.
 
-        own = own.sort_values("id")
-        v = np.array(own[vector].tolist(), dtype=float)
-        rel = np.clip(v @ v.mean(axis=0), -1, 1)
-        chosen: list[int] = []
-        while len(chosen) < min(k, len(v)):
-            like = (v @ v[chosen].T).max(axis=1) if chosen else np.zeros(len(v))
-            score = 0.7 * rel - 0.3 * like
-            score[chosen] = -np.inf
-            chosen.append(int(np.argmax(score)))
-        return pd.DataFrame({key: own[key].iloc[chosen].to_numpy(), "id": own["id"].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1)})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(pick, f"{key} {kind}, id long, pick long")
+    Means and picks are partial aggregates, one round for each pick, so a key may hold any share of the rows; a pick is one vector
+    of each key. Ties go to the least id.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    held = rows.select(F.col(key).alias("g"), "id", F.col(vector).cast("array<double>").alias("v"))
+    dims = held.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
+    mean = dims.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    relevance = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("v"), F.col("mean"))))
+    held = held.join(mean, "g").select("g", "id", "v", relevance.alias("relevance"), F.lit(None).cast("double").alias("like"))
+    picks = []
+    for n in range(1, k + 1):
+        score = 0.7 * F.col("relevance") - 0.3 * F.coalesce("like", F.lit(0.0))
+        best = F.struct(F.round(score, 12).alias("score"), (-F.col("id")).alias("first"))
+        chosen = cut(held.groupBy("g").agg(F.max_by(F.struct("id", "v"), best).alias("c")).select("g", F.col("c.id").alias("c_id"), F.col("c.v").alias("c_v")))
+        picks.append(chosen.select(F.col("g").alias(key), F.col("c_id").alias("id"), F.lit(n).cast("bigint").alias("pick")))
+        held = held.join(chosen, "g").where("id <> c_id").withColumn("like", F.greatest("like", dot(F.col("v"), F.col("c_v")))).drop("c_id", "c_v")
+    return functools.reduce(DataFrame.unionByName, picks)
 
 
 def themes(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Average-link clusters of a key's vectors by cosine distance: n // 2 of them, two to five; fewer than four vectors are one."""
+    """Average-link clusters of a key's vectors by cosine distance: n // 2 of them, two to five; fewer than four vectors are one.
+
+    A key is one video's sections: more than MOST_SECTIONS of them are refused.
+    """
     from ..session import ship
 
     ship(rows.sparkSession)
@@ -98,6 +103,8 @@ def themes(rows: DataFrame, key: str, vector: str) -> DataFrame:
         import numpy as np
         import pandas as pd
 
+        if len(own) > MOST_SECTIONS:
+            raise ValueError(f"{len(own)} sections of one video")
         own = own.sort_values("id")
         v = np.array(own[vector].tolist(), dtype=float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

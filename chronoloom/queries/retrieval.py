@@ -130,7 +130,18 @@ def centroid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("label").agg(F.max_by("vec_id", "s").alias("nearest"))
 
 
-@registry.query()
+_SQL_MMR = """WITH v AS (SELECT label, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS m FROM d GROUP BY label),
+r AS (SELECT v.*, least(1, greatest(-1, list_dot_product(v, m))) AS rel FROM v JOIN m USING (label)),
+c1 AS (SELECT label, arg_max(id, (round(0.7 * rel, 12), -id)) AS id FROM r GROUP BY label), p1 AS (SELECT r.* FROM r JOIN c1 USING (label, id)),
+r2 AS (SELECT r.*, list_dot_product(r.v, p1.v) AS near FROM r JOIN p1 ON p1.label = r.label AND p1.id <> r.id),
+c2 AS (SELECT label, arg_max(id, (round(0.7 * rel - 0.3 * near, 12), -id)) AS id FROM r2 GROUP BY label), p2 AS (SELECT r.* FROM r JOIN c2 USING (label, id)),
+r3 AS (SELECT r2.label, r2.id, r2.rel, greatest(near, list_dot_product(r2.v, p2.v)) AS near FROM r2 JOIN p2 ON p2.label = r2.label AND p2.id <> r2.id),
+c3 AS (SELECT label, arg_max(id, (round(0.7 * rel - 0.3 * near, 12), -id)) AS id FROM r3 GROUP BY label)
+SELECT label, id, CAST(1 AS BIGINT) AS pick FROM c1 UNION ALL SELECT label, id, 2 FROM c2 UNION ALL SELECT label, id, 3 FROM c3"""
+
+
+@registry.query(_SQL_MMR)
 def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
     return R.mmr(rows, "label", "embedding", 3)
@@ -138,8 +149,9 @@ def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def vector_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
-    return R.themes(rows, "label", "embedding")
+    """Vectors as the sections of videos, a dozen to each."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 12).alias("video_id"), F.col("vec_id").alias("id"), "embedding")
+    return R.themes(rows, "video_id", "embedding")
 
 
 @registry.query(f"WITH {_SQL_V} SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1) > 0.6 AND cosine IS NOT NULL THEN round(greatest(0, cosine), 2) END AS faith FROM v")

@@ -132,9 +132,10 @@ def clock_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query(
-    "WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x) <> '') AS a FROM documents) "
-    "SELECT doc_id, CAST(len(a) AS INTEGER) AS n_items, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(trim(y))), lower(trim(x))) = i), ' ') AS kept "
-    "FROM w"
+    "WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x) <> '') AS a FROM documents), "
+    "u AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM w), f AS (SELECT doc_id, min(i) AS i, arg_min(x, i) AS x FROM u GROUP BY doc_id, lower(trim(x))), "
+    "k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM f GROUP BY doc_id) "
+    "SELECT doc_id, CAST(len(a) AS INTEGER) AS n_items, CASE WHEN a IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept FROM w LEFT JOIN k USING (doc_id)"
 )
 def distinct_items_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: F.trim(x) != "").alias("a"))

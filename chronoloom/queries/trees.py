@@ -129,7 +129,10 @@ def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where("type = 'root'").select("map_id", F.col("text").alias("title")).join(kids, "map_id")
 
 
-@registry.query()
+@registry.query(
+    f"""WITH {SQL_NODES}, k AS (SELECT map_id, string_agg('{{"string":"[[' || text || ']]"}}', ',' ORDER BY ord) AS kids FROM nodes WHERE type = 'section' GROUP BY map_id)
+SELECT map_id, '{{"title":"' || text || '","children":[' || kids || ']}}' AS json FROM nodes JOIN k USING (map_id) WHERE type = 'root'"""
+)
 def nested_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as nested JSON, gathered from the sections up."""
     n = nodes(spark, sf_dir, 2)
