@@ -234,9 +234,27 @@ def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS,
 
     counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     often = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    rows = counted.withColumn("r", F.row_number().over(often)).where(F.col("r") <= kept).drop("r").toPandas()
-    of = [rows[rows.lang == name] for name in languages]
-    return model_of(languages, [(r.code.to_numpy(dtype=np.int64), r.n.to_numpy(dtype=np.int64)) for r in of])
+    kept_rows = counted.withColumn("r", F.row_number().over(often)).where(F.col("r") <= kept)
+    number = F.element_at(F.create_map(*[x for j, k in enumerate(languages) for x in (F.lit(k), F.lit(j))]), F.col("lang"))
+
+    def build(rows):
+        import pickle
+
+        import pyarrow as pa
+
+        lang, code, n = (rows.column(c).to_numpy() for c in ("lang", "code", "n"))
+        made = model_of(languages, [(code[lang == j], n[lang == j]) for j in range(len(languages))])
+        return pa.table({"model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    # one task, and LANGUAGES * GRAMS rows at most: the driver only sees the tables
+    return _loaded(kept_rows.select(number.alias("lang"), "code", "n").groupBy(F.lit(0).alias("all")).applyInArrow(build, "model binary").first(), languages)
+
+
+def _loaded(row, languages: list[str]) -> Model:
+    import pickle
+
+    nothing = np.zeros(0, dtype=np.int64)
+    return pickle.loads(bytes(row.model)) if row is not None else model_of(languages, [(nothing, nothing)] * len(languages))
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
