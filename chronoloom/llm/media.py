@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, ship, table
+from .common import cut, shared_dir, ship, slices, table
 
 WIDTH = 64
 #: Signature, IHDR and its checksum: what a header-only read takes.
@@ -85,7 +85,7 @@ def store(docs: DataFrame, *, root: str | None = None, key: str = "doc_id", text
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tar"
         files, folder = _open(root)
         out, at, seen = None, 0, {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (body.as_py() or "").encode()

@@ -44,6 +44,31 @@ def test_query_gives_equal_values_for_equal_texts(spark):
     assert len({(r.shard, r.offset, r.length) for r in found if r.doc_id < 3}) == 1
 
 
+def test_query_against_a_loop(spark, odd, tmp_path):
+    """Every column of the query, on documents and on odd rows, from the payload and the stored bytes."""
+    import struct
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (SMALL, str(tmp_path)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        found = sorted(media.op7_media_tar_shards(spark, folder).collect(), key=lambda r: (str(r.doc_id), r.payload_sha256))
+        want = []
+        for d in docs:
+            data = (d.text or "").encode()
+            payload = data + bytes(-len(data) % 64 if data else 64)
+            want.append((str(d.doc_id), hashlib.sha256(payload).hexdigest(), len(data), len(payload), zlib.crc32(payload[-64:]), payload))
+        assert len(found) == len(want)
+        for r, (doc, digest, n, size, tail, payload) in zip(found, sorted(want), strict=True):
+            assert (str(r.doc_id), r.payload_sha256, r.n_bytes, r.payload_bytes, r.tail_crc32) == (doc, digest, n, size, tail)
+            with open(r.shard.removeprefix("file:"), "rb") as f:
+                f.seek(r.offset)
+                stored = f.read(r.length)
+            assert (len(stored), hashlib.sha256(stored).hexdigest()) == (r.media_bytes, r.media_sha256)
+            assert stored[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">IIBBBBB", stored[16:29]) == (64, size // 64, 8, 0, 0, 0, 0)
+            samples = np.frombuffer(payload, np.uint8)
+            assert r.feature == f"png 64x{size // 64}x8 mean={samples.mean():.4f} kinds={len(set(payload))} peak={max(payload)}"
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
@@ -93,3 +118,35 @@ def test_chunks_of_odd_rows(odd, none):
     found = chunks.passages(odd, least=20).collect()
     assert sum(r.doc_id == 1 for r in found) == 2 and {r.doc_id for r in found} >= {1, 5, 6}
     assert chunks.passages(none).count() == 0
+
+
+def test_passages_against_all_substrings(spark):
+    """What is found is repeated, byte for byte; what repeats in 200 bytes or more is found, but for its edges; what does not is left alone."""
+    rng = random.Random(12)
+    shared = [prose(rng, rng.randint(45, 160)) for _ in range(12)]
+    texts = []
+    for k in range(90):
+        parts = [prose(rng, rng.randint(5, 80))]
+        for _ in range(k % 3):
+            parts += [rng.choice(shared), prose(rng, rng.randint(0, 60))]
+        texts.append((parts[0] + (" é猫 " if k % 7 == 0 else " ") + " ".join(parts[1:])).encode())
+    gram, seen = 24, {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - gram + 1):
+            seen.setdefault(t[i : i + gram], []).append((k, i))
+    covered = [np.zeros(len(t), bool) for t in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for k, i in places:
+                covered[k][i : i + gram] = True
+    spans = {k: [] for k in range(90)}
+    for r in chunks.passages(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")).collect():
+        spans[r.doc_id].append((r.span_start, r.span_end))
+        piece = texts[r.doc_id][r.span_start : r.span_end]
+        assert all(len(seen[piece[i : i + gram]]) > 1 for i in range(0, len(piece) - gram + 1)) and len(piece) >= chunks.LEAST
+    for k, c in enumerate(covered):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= 250:
+                held = sum(min(b, e) - max(a, s) for s, e in spans[k] if s < b and e > a)
+                assert held > 0.4 * (b - a)
