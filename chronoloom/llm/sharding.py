@@ -3,7 +3,8 @@
 The ring has ``CELLS`` cells. Every shard owns ``vnodes`` of them; a row's key hashes to a cell and belongs to the next
 virtual node clockwise. A shard takes at most its bound of rows; what arrives at a full shard continues clockwise to the next
 virtual node, round by round, until it finds room. Keys of one cell behave alike, so the walk runs on counts per cell: its
-size depends on the ring, never on the data. Rows then only need their rank within a cell, which is one thin shuffle.
+size depends on the ring, never on the data. Rows then only need their rank within a cell, which is one thin shuffle of what
+tells them apart: key, size and checksum, with a count of the rows that agree in these, so where rows lie plays no part.
 
 Defined cases: a null key is a key like any other; a null text has 0 bytes; repeated rows are separate rows and each gets a
 slot of its own; an empty table gives an empty result; other columns of the input are not looked at.
@@ -23,6 +24,8 @@ from .common import cut, table
 CELLS = 1 << 16
 #: A cell with more than a 256th of all rows (and at least so many) is numbered in up to HOT_SUBS parts.
 HOT_SHARE, HOT_LEAST, HOT_SUBS = 256, 1024, 256
+#: Alike rows that are made anew at a time.
+RUN = 4096
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,35 +96,37 @@ def assign(docs: DataFrame, *, shards: int, vnodes: int = 128, slack: float = 0.
     """key, size, text_crc32, shard and slot of every row. slack: how far a shard may go over the mean, as a share of it."""
     spark = docs.sparkSession
     h = F.xxhash64(F.col(key))
-    thin = cut(
-        docs.select(
-            F.col(key).alias("key"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
-            F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            h.alias("h"),
-            F.shiftrightunsigned(h, 48).cast("int").alias("cell"),
-            F.pmod(F.spark_partition_id(), F.lit(HOT_SUBS)).alias("part"),
-        )
+    thin = docs.select(
+        F.col(key).alias("key"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        h.alias("h"),
     )
-    counts = {r.cell: r.n for r in thin.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+    # rows that agree in all of this are alike: they are counted, and a count is what the walk needs
+    alike = cut(thin.groupBy("key", "size", "text_crc32", "h").agg(F.count("*").alias("n")))
+    cell, part = F.shiftrightunsigned("h", 48).cast("int"), F.pmod(F.xxhash64("key", "size", "text_crc32", F.lit(3)), F.lit(HOT_SUBS)).cast("int")
+    alike = alike.withColumn("cell", cell).withColumn("part", part)
+    counts = {r.cell: r.n for r in alike.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
     rows = sum(counts.values())
     hot = sorted(c for c, n in counts.items() if n > max(HOT_LEAST, rows // HOT_SHARE))  # fewer than HOT_SHARE
     sub = F.when(F.col("cell").isin(hot), F.col("part")).otherwise(F.lit(0)) if hot else F.lit(0)
     units = [(c, 0, n) for c, n in counts.items() if c not in set(hot)]
     if hot:
-        split = thin.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.count("*").alias("n"))
+        split = alike.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.sum("n").alias("n"))
         units += [(r.cell, r.part, r.n) for r in split.collect()]  # HOT_SHARE * HOT_SUBS rows at most
     places = spark.createDataFrame(
         placements(units, shards, vnodes, slack) or [(-1, 0, 0, 0, 0, 0)], "cell int, sub int, low long, high long, shard int, first long"
     )
-    order = Window.partitionBy("cell", "sub").orderBy("h", "key", "text_crc32", "size")
-    ranked = thin.withColumn("sub", sub.cast("int")).withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    order = Window.partitionBy("cell", "sub").orderBy("h", "key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = alike.withColumn("sub", sub.cast("int")).withColumn("begin", F.coalesce(F.sum("n").over(order), F.lit(0)))
     # places: a row for each unit and for each place where an arc is split, both bounded by the ring
-    return (
-        ranked.join(F.broadcast(places), ["cell", "sub"])
-        .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-        .select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))
-    )
+    held = ranked.join(F.broadcast(places), ["cell", "sub"]).where((F.col("begin") < F.col("high")) & (F.col("begin") + F.col("n") > F.col("low")))
+    begin, end = F.greatest("begin", "low"), F.least(F.col("begin") + F.col("n"), F.col("high"))
+    held = held.select("key", "size", "text_crc32", "shard", (F.col("first") + begin - F.col("low")).alias("slot"), (end - begin).alias("rows"))
+    # as many rows again as were counted, RUN at a time, so that a row that repeats without end is not one task's
+    runs = held.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN)))).repartition("shard", "slot", "run")
+    last = F.least(F.col("rows"), (F.col("run") + 1) * RUN) - 1
+    return runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, last))).select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("slot") + F.col("k")).alias("slot"))
 
 
 def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,45 @@ def test_hot_key(spark, monkeypatch):
     assert sizes == {s: (1200, 1199) for s in range(5)} and found.select("shard", "slot").distinct().count() == 6000
 
 
+def test_where_rows_lie_plays_no_part(spark, monkeypatch):
+    """A key with half of all rows, many of them alike, gets the same shards and slots from any partitions."""
+    monkeypatch.setattr(sharding, "HOT_LEAST", 100)
+    monkeypatch.setattr(sharding, "RUN", 64)
+    rows = spark.range(0, 4000, 1, 5).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    found = [sorted(map(tuple, sharding.assign(rows.repartition(n), shards=7, vnodes=16).collect())) for n in (1, 13)]
+    assert found[0] == found[1] and len(found[0]) == 4000
+    slots = {}
+    for r in found[0]:
+        slots.setdefault(r[3], []).append(r[4])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_walk_against_rows(spark):
+    """Row by row: each goes to the first shard clockwise with room, arrivals of a round before those of the next."""
+    ids = list(range(900))
+    rows = spark.createDataFrame([(k, "x" * (k % 5)) for k in ids], "doc_id long, text string")
+    for slack in (0.0, 0.1):
+        found = {r.doc_id: r.shard for r in sharding.assign(rows, shards=6, vnodes=8, slack=slack).collect()}
+        hashes = {r.doc_id: (r.h + (1 << 64)) % (1 << 64) for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+        cells, owner = sharding.ring(6, 8)
+        room, arcs = sharding.bounds(900, 6, slack), [[] for _ in cells]
+        for k in sorted(ids, key=lambda k: (hashes[k] >> 48, hashes[k] - (1 << 64) if hashes[k] >> 63 else hashes[k])):
+            arcs[int(np.searchsorted(cells, hashes[k] >> 48)) % len(cells)].append(k)
+        arcs[0].sort(key=lambda k: hashes[k] >> 48 <= cells[0])
+        placed = {}
+        while any(arcs):
+            onward = [[] for _ in arcs]
+            for v, waiting in enumerate(arcs):
+                for k in waiting:
+                    if room[owner[v]]:
+                        room[owner[v]] -= 1
+                        placed[k] = int(owner[v])
+                    else:
+                        onward[(v + 1) % len(arcs)].append(k)
+            arcs = onward
+        assert found == placed
+
+
 def test_no_rows(none):
     assert sharding.assign(none, shards=3).count() == 0
     assert packing.pack(none).count() == 0
