@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 
+# What a word, a sentence, a clause and a phrase are.
 TOKEN = r"[a-zA-Z][a-zA-Z0-9+#\-']*[a-zA-Z0-9+#]|[a-zA-Z]"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"
 CLAUSE_BREAK = r"[.,;:!?()\[\]\"“”…/]|\s[-–—]\s"
@@ -131,6 +132,21 @@ def compressed(c: Column, most: int) -> Column:
     return upper_first(short)
 
 
+def meaning(text: Column, term: Column) -> Column:
+    """What a line says that the term (in lower case) is or does, in ten words; null where it says nothing in three words or more."""
+    at = F.instr(F.lower(text), term)
+    rest = F.regexp_replace(F.ltrim(F.substring(text, at + F.length(term), F.lit(1 << 30)), F.lit(" ,")), r"^(?:'s|s)\b\s*", "")
+
+    def of(rest: Column) -> Column:
+        defined = F.regexp_replace(F.regexp_replace(rest, L.COPULA, ""), L.ARTICLE, "")
+        verb = F.btrim(F.lower(F.try_element_at(words(rest), F.lit(1))), F.lit(",."))
+        return F.when(rest.rlike(L.COPULA), defined).when(verb.isin(L.VERBS), rest)
+
+    said = F.element_at(F.transform(F.array(rest), of), 1)
+    short = F.element_at(F.transform(F.array(F.when((at > 0) & said.isNotNull(), said)), lambda s: compressed(s, 10)), 1)
+    return F.when(F.size(words(short)) >= 3, lower_first(short))
+
+
 def line_tag(c: Column) -> Column:
     tag = F.lit(None).cast("string")
     for name, pattern in reversed(L.TAGS.items()):

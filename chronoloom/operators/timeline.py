@@ -98,6 +98,7 @@ def stride_rank(i: Column) -> Column:
     return F.when(i % 8 == 0, 0).when(i % 4 == 0, 1).when(i % 2 == 0, 2).otherwise(3)
 
 
+# Fixed value: the form of a chapter's line in a description.
 CHAPTER_LINE = r"^\s*[(\[]?((?:\d{1,2}:)?\d{1,2}:\d{2})[)\]]?\s*[-–—:|]?\s*(.+?)\s*$"
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from chronoloom.functions import text as X
 from chronoloom.operators import joins as J
 from chronoloom.operators import timeline as T
 from chronoloom.plans import outline
@@ -66,6 +67,36 @@ def test_outline_of_a_lecture(spark):
     assert entries == 480.0
 
 
+def test_concepts_that_were_not_used_before(spark):
+    """Sections in order: fresh terms first, used ones only to fill up."""
+    rows = [(1, 0, ["a b", "c", "d", "e"]), (1, 1, ["c", "x", "a b", "y", "z"]), (1, 2, ["c", "a b"]), (2, 0, ["c", "x"]), (3, 0, [])]
+    heads = spark.createDataFrame([(v, s, float(s), float(s + 1), k) for v, s, k in rows], "video_id int, seg_no int, start double, end double, k array<string>")
+    found = {}
+    for r in outline.picks(heads, 2).orderBy("video_id", "seg_no", "i").collect():
+        found.setdefault((r.video_id, r.seg_no), []).append(r.term)
+    assert found == {(1, 0): ["a b", "c"], (1, 1): ["x", "y"], (1, 2): ["c", "a b"], (2, 0): ["c", "x"]}
+
+
+def test_meanings(spark):
+    lines = [
+        ("A qubit is a unit of quantum information, which can be mixed", "qubit", "unit of quantum information, which can be mixed"), ("The qubit's colour means the sum of both", "qubit", None),
+        ("Entanglement refers to linked states", "entanglement", None), ("Gates make qubits turn around twice", "gates", "make qubits turn around twice"), ("nothing here", "qubit", None), ("qubit", "qubit", None),
+    ]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(lines)], "k int, text string, term string")
+    found = {r.k: r.m for r in rows.select("k", X.meaning(F.col("text"), F.col("term")).alias("m")).collect()}
+    assert [found[k] for k in range(len(lines))] == [m for _, _, m in lines]
+
+
+def test_details_of_a_concept(spark):
+    said = [(1, 0, 0, k, float(k), t, tag, m) for k, (t, tag, m) in enumerate([("first", None, None), ("is x", None, "a meaning of it"), ("eg one", "Eg", None), ("tip", "Tip", None), ("eg two", "Eg", None)])]
+    said += [(1, 0, 1, 9, 9.0, "only", None, None)]
+    rows = spark.createDataFrame(said, "video_id int, seg_no int, i int, idx int, at double, text string, tag string, meaning string")
+    anchors = rows.groupBy("video_id", "seg_no", "i").agg(F.min_by(F.struct("idx", "text", "meaning"), F.struct(F.col("meaning").isNull(), F.col("idx"))).alias("a"))
+    held = lambda n, more: sorted((r.i, r.ord, r.tag, r.text) for r in outline.details(rows, anchors, n, more).collect())
+    assert {(i, tag, t) for i, _, tag, t in held(2, False)} == {(0, "Eg", "eg one"), (0, "Tip", "tip"), (1, "Def", "only")}
+    assert {t for i, _, _, t in held(5, True) if i == 0} == {"first", "eg one", "tip", "eg two"}
+
+
 def test_empty_captions(spark):
     empty = spark.createDataFrame([], "video_id long, pos int, start double, end double, text string")
     assert T.blocks(T.normalized(empty)).count() == 0
