@@ -12,48 +12,60 @@ from ..session import cut, ship
 BLOCK = 4096
 
 
-def similar(queries: DataFrame, rows: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def similar(queries: DataFrame, rows: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query, row, cosine) of every query with every other row that is at least so near.
 
-    The queries are a stated set, taken in blocks of BLOCK vectors; the rows stay where they are.
+    The queries are a stated set. Up to BLOCK of them are sent to the rows, which stay where they are; more are dealt in blocks, and so are
+    the rows, and every two blocks meet in a task of bounded size.
     """
     spark = rows.sparkSession
     ship(spark)
-    parts, held = [], []
+    schema = "query long, row long, cosine double"
 
-    def search(block):
-        ids = np.array([r[0] for r in block])
-        m = np.array([r[1] for r in block], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, m))
+    def unit(column) -> np.ndarray:
+        v = np.array(column, dtype=np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
-        def run(batches):
+    def near(ids, q, there, v):
+        import pyarrow as pa
+
+        cosine = q @ v.T
+        a, b = np.nonzero((cosine >= least) & (ids[:, None] != there[None, :]))
+        return [pa.array(ids[a]), pa.array(there[b]), pa.array(cosine[a, b])]
+
+    held = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    some = held.limit(block + 1).collect()  # block + 1 vectors
+    if not some:
+        return spark.createDataFrame([], schema)
+    if len(some) <= block:
+        sent = spark.sparkContext.broadcast((np.array([r.id for r in some]), unit([r.v for r in some])))
+
+        def search(batches):
             import pyarrow as pa
 
-            own, q = sent.value
+            ids, q = sent.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                there = batch.column(0).to_numpy()
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                near = q @ v.T
-                a, b = np.nonzero((near >= least) & (own[:, None] != there[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(there[b]), pa.array(near[a, b])], names=["query", "row", "cosine"])
-
-        return rows.select(key, vector).mapInArrow(run, "query long, row long, cosine double")
-
-    for r in queries.select(key, vector).toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            parts.append(search(held))
-            held = []
-    if held or not parts:
-        parts.append(search(held) if held else spark.createDataFrame([], "query long, row long, cosine double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(near(ids, q, batch.column(0).to_numpy(), unit(batch.column(1).to_pylist())), names=["query", "row", "cosine"])
+
+        return rows.select(key, vector).mapInArrow(search, schema)
+
+    q_blocks, r_blocks = -(-queries.count() // block), -(-rows.count() // (4 * block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = held.select(dealt(q_blocks).alias("i"), each(r_blocks).alias("j"), F.lit(True).alias("asks"), "id", "v")
+    right = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).select(each(q_blocks).alias("i"), dealt(r_blocks).alias("j"), F.lit(False).alias("asks"), "id", "v")
+
+    def meet(part):
+        import pyarrow as pa
+
+        asks, ids = part.column("asks").to_numpy(zero_copy_only=False), part.column("id").to_numpy()
+        if not asks.any() or asks.all():
+            return pa.table({"query": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        v = unit(part.column("v").to_pylist())
+        return pa.table(dict(zip(("query", "row", "cosine"), near(ids[asks], v[asks], ids[~asks], v[~asks]), strict=True)))
+
+    return left.unionByName(right).repartition("i", "j").groupBy("i", "j").applyInArrow(meet, schema)
 
 
 #: Vectors of a region's block; pivots of the rows, and the sample that they are drawn from.

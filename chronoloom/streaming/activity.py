@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,10 +19,12 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 1) -> D
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def first_visits(activity: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each user's visits to a node once, as far apart as the watermark remembers."""
-    rows = activity.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.where("kind = 'node_explored'").dropDuplicatesWithinWatermark(["room", "user_id", "node"])
+def first_visits(activity: DataFrame, late: str | None = None) -> DataFrame:
+    """Each user's visits to a node once, for ever; with late, as far apart as the watermark remembers, for a state that does not grow."""
+    rows = activity.where("kind = 'node_explored'")
+    if late is None:
+        return rows.dropDuplicates(["room", "user_id", "node"])
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["room", "user_id", "node"])
 
 
 def windowed(activity: DataFrame, width: str, late: str) -> DataFrame:
@@ -71,22 +73,28 @@ def running_counters(activity: DataFrame) -> DataFrame:
 
 
 def into_table(stream: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps the newest row of each key: each batch is merged with what the table holds and written beside it."""
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.drop_duplicates()
-        try:
-            held = spark.read.parquet(f"{table_path}/v{number - 1}").unionByName(new) if number else new
-        except Exception as missing:  # the first batch of a new table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            held = new
-        names = [c for c in held.columns if c not in keys]
-        top = held.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("r")).select(*keys, "r.*")
-        top.write.mode("overwrite").parquet(f"{table_path}/v{number}")
-
-    return stream.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps the newest row of each key. A batch writes its own newest rows beside the others, so its work follows its size; a batch that runs
+    again replaces what it wrote. ``current`` reads the table, ``compact`` puts it together."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        newest(batch, keys, F.col(order)).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    names = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("r")).select(*keys, "r.*")
+
+
+def current(spark: SparkSession, table_path: str, keys: list[str], order: str) -> DataFrame:
+    """The newest row of each key over all batches; of equals the later batch's."""
+    return newest(spark.read.parquet(table_path), keys, F.struct(order, "batch")).drop("batch")
+
+
+def compact(spark: SparkSession, table_path: str, into: str, keys: list[str], order: str) -> None:
+    """The table as one batch in another place, which later batches can be added to: its number is below theirs."""
+    current(spark, table_path, keys, order).write.mode("errorifexists").parquet(f"{into}/batch=-1")
 
 
 def activity_of(events: DataFrame) -> DataFrame:

@@ -39,3 +39,12 @@ def test_ranked(spark):
     rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("x"))
     assert all(r.x + 1 == r.n for r in ranked(rows, [F.asc("x")], "n").collect())
     assert ranked(rows.where("x < 0"), [F.asc("x")], "n").count() == 0
+
+
+def test_similar_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, rng.standard_normal(6).tolist()) for k in range(200)], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 4 = 0")
+    a, b = (sorted((r.query, r.row, round(r.cosine, 9)) for r in V.similar(queries, rows, 0.3, block=n).collect()) for n in (1000, 7))
+    assert a == b and len(a) > 100
+    assert V.similar(queries.where("vec_id < 0"), rows, 0.3).count() == 0
