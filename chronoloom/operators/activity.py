@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from .folds import ordered_scan
 
 #: Badge, counter and what it takes, in their order.
 BADGES = [
@@ -88,3 +89,16 @@ def windows(activity: DataFrame, width: str, slide: str | None = None) -> DataFr
 def sessions(activity: DataFrame, gap: str) -> DataFrame:
     held = activity.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", gap).alias("s"))
     return held.agg(F.count("*").alias("events")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), F.col("s.end").cast("timestamp_ntz").alias("end"), "events")
+
+
+def replacements(proposals: DataFrame) -> DataFrame:
+    """proposals (room, seq, base) with accepted and version: in the order of seq one is taken if its base is the room's version by then, or
+    null, which forces it; each that is taken makes a version. A room's proposals are read in order with its version."""
+
+    def step(version, row):
+        now, (base,) = version or 0, row
+        now = now + 1 if base is None or base == now else -now - 1  # below 0: not taken
+        return (now if now > 0 else -now - 1), now
+
+    held = ordered_scan(proposals, "room", ["seq"], ["base"], step, "__made")
+    return held.withColumn("accepted", F.col("__made") > 0).withColumn("version", F.when(F.col("__made") > 0, F.col("__made")).otherwise(-F.col("__made") - 1)).drop("__made")

@@ -127,6 +127,22 @@ def markdown(walked: DataFrame) -> DataFrame:
     )
 
 
+#: What a node is where nothing is said: text, type, how it is shown.
+DEFAULTS = {"text": "", "type": "concept", "notes": "", "collapsed": False, "ord": 0}
+
+
+def normalized(nodes: DataFrame) -> DataFrame:
+    """nodes with every column of DEFAULTS, and no nulls in them."""
+    kept = {c: F.coalesce(F.col(c), F.lit(v)) if c in nodes.columns else F.lit(v) for c, v in DEFAULTS.items()}
+    return nodes.withColumns({c: x.cast(nodes.schema[c].dataType) if c in nodes.columns else x for c, x in kept.items()})
+
+
+def slim(nodes: DataFrame, keep_transcript: bool = False, heavy: tuple[str, ...] = ("notes", "image", "detail", "summary")) -> DataFrame:
+    """nodes without their heavy columns, and without transcript nodes unless they are wanted."""
+    rows = nodes if keep_transcript else nodes.where(~F.col("type").eqNullSafe("transcript"))
+    return rows.drop(*heavy)
+
+
 def escaped(c: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(sign), F.lit(entity))

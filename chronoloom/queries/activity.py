@@ -124,3 +124,17 @@ def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress as it is reported never goes back."""
     w = Window.partitionBy("room").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return _activity(spark, sf_dir).select("room", "seq", F.max(F.col("node") % 100).over(w).alias("progress"))
+
+
+@registry.query(
+    """WITH RECURSIVE p AS MATERIALIZED (SELECT user_id % 20 AS room, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 5 END AS base, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),
+r AS (SELECT room, seq, k, base IS NULL OR base = 0 AS accepted, CASE WHEN base IS NULL OR base = 0 THEN 1 ELSE 0 END AS version FROM p WHERE k = 1
+  UNION ALL SELECT p.room, p.seq, p.k, p.base IS NULL OR p.base = r.version, CASE WHEN p.base IS NULL OR p.base = r.version THEN r.version + 1 ELSE r.version END FROM r JOIN p ON p.room = r.room AND p.k = r.k + 1)
+SELECT CAST(room AS BIGINT) AS room, CAST(seq AS BIGINT) AS seq, accepted, CAST(version AS INTEGER) AS version FROM r"""
+)
+def room_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole maps that are offered for a room on the base of a version: taken if nobody was quicker, or by force."""
+    events = table(spark, sf_dir, "events")
+    base = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5)
+    offers = events.select((F.col("user_id") % 20).cast("bigint").alias("room"), F.col("event_id").cast("bigint").alias("seq"), base.cast("int").alias("base"))
+    return A.replacements(offers).select("room", "seq", "accepted", "version")

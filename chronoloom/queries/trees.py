@@ -166,6 +166,33 @@ def op_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.apply_ops(nodes(spark, sf_dir, 3), ops)
 
 
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["add", "update", "remove", "undo", "move", "redo"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).cast("int").alias("map_id"), F.col("event_id").alias("seq"), kind.alias("type"),
+        F.when(kind == "add", F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("c"), (F.col("event_id") % 1500).cast("string"))).alias("id"),
+        F.concat(F.lit("n"), (F.col("event_id") % 25).cast("string")).alias("parent_id"), (F.col("event_id") % 9).cast("int").alias("index"), F.col("event_type").alias("text"),
+    )
+
+
+@registry.query()
+def op_log_inverses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What takes back each edit of a log, with undo and redo among them."""
+    return T.inverses(nodes(spark, sf_dir, 3), _edits(spark, sf_dir))
+
+
+@registry.query(f"WITH {SQL_NODES} SELECT map_id, node_id, coalesce(CASE WHEN ord % 3 = 0 THEN NULL ELSE text END, '') AS text, coalesce(CASE WHEN ord % 4 = 0 THEN NULL ELSE type END, 'concept') AS type, '' AS notes, false AS collapsed FROM nodes")
+def normalized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in which some texts and types are missing, with defaults."""
+    n = nodes(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 3 != 0, F.col("text"))).withColumn("type", F.when(F.col("ord") % 4 != 0, F.col("type")))
+    return T.normalized(n).select("map_id", "node_id", "text", "type", "notes", "collapsed")
+
+
+@registry.query(f"WITH {SQL_NODES} SELECT map_id, node_id, parent_id, type, text FROM nodes WHERE type <> 'transcript'")
+def slim_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.slim(nodes(spark, sf_dir).withColumn("notes", F.lit("long"))).select("map_id", "node_id", "parent_id", "type", "text")
+
+
 _SQL_TRADE = """trade AS (SELECT least(cn.n_nationkey, s_nationkey) AS a, greatest(cn.n_nationkey, s_nationkey) AS b, CAST(count(*) AS DOUBLE) AS weight FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
