@@ -30,7 +30,7 @@ from .common import cut, ship, slices, table, text_buffer
 #: Bytes of the longest context.
 ORDER = 4
 #: Documents of the training sample and strings that are kept, for each language; languages.
-TRAIN_DOCS, GRAMS, LANGUAGES = 3000, 1 << 16, 64
+TRAIN_DOCS, GRAMS, LANGUAGES = 3000, 1 << 14, 64
 #: Values that are looked up at a time; partitions that count the sample.
 SLICE, COUNTERS = 1 << 22, 8
 UNKNOWN = "und"
