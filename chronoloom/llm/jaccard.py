@@ -36,7 +36,7 @@ from ..operators.components import components
 from .shingles import shingle_sets
 
 #: Points and elements of a cluster that one task joins; pivots of a round; rounds before blocks.
-POINTS, ELEMENTS, PIVOTS, ROUNDS = 256, 1 << 21, 8, 3
+POINTS, ELEMENTS, PIVOTS, ROUNDS = 1024, 1 << 21, 8, 3
 #: Points of a part up to which its pairs are counted; classes and equal parts in a tag.
 FEW, TAG = 16, 1 << 16
 #: Rows of the smaller side up to which it is broadcast; points that a task of small clusters takes.
