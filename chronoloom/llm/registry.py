@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunks, decontaminate, jaccard, language, licenses, media, packing, secrets, sharding
+from . import chat, chunks, decontaminate, jaccard, language, licenses, manifest, media, packing, secrets, sharding, token_files, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": sharding.op1_consistent_hash_shards,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
+    "op11_filtering_lloyd_codes": vector_codes.op11_filtering_lloyd_codes,
+    "op12_mixing_token_files": token_files.op12_mixing_token_files,
+    "op13_broadcast_top_manifest": manifest.op13_broadcast_top_manifest,
 }
 
 SQL: dict[str, str] = {
     "op3_jaccard_metric_join": jaccard.SQL_OP3,
     "op5_positional_license_scan": licenses.SQL_OP5,
     "op10_perspective_rotation": chat.SQL_OP10,
+    "op11_filtering_lloyd_codes": vector_codes.SQL_OP11,
+    "op13_broadcast_top_manifest": manifest.SQL_OP13,
 }
