@@ -65,7 +65,7 @@ def encoder(tokenizer: str = "byte_bpe_50k.tiktoken"):
     def encode(text: str) -> np.ndarray:
         if len(text) >= RUN and blanks.search(text):
             return library(text)
-        return np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
+        return own.encode_to_numpy(text, allowed_special="all")
 
     return encode
 

@@ -37,9 +37,11 @@ MAGIC = b"IDMIX1\0\0"
 #: Ids of a block; blocks that are coded side by side.
 BLOCK, LANES = 4096, 2048
 #: Steps of a block at which order 0's distribution is made anew.
-REBUILD = (0, 32, 96, 256, 512, 1024, 1536, 2048, 2560, 3072, 3584)
+REBUILD = (0, 64, 256, 768, 1536, 2560)
+#: Steps whose places are worked out at a time.
+AHEAD = 32
 #: Bits of order 0's shares and of the mixture's; weight of an occurrence against a listed id; slots of order 2.
-BITS0, BITS, WEIGHT, SLOTS = 12, 12, 2, 2048
+BITS0, BITS, WEIGHT, SLOTS = 12, 12, 2, 1024
 #: Two weights of 15 bits are held in a number; they move by a 2^RATE-th, and towards STEP << RATE, which leaves order 0 a share.
 FIELD, RATE, STEP = (1 << 15) - 1, 4, 2016
 #: What the confidences 0 to 3 are worth at a block's start, of 2^15; and with it the weights of all pairs, where both name one id or not.
@@ -56,8 +58,9 @@ class Mixture:
         self.lane_of = np.repeat(np.arange(lanes, dtype=np.int64), sizes)
         self.within = np.arange(len(self.lane_of)) - self.place[self.lane_of]
         self.seen = np.zeros(len(self.lane_of), np.int64)
-        self.order1, self.order2 = np.zeros(len(self.lane_of), np.int32), np.zeros(lanes * SLOTS, np.int32)  # id << 2 | confidence
+        self.order1, self.order2 = np.zeros(len(self.lane_of), np.uint16), np.zeros(lanes * SLOTS, np.uint16)  # id << 2 | confidence
         self.lanes = np.arange(lanes, dtype=np.int64)
+        self.pairs, self.slots2 = self.lanes << 5, self.lanes * SLOTS
         self.weights = np.tile(START, lanes)
 
     def rebuild(self, since: np.ndarray) -> None:
@@ -82,7 +85,7 @@ class Mixture:
         """Ids of order 1 and 2, and the shares of order 2, order 1 (another id) and order 0 out of 2^BITS."""
         self.e1, self.e2 = self.order1.take(at1), self.order2.take(at2)
         self.id1, self.id2, self.n1, self.n2 = self.e1 >> 2, self.e2 >> 2, self.e1 & 3, self.e2 & 3
-        self.context = (self.lanes << 5) | ((self.n2 << 3) | (self.n1 << 1) | (self.id1 == self.id2))
+        self.context = self.pairs + (((self.n2 << 2 | self.n1) << 1) + (self.id1 == self.id2))
         self.w = self.weights.take(self.context)
         self.share2 = (self.w >> 18) + 1
         self.share1 = ((self.w & FIELD) >> 3) + 1
@@ -100,15 +103,15 @@ class Mixture:
     def learn(self, at1: np.ndarray, at2: np.ndarray, fresh: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, one: np.ndarray) -> None:
         """fresh: the ids << 2 | 1."""
         w = self.w - ((self.w >> RATE) & (FIELD >> RATE) * ((1 << 15) + 1))
-        np.add(w, STEP << 15, out=w, where=hit2)
-        np.add(w, STEP, out=w, where=one)
+        w += hit2 * np.int32(STEP << 15)
+        w += one * np.int32(STEP)
         self.weights[self.context] = w
         self.order1[at1] = np.where(hit1, self.e1 + (self.n1 < 3), fresh)
         self.order2[at2] = np.where(hit2, self.e2 + (self.n2 < 3), fresh)
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the tables of order 1 and order 2 hold what came after these ids."""
-        return self.place + last, (self.lanes * SLOTS) + ((last * 40503 + before * 30011) & (SLOTS - 1))
+        return self.place + last, self.slots2 + ((last * 23 + before * 577) & (SLOTS - 1))
 
 
 SHIFT = np.uint64(BITS + BITS0)
@@ -132,14 +135,16 @@ def encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     for a, b in segments(steps):
         model.rebuild(ids[done:a])
         done = a
-        own = ids[a:b]
-        at0 = model.place + own
-        start0, size0 = model.first.take(at0), model.share.take(at0)
-        at1, at2 = model.slots(shifted[a + 1 : b + 1], shifted[a:b])
-        fresh = (own << 2) | 1
-        for k in range(b - a):
+        for step in range(a, b):
+            if (k := (step - a) % AHEAD) == 0:
+                end = min(step + AHEAD, b)
+                own = ids[step:end]
+                at0 = model.place + own
+                start0, size0 = model.first.take(at0), model.share.take(at0)
+                at1, at2 = model.slots(shifted[step + 1 : end + 1], shifted[step:end])
+                fresh, own16 = ((own << 2) | 1).astype(np.uint16), own.astype(np.uint16)
             model.predict(at1[k], at2[k])
-            hit2, hit1 = own[k] == model.id2, own[k] == model.id1
+            hit2, hit1 = own16[k] == model.id2, own16[k] == model.id1
             one = hit1 > hit2
             start, size = model.interval(hit2, one, start0[k], size0[k])
             width >>= SHIFT
@@ -205,7 +210,7 @@ def decode_lanes(coded: list[bytes], steps: int, sizes: np.ndarray) -> np.ndarra
                 width[more] <<= HALF
                 at[more] += 1
             ids[k + 2] = own
-            model.learn(at1, at2, (own << 2) | 1, hit2, own == model.id1, one)
+            model.learn(at1, at2, (own << 2) | 1, hit2, own == model.id1, one)  # 16 bits all along
     return ids[2:]
 
 
