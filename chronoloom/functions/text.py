@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ CLAUSE_BREAK = r"[.,;:!?()\[\]\"“”…/]|\s[-–—]\s"
 PHRASE_WORD = r"[a-z][a-z0-9+#\-]*(?:'s)?"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f uses it: each use of an expression in a lambda or a branch would work it out anew."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -117,19 +124,26 @@ def candidate_phrases(c: Column, most: int = 3) -> Column:
 
 def compressed(c: Column, most: int) -> Column:
     """A short line: no lead-ins; if it is too long, up to the last clause end that leaves 4 to most words."""
-    t = F.regexp_replace(squeeze(c), '^[“”"]+|[“”"]+$', "")
-    bare = F.regexp_replace(t, L.LEAD_INS, "")
-    t = F.rtrim(F.when(bare == "", t).otherwise(bare), F.lit(" .;,"))
     ends = r",|;|\s(?:which|because|so that|whereas|while|although)\s|\s[-–—]\s"
-    pieces = F.split(F.regexp_replace(t, f"(?i)({ends})", "\u0001$1\u0002"), "\u0001")
-    heads = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
-        lambda k: F.rtrim(F.replace(F.array_join(F.slice(pieces, 1, k), ""), F.lit("\u0002"), F.lit("")), F.lit(" ,;:")),
-    )
-    fit = F.filter(heads, lambda h: (F.size(pieces) > 1) & F.size(words(h)).between(4, most))
-    cut = F.concat(F.rtrim(F.array_join(F.slice(words(t), 1, most), " "), F.lit(",;:")), F.lit("…"))
-    short = F.when(F.size(words(t)) <= most, t).otherwise(F.coalesce(F.try_element_at(fit, F.lit(-1)), cut))
-    return upper_first(short)
+
+    def without_lead(t: Column) -> Column:
+        return F.rtrim(bound(F.regexp_replace(t, L.LEAD_INS, ""), lambda bare: F.when(bare == "", t).otherwise(bare)), F.lit(" .;,"))
+
+    def of_pieces(t: Column, ws: Column, pieces: Column) -> Column:
+        heads = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
+            lambda k: F.rtrim(F.replace(F.array_join(F.slice(pieces, 1, k), ""), F.lit("\u0002"), F.lit("")), F.lit(" ,;:")),
+        )
+        fit = F.filter(heads, lambda h: (F.size(pieces) > 1) & F.size(words(h)).between(4, most))
+        cut = F.concat(F.rtrim(F.array_join(F.slice(ws, 1, most), " "), F.lit(",;:")), F.lit("…"))
+        return F.coalesce(F.try_element_at(fit, F.lit(-1)), cut)
+
+    def of_words(t: Column, ws: Column) -> Column:
+        pieces = F.split(F.regexp_replace(t, f"(?i)({ends})", "\u0001$1\u0002"), "\u0001")
+        return F.when(F.size(ws) <= most, t).otherwise(bound(pieces, lambda held: of_pieces(t, ws, held)))
+
+    bare = bound(F.regexp_replace(squeeze(c), '^[“”"]+|[“”"]+$', ""), without_lead)
+    return bound(bound(bare, lambda t: bound(words(t), lambda ws: of_words(t, ws))), upper_first)
 
 
 def meaning(text: Column, term: Column) -> Column:
@@ -142,9 +156,10 @@ def meaning(text: Column, term: Column) -> Column:
         verb = F.btrim(F.lower(F.try_element_at(words(rest), F.lit(1))), F.lit(",."))
         return F.when(rest.rlike(L.COPULA), defined).when(verb.isin(L.VERBS), rest)
 
-    said = F.element_at(F.transform(F.array(rest), of), 1)
-    short = F.element_at(F.transform(F.array(F.when((at > 0) & said.isNotNull(), said)), lambda s: compressed(s, 10)), 1)
-    return F.when(F.size(words(short)) >= 3, lower_first(short))
+    def short(said: Column) -> Column:
+        return F.when(said.isNotNull(), bound(compressed(said, 10), lambda line: F.when(F.size(words(line)) >= 3, lower_first(line))))
+
+    return F.when(at > 0, bound(bound(rest, of), short))
 
 
 def line_tag(c: Column) -> Column:
@@ -164,8 +179,12 @@ def plain(c: Column) -> Column:
 
 
 def lower_first(c: Column) -> Column:
-    head = F.left(c, F.lit(2))
-    return F.when((F.upper(head) == head) & (F.lower(head) != head), c).otherwise(F.concat(F.lower(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30)))
+    def of(t: Column) -> Column:
+        head = F.left(t, F.lit(2))
+        loud = (F.upper(head) == head) & (F.lower(head) != head)
+        return F.when(loud, t).otherwise(F.concat(F.lower(F.left(t, F.lit(1))), F.substring(t, 2, 1 << 30)))
+
+    return bound(c, of)
 
 
 def first_words(c: Column, n: int) -> Column:
@@ -223,17 +242,24 @@ def usable_phrase(c: Column) -> Column:
 
 def prefer_phrases(c: Column, most: int) -> Column:
     """Without the single words that a chosen pair has, in rank order."""
-    pairs = F.filter(c, lambda x: F.contains(x, F.lit(" ")))
-    covered = F.flatten(F.transform(pairs, lambda p: F.split(p, " ")))
-    return F.slice(F.filter(c, lambda x: F.contains(x, F.lit(" ")) | ~F.array_contains(covered, x)), 1, most)
+
+    def of(held: Column) -> Column:
+        pairs = F.filter(held, lambda x: F.contains(x, F.lit(" ")))
+        covered = F.flatten(F.transform(pairs, lambda p: F.split(p, " ")))
+        return bound(covered, lambda ws: F.filter(held, lambda x: F.contains(x, F.lit(" ")) | ~F.array_contains(ws, x)))
+
+    return F.slice(bound(c, of), 1, most)
 
 
 def keyword_title(c: Column) -> Column:
     """The first keyword, and the next that shares no word with it."""
-    first = F.try_element_at(c, F.lit(1))
-    others = F.filter(c, lambda x: ~F.arrays_overlap(F.split(x, " "), F.split(first, " ")))
-    second = F.try_element_at(others, F.lit(1))
-    return F.when(first.isNull(), F.lit(None)).when(second.isNull(), titled(first)).otherwise(F.concat(titled(first), F.lit(" & "), titled(second)))
+
+    def of(held: Column) -> Column:
+        first = F.try_element_at(held, F.lit(1))
+        second = bound(F.split(first, " "), lambda ws: F.try_element_at(F.filter(held, lambda x: ~F.arrays_overlap(F.split(x, " "), ws)), F.lit(1)))
+        return F.when(first.isNull(), F.lit(None)).otherwise(F.concat(titled(first), F.coalesce(F.concat(F.lit(" & "), titled(second)), F.lit(""))))
+
+    return bound(c, of)
 
 
 def tones(c: Column, most: int = 2) -> Column:

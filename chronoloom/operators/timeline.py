@@ -144,9 +144,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where either has no length."""
+    """0 where either has no length, null where either is null."""
     size = norm(a) * norm(b)
-    return F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0))
+    return F.when(size.isNull(), F.lit(None).cast("double")).when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0))
 
 
 def gap_depths(rows: DataFrame, key: str, order: str, vector: str, speaker: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import lexical as C
 from ..operators import timeline as T
 from ..operators.folds import ordered_scan
-from ..session import cut
+from ..session import cut, spread
 
 #: Features of the hashed word vectors that sections are found with.
 FEATURES = 64
@@ -40,12 +40,11 @@ def sections(blocks: DataFrame, mode: str) -> DataFrame:
     return marked.select("video_id", "block_no", F.sum(F.coalesce("opens", F.lit(0))).over(upto).cast("int").alias("seg_no"))
 
 
-def keywords(blocks: DataFrame, segment: DataFrame | None = None, most: int = 6) -> DataFrame:
-    """(grp, seg, term, score, rank): class TF-IDF of phrases of one or two words, of blocks or of sections."""
-    held = blocks if segment is None else blocks.join(segment, ["video_id", "block_no"])
-    seg = F.col("block_no") if segment is None else F.col("seg_no")
-    terms = C.phrase_rows(held.select(F.col("video_id").alias("grp"), seg.alias("seg"), "text"), ["grp", "seg"], "text", 2).where(F.length("term") > 2)
-    return C.top_terms(C.class_tf_idf(C.counts(terms)), most).select("grp", "seg", "term", "score", "rank")
+def keywords(blocks: DataFrame, seg: str = "block_no", most: int = 6) -> DataFrame:
+    """(grp, seg, term, score, rank): class TF-IDF of phrases of one or two words, of blocks or, with seg_no, of sections."""
+    terms = C.phrase_rows(blocks.select(F.col("video_id").alias("grp"), F.col(seg).alias("seg"), "text"), ["grp", "seg"], "text", 2).where(F.length("term") > 2)
+    counted = cut(C.counts(terms))  # read four times by the totals below; finding the phrases is the dear part
+    return C.top_terms(C.class_tf_idf(counted), most).select("grp", "seg", "term", "score", "rank")
 
 
 def picks(heads: DataFrame, most: int) -> DataFrame:
@@ -81,8 +80,9 @@ def mentions(named: DataFrame, lines: DataFrame) -> DataFrame:
     """(video_id, seg_no, i, idx, at, text, tag, meaning): a section's lines that hold the term, the same line once."""
     held = named.select("video_id", "seg_no", "i", "term").join(lines, ["video_id", "seg_no"]).where(F.contains(F.lower("text"), "term"))
     first = held.groupBy("video_id", "seg_no", "i", "term", X.normal(F.col("text")).alias("same")).agg(F.min_by(F.struct("idx", "at", "text"), "idx").alias("l"))
-    text = F.col("l.text")
-    return first.select("video_id", "seg_no", "i", "l.idx", "l.at", "l.text", X.line_tag(text).alias("tag"), X.meaning(text, F.col("term")).alias("meaning"))
+    text = F.col("text")
+    held = spread(cut(first.select("video_id", "seg_no", "i", "term", "l.idx", "l.at", "l.text")))
+    return held.withColumn("tag", X.line_tag(text)).withColumn("meaning", X.meaning(text, F.col("term"))).drop("term")
 
 
 def details(said: DataFrame, anchors: DataFrame, most: int, untagged: bool) -> DataFrame:
@@ -106,10 +106,11 @@ def details(said: DataFrame, anchors: DataFrame, most: int, untagged: bool) -> D
 def build(captions: DataFrame, mode: str = "revision") -> dict[str, DataFrame]:
     """entries, blocks, sections, keywords and nodes(map_id, node_id, parent_id, ord, type, text, start, end)."""
     entries = T.normalized(captions)
-    blocks = cut(T.blocks(entries))  # each is read several times below
+    blocks = spread(cut(T.blocks(entries)))  # each is read several times below
     segment = cut(sections(blocks, mode))
-    words = keywords(blocks, segment, KEYWORDS)
-    spans = blocks.join(segment, ["video_id", "block_no"]).groupBy("video_id", "seg_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    placed = spread(cut(blocks.join(segment, ["video_id", "block_no"])))
+    words = keywords(placed, "seg_no", KEYWORDS)
+    spans = placed.groupBy("video_id", "seg_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     terms = words.groupBy(F.col("grp").alias("video_id"), F.col("seg").alias("seg_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
     heads = spans.join(terms, ["video_id", "seg_no"], "left").withColumn("k", F.coalesce("k", F.array().cast("array<string>")))
     heads = cut(heads)
@@ -124,9 +125,9 @@ def build(captions: DataFrame, mode: str = "revision") -> dict[str, DataFrame]:
         F.coalesce(X.keyword_title(X.prefer_phrases(F.col("k"), 6)), F.concat(F.lit("Part "), (seg + 1).cast("string"))).alias("text"), "start", "end",
     )
     n_concepts, n_details, n_words = MODES.get(mode, MODES["revision"])
-    named = cut(picks(heads, n_concepts))
-    said = cut(mentions(named, lines_of(entries, spans)))
-    anchors = said.groupBy("video_id", "seg_no", "i").agg(F.min_by(F.struct("idx", "text", "meaning"), F.struct(F.col("meaning").isNull(), F.col("idx"))).alias("a"))
+    named = spread(cut(picks(heads, n_concepts)))
+    said = spread(cut(mentions(named, lines_of(entries, spans))))
+    anchors = spread(cut(said.groupBy("video_id", "seg_no", "i").agg(F.min_by(F.struct("idx", "text", "meaning"), F.struct(F.col("meaning").isNull(), F.col("idx"))).alias("a"))))
     first = F.coalesce("a.meaning", X.lower_first(X.compressed(F.col("a.text"), 10)))
     concept = named.join(anchors, ["video_id", "seg_no", "i"], "left").select(
         video.alias("map_id"), part(video, seg, F.col("i")).alias("node_id"), part(video, seg).alias("parent_id"), F.col("i").alias("ord"), F.lit("concept").alias("type"),

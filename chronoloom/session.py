@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not set_dir and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="chronoloom-"))
     return set_dir or context.getCheckpointDir()
 
@@ -61,3 +63,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: small tables come out of a shuffle in a few, however dear the next step is."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
