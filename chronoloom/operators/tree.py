@@ -172,18 +172,23 @@ HISTORY = 200
 LOG = {"seq": "long", "type": "string", "id": "string", "parent_id": "string", "index": "int", "text": "string", "node_type": "string", "source": "string", "target": "string", "origin": "string"}
 
 
-class _Document:
-    """A map whose edits are applied one after the other; each gives its inverse, and the last HISTORY of them can be undone."""
+class Document:
+    """A map whose edits are applied one after the other; each gives its inverse, and the last HISTORY of them can be undone. Any mappings
+    will do: nodes to their parent, type and text, parents to the ids of their children in order, edges to their ends."""
 
-    def __init__(self, rows, edges):
-        self.nodes = {r.node_id: {"parent": r.parent_id, "type": r.type, "text": r.text} for r in rows}
-        self.kids: dict = {}
-        for r in sorted(rows, key=lambda r: (r.ord, r.node_id)):
-            self.kids.setdefault(r.parent_id, []).append(r.node_id)
-        self.edges = {r.node_id: (r.source, r.target) for r in edges}
+    def __init__(self, nodes, kids, edges):
+        self.nodes, self.kids, self.edges = nodes, kids, edges
         self.undone: list = []
         self.done: list = []
 
+    @classmethod
+    def of(cls, rows, edges) -> Document:
+        nodes = {r.node_id: {"parent": r.parent_id, "type": r.type, "text": r.text} for r in rows}
+        kids: dict = {}
+        for r in sorted(rows, key=lambda r: (r.ord, r.node_id)):
+            kids.setdefault(r.parent_id, []).append(r.node_id)
+        return cls(nodes, kids, {r.node_id: (r.source, r.target) for r in edges})
+
     def below(self, top: str) -> list[str]:
         out, waiting = [], [top]
         while waiting:
@@ -278,7 +283,7 @@ def _replayed(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None, out, sc
 
         clean = lambda v: None if v is None or v != v or v is pd.NA else v
         rows = [r for r in own.astype(object).where(own.notna(), None).itertuples(index=False)]
-        document = _Document([r for r in rows if not r.edge], [r for r in rows if r.edge])
+        document = Document.of([r for r in rows if not r.edge], [r for r in rows if r.edge])
         steps = [{k: clean(v) for k, v in r._asdict().items()} for r in lines.sort_values("seq").itertuples(index=False)]
         names = [part.split()[0] for part in schema.split(", ")]
         number = own["map_id"].iloc[0] if len(own) else lines["map_id"].iloc[0]
