@@ -13,7 +13,8 @@
    whose distance from the pivot differs by at most t. Points within t of no pivot are joined among themselves, recursively,
    with other pivots. A region's own points need no comparison with each other: they are linked through the pivot.
 5. Large clusters take a round at a time over the cluster (blocks of points meet the pivots; blocks of a region meet blocks of
-   its boundary), and small ones all rounds in one task. What is still large after ROUNDS is joined in pairs of blocks.
+   its boundary), and small ones all rounds in one task. Rounds go on as long as they shed a quarter of the points; what they can't shed
+   after ROUNDS is joined in pairs of blocks.
 6. Links are tied together by connected components.
 
 Every task holds a bounded number of points, whatever the size of a group. The result is exact for any data.
@@ -26,6 +27,7 @@ not looked at.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,8 +37,9 @@ from .common import cut, mix64, ship, slices, table, text_buffer, written
 from ..operators.components import components
 from .shingles import shingle_sets
 
-#: Points and elements of a cluster that one task joins; pivots of a round; rounds before blocks.
-POINTS, ELEMENTS, PIVOTS, ROUNDS = 1024, 1 << 21, 8, 3
+#: Points and elements of a cluster that one task joins; pivots of a round; rounds at least before blocks; the share of the points that a
+#: round may leave for the next one to be worth it.
+POINTS, ELEMENTS, PIVOTS, ROUNDS, SHED = 1024, 1 << 21, 8, 3, 0.75
 #: Points of a part up to which its pairs are counted; classes and equal parts in a tag.
 FEW, TAG = 16, 1 << 16
 #: Rows of the smaller side up to which it is broadcast; points that a task of small clusters takes.
@@ -306,8 +309,9 @@ def _unpacked(column) -> list[np.ndarray]:
 
 
 def _joined(members: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Links of regions that fit a task; a task takes several."""
-    n = max(1, -(-members.count() // TASK))
+    """Links of regions that fit a task; a task takes several, of about TASK points and ELEMENTS elements together."""
+    points, elements = members.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("set") / 8), F.lit(0))).first()
+    n = max(1, -(-points // TASK), -(-int(elements) // ELEMENTS))
 
     def run(own):
         own = own.sort_by([("region", "ascending"), ("point", "ascending")])
@@ -433,17 +437,19 @@ def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, percent: int, pivots:
 def region_links(members: DataFrame, *, percent: int, points: int = POINTS, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) that join the same points as all links of each region do: members have region, point, set. Each step is cut off, so
     the driver plans one of them at a time."""
-    links, now = [], members
-    for level in range(rounds + 1):
+    links, now, before = [], members, 0
+    for level in itertools.count():
         sizes = _large(now, points)
-        if sizes.isEmpty():
+        left = sizes.agg(F.sum("points")).first()[0] or 0
+        if not left:
             links.append(cut(_joined(now, percent, pivots)))
             break
         links.append(cut(_joined(now.join(sizes, "region", "left_anti"), percent, pivots)))
         now = now.join(sizes, "region", "left_semi").select("region", "point", "set")
-        if level == rounds:
+        if level >= rounds and left > SHED * before:
             links.append(cut(_pairs_of_blocks(now, sizes, percent, pivots)))
             break
+        before = left
         measured = _measured(now, sizes, percent, pivots, level)
         to_pivots = measured.select("point", F.explode(F.transform("links", lambda j: F.get("centres", j))).alias("pivot_point")).where("point <> pivot_point")
         links.append(to_pivots.select(F.col("point").alias("a"), F.col("pivot_point").alias("b")))

@@ -8,8 +8,9 @@ they are tabulated for all strings of the sample, one row for all languages, and
 shorter strings' rows and what the longer contexts add. The predicted language codes the text in the fewest bits.
 
 Training takes at most about TRAIN_DOCS labelled documents a language, chosen by a hash of id and text, and of their strings of ORDER
-+ 1 bytes the GRAMS most frequent ones of each language; strings are counted where the sample lies, and only the kept sums reach the
-driver: LANGUAGES times GRAMS rows at most, and more languages are refused.
++ 1 bytes the GRAMS most frequent ones of each language. The sample is dealt to COUNTERS tasks, so the scan is as wide as the table. The
+model is put together in a task, written to the shared folder and read by the workers that need it; the driver holds its place.
+It is bounded by LANGUAGES times GRAMS strings, and more languages are refused.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from everything is ``und``;
 ties go to the first language by name; repeated rows are predicted each on their own; a null id counts as held out; an
@@ -18,6 +19,8 @@ empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ship, slices, table, text_buffer
+from .common import cut, shared_dir, ship, slices, table, text_buffer
 
 #: Bytes of the longest context.
 ORDER = 4
 #: Documents of the training sample and strings that are kept, for each language; languages.
-TRAIN_DOCS, GRAMS, LANGUAGES = 3000, 1 << 14, 64
-#: Values that are looked up at a time; partitions that count the sample.
+TRAIN_DOCS, GRAMS, LANGUAGES = 3000, 1 << 16, 64
+#: Values that are looked up at a time; tasks that count the sample.
 SLICE, COUNTERS = 1 << 22, 8
 UNKNOWN = "und"
 #: What stands before a text.
@@ -109,6 +112,32 @@ class Model:
     escaped: list[np.ndarray]
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A model in the shared folder; a process reads it once, when it needs it."""
+
+    path: str
+
+    def load(self) -> Model:
+        return _read(self.path)
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.load(), name)
+
+
+@functools.lru_cache(maxsize=1)
+def _read(path: str) -> Model:
+    import pickle
+
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    files, folder = fs.FileSystem.from_uri(path)
+    return pickle.loads(ds.dataset(folder, filesystem=files, format="parquet").to_table().column("model")[0].as_py())
+
+
 def _log2(x: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(x, 1e-300))
 
@@ -200,7 +229,7 @@ def text_bits(bytes_: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
     return total
 
 
-def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Stored | None:
     """A model of the rows whose lang is not null."""
     spark = docs.sparkSession
     ship(spark)
@@ -212,7 +241,7 @@ def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS,
         return None
     languages = sorted(sizes)
     share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text").coalesce(COUNTERS)
+    sample = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text").repartition(COUNTERS)
 
     def count(batches):
         import pyarrow as pa
@@ -242,19 +271,17 @@ def train(docs: DataFrame, *, per_language: int = TRAIN_DOCS, kept: int = GRAMS,
 
         import pyarrow as pa
 
+        rows = rows.drop_null()
         lang, code, n = (rows.column(c).to_numpy() for c in ("lang", "code", "n"))
         made = model_of(languages, [(code[lang == j], n[lang == j]) for j in range(len(languages))])
         return pa.table({"model": pa.array([pickle.dumps(made)], pa.binary())})
 
-    # one task, and LANGUAGES * GRAMS rows at most: the driver only sees the tables
-    return _loaded(kept_rows.select(number.alias("lang"), "code", "n").groupBy(F.lit(0).alias("all")).applyInArrow(build, "model binary").first(), languages)
-
-
-def _loaded(row, languages: list[str]) -> Model:
-    import pickle
-
-    nothing = np.zeros(0, dtype=np.int64)
-    return pickle.loads(bytes(row.model)) if row is not None else model_of(languages, [(nothing, nothing)] * len(languages))
+    # one task, and LANGUAGES * GRAMS rows at most; an empty group of its own stands for a sample without strings
+    nothing = spark.createDataFrame([(None, None, None)], "lang int, code long, n long")
+    place = f"{shared_dir(spark)}/languages-{uuid.uuid4().hex}"
+    rows = kept_rows.select(number.alias("lang"), "code", "n").unionByName(nothing)
+    rows.groupBy(F.lit(0).alias("all")).applyInArrow(build, "model binary").write.parquet(place)
+    return Stored(place)
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,13 +289,13 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
 
 
-def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | Stored | None, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """key, the columns to keep, lang_pred, score, bits_per_byte. score: the language's share, all being as likely before."""
     spark, keep = docs.sparkSession, [c for c in keep or [] if c != key]
     if model is None:
         model = model_of([UNKNOWN], [(np.zeros(0, np.int64), np.zeros(0, np.int64))])
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and GRAMS
+    held = model if isinstance(model, Stored) else spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and GRAMS
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(key), *keep, F.when(letter, F.col(text).cast("string")).alias("__text"), letter.alias("__letter"))
     schema = T.StructType([f for f in rows.schema if not f.name.startswith("__")])
@@ -277,7 +304,7 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
     def score(batches):
         import pyarrow as pa
 
-        m = sent.value
+        m = held.load() if isinstance(held, Stored) else held.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in slices(batches, len(schema) - 3):
             bytes_, offsets = text_buffer(batch.column("__text"))
