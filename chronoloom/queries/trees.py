@@ -217,4 +217,4 @@ def pagerank_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def nation_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.communities(_trade(spark, sf_dir))
+    return G.modular_communities(_trade(spark, sf_dir))
