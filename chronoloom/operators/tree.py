@@ -333,3 +333,42 @@ def inverses(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None = None) -
 
     kinds = "seq long, part int, type string, id string, parent_id string, index int, text string, node_type string, source string, target string"
     return _replayed(nodes, ops, edges, out, f"map_id {_map_kind(nodes)}, {kinds}")
+
+
+def layout(nodes: DataFrame, across: list[float], down: list[float]) -> DataFrame:
+    """(map_id, node_id, depth, extent, x, y): where the boxes (w, h) of nodes stand in a tree that grows to the right, x and y of their middles.
+
+    A node's extent is the room that it and all below it take up: its height, or the extents of its children with the gaps between
+    them (``down``, by depth), if that is more. Extents are summed upwards a level at a time; on the way back every child stands below what its
+    earlier siblings take up, and a gap (``across``) to the right of its parent. Siblings are in the order of ord, then node_id.
+    """
+    gap = lambda values, depth: F.lit(float(values[min(depth, len(values) - 1)]))
+    held = cut(nodes.select("map_id", "node_id", "parent_id", "ord", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")))
+    levels = [cut(held.where("parent_id IS NULL"))]
+    while len(levels) <= DEEPEST:
+        ends = levels[-1].select("map_id", F.col("node_id").alias("parent_id"))
+        below = cut(held.join(ends, ["map_id", "parent_id"], "left_semi"))
+        if below.isEmpty():
+            break
+        levels.append(below)
+    sized: list[DataFrame] = []
+    for depth in range(len(levels) - 1, -1, -1):
+        rows = levels[depth].withColumn("stack", F.lit(0.0))
+        if sized:
+            stack = sized[-1].groupBy("map_id", F.col("parent_id").alias("node_id")).agg((F.sum("extent") + gap(down, depth + 1) * (F.count("*") - 1)).alias("stack"))
+            rows = levels[depth].join(stack, ["map_id", "node_id"], "left").withColumn("stack", F.coalesce("stack", F.lit(0.0)))
+        sized.append(cut(rows.withColumn("extent", F.greatest("h", "stack"))))
+    sized.reverse()
+    placed = [sized[0].select("map_id", "node_id", F.lit(0).alias("depth"), "extent", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "w", "stack")]
+    for depth in range(1, len(sized)):
+        order = Window.partitionBy("map_id", "parent_id").orderBy("ord", "node_id")
+        before = F.coalesce(F.sum(F.col("extent") + gap(down, depth)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        above = placed[-1].select("map_id", F.col("node_id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("w").alias("pw"), F.col("stack").alias("pstack"))
+        rows = sized[depth].withColumn("before", before).join(above, ["map_id", "parent_id"])
+        x = F.col("px") + F.col("pw") / 2 + gap(across, depth) + F.col("w") / 2
+        y = F.col("py") - F.col("pstack") / 2 + F.col("before") + F.col("extent") / 2
+        placed.append(cut(rows.select("map_id", "node_id", F.lit(depth).alias("depth"), "extent", x.alias("x"), y.alias("y"), "w", "stack")))
+    out = placed[0]
+    for part in placed[1:]:
+        out = out.unionByName(part)
+    return out.drop("w", "stack")

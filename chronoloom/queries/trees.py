@@ -66,6 +66,33 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.balanced_split(sections.join(T.leaf_counts(n), ["map_id", "node_id"]))
 
 
+_ACROSS, _DOWN = [0.0, 90.0, 60.0, 40.0], [0.0, 28.0, 14.0, 6.0]
+
+
+def _sql_layout(deepest: int) -> str:
+    """The same by recursion downwards for depths, a step a level upwards, and a step a level downwards."""
+    steps = [f"""{SQL_NODES}, boxes AS (SELECT map_id, node_id, parent_id, ord, CAST(20 + 6 * least(length(text), 24) AS DOUBLE) AS w, CAST(CASE WHEN length(text) > 24 THEN 44 ELSE 24 END AS DOUBLE) AS h
+  FROM nodes WHERE type <> 'transcript'), deep AS (SELECT *, 0 AS depth FROM boxes WHERE parent_id IS NULL
+  UNION ALL SELECT b.*, d.depth + 1 FROM boxes b JOIN deep d ON b.map_id = d.map_id AND b.parent_id = d.node_id)"""]
+    for k in range(deepest, -1, -1):
+        stack = f"(SELECT map_id, parent_id, sum(extent) + {_DOWN[min(k + 1, 3)]} * (count(*) - 1) AS stack FROM e{k + 1} GROUP BY ALL)" if k < deepest else "(SELECT NULL::INT AS map_id, NULL AS parent_id, 0.0 AS stack)"
+        steps.append(f"e{k} AS (SELECT d.*, coalesce(s.stack, 0)::DOUBLE AS stack, greatest(h, coalesce(s.stack, 0))::DOUBLE AS extent FROM deep d LEFT JOIN {stack} s ON s.map_id = d.map_id AND s.parent_id = d.node_id WHERE depth = {k})")
+    steps.append("p0 AS (SELECT *, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM e0)")
+    for k in range(1, deepest + 1):
+        before = f"coalesce(sum(e.extent + {_DOWN[k]}) OVER (PARTITION BY e.map_id, e.parent_id ORDER BY e.ord, e.node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        steps.append(f"p{k} AS (SELECT e.*, (p.x + p.w / 2 + {_ACROSS[k]} + e.w / 2)::DOUBLE AS x, (p.y - p.stack / 2 + {before} + e.extent / 2)::DOUBLE AS y FROM e{k} e JOIN p{k - 1} p ON p.map_id = e.map_id AND p.node_id = e.parent_id)")
+    return "WITH RECURSIVE " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT map_id, node_id, depth, extent, x, y FROM p{k}" for k in range(deepest + 1))
+
+
+@registry.query(_sql_layout(3))
+def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every node's box stands, in a tree that grows to the right; a box is as large as its text asks for."""
+    n = nodes(spark, sf_dir, 4)
+    size = F.length("text")
+    boxes = n.withColumn("w", 20 + 6 * F.least(size, F.lit(24))).withColumn("h", F.when(size > 24, 44).otherwise(24))
+    return T.layout(boxes, _ACROSS, _DOWN)
+
+
 _GONE = "type IN ('section', 'concept') AND ord % 7 = 3"
 
 
