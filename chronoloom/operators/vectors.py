@@ -173,39 +173,3 @@ def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: st
 def links(found: DataFrame) -> DataFrame:
     """Each pair once, smaller id first."""
     return found.select(F.least("query", "row").alias("a"), F.greatest("query", "row").alias("b"), "cosine").dropDuplicates(["a", "b"])
-
-
-def lsa(rows: DataFrame, key: str, text: str = "text", most: int = 128) -> DataFrame:
-    """(key, id, vector): latent vectors of a key's texts, fitted on them alone; a key is one document's sentences.
-
-    TF-IDF of words and word pairs with logarithmic counts, then the leading singular directions.
-    """
-    ship(rows.sparkSession)
-
-    def fit(own):
-        import re
-
-        import pandas as pd
-
-        own = own.sort_values("id")
-        grams = []
-        for t in own[text].fillna("").str.lower():
-            w = re.findall(r"[a-z][a-z0-9']+", t)
-            grams.append(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
-        terms = {g: k for k, g in enumerate(sorted({g for gs in grams for g in gs}))}
-        m = np.zeros((len(grams), max(len(terms), 1)))
-        for r, gs in enumerate(grams):
-            for g in gs:
-                m[r, terms[g]] += 1
-        df = np.count_nonzero(m, axis=0)
-        m = np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * (np.log((1 + len(grams)) / (1 + df)) + 1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        n = min(most, m.shape[1] - 1, len(grams) - 1)
-        if n >= 2:
-            u, s, _ = np.linalg.svd(m, full_matrices=False)
-            m = u[:, :n] * s[:n]
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({key: own[key], "id": own["id"], "vector": [v.tolist() for v in m]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(fit, f"{key} {kind}, id long, vector array<double>")
