@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..session import cut
+from . import timeline as T
+from . import vectors as V
+from .components import components
 
 
 def counts(terms: DataFrame) -> DataFrame:
@@ -84,6 +88,49 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(c, r"(ies|es|s|ing|ed)\b", "")
 
 
+def contained(terms: DataFrame) -> DataFrame:
+    """(grp, part, whole) of every two different terms of a group of which the one stands in the other.
+
+    A term is looked up by its rarest run of three signs (by itself where it is shorter), in an index of all runs of up to three
+    signs of the group's terms, so that a term meets those only that share that run. terms: grp, term, each pair once.
+    """
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("term") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring("term", i, F.lit(n)))
+
+    # of a term shorter than n the last is the whole, which is in the index anyway
+    runs = F.concat(of(1), of(2), of(3))
+    index = terms.select("grp", "term", F.explode(F.array_distinct(runs)).alias("run"))
+    rare = index.groupBy("grp", "run").agg(F.count("*").alias("df"))
+    own = index.where(F.length("run") == F.least(F.length("term"), F.lit(3))).join(rare, ["grp", "run"])
+    asked = own.groupBy("grp", "term").agg(F.min_by("run", F.struct("df", "run")).alias("run")).withColumnRenamed("term", "part")
+    held = asked.join(index.withColumnRenamed("term", "whole"), ["grp", "run"])
+    return held.where((F.col("part") != F.col("whole")) & F.contains("whole", "part")).select("grp", "part", "whole")
+
+
+def similar_groups(phrases: DataFrame, *, least: float = 0.82, least_contained: float = 0.72) -> DataFrame:
+    """(grp, term, head): phrases that say the same, with the least of them.
+
+    Two phrases of a group are linked when they have one stem, when their vectors' cosine is at least ``least``, or when one stands in the
+    other and the cosine is above ``least_contained``; links of links count. phrases: grp, term, vector. Repeated phrases are one (with their least vector); nulls
+    in grp or term are left out; a phrase without a vector, or with zeros, is linked by its stem alone.
+    """
+    end = F.lit("\u0001")
+    held = phrases.where(F.col("grp").isNotNull() & F.col("term").isNotNull()).groupBy("grp", "term").agg(F.min(F.col("vector").cast("array<double>")).alias("v"))
+    held = cut(held.withColumn("v", F.when(F.exists("v", lambda x: x != 0), F.col("v"))).withColumn("id", F.concat(F.col("grp").cast("string"), end, "term")))
+    first = held.groupBy("grp", stem(F.col("term")).alias("stem")).agg(F.min("id").alias("a"))
+    stems = held.withColumn("stem", stem(F.col("term"))).join(first, ["grp", "stem"]).where("a <> id").select("a", F.col("id").alias("b"))
+    near = V.near_links(held, least, key="id", vector="v", by="grp")
+    side = lambda name, s: held.select("grp", F.col("term").alias(name), F.col("id").alias(s), F.col("v").alias(f"{s}_v"))
+    pairs = contained(held.select("grp", "term")).join(side("part", "a"), ["grp", "part"]).join(side("whole", "b"), ["grp", "whole"])
+    within = pairs.where(T.cosine(F.col("a_v"), F.col("b_v")) > least_contained).select("a", "b")
+    found = components(stems.unionByName(near).unionByName(within))
+    heads = held.select(F.col("id").alias("component"), F.col("term").alias("head"))
+    named = found.join(heads, "component").select(F.col("v").alias("id"), "head")
+    return held.drop("v").join(named, "id", "left").select("grp", "term", F.coalesce("head", "term").alias("head"))
+
+
 def rolled_up(candidates: DataFrame, most: int) -> DataFrame:
     """Candidates of one stem become a concept: head, summed score, names by score."""
     grouped = candidates.withColumn("stem", stem(F.col("term"))).groupBy("grp", "stem").agg(

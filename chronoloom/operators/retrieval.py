@@ -12,8 +12,6 @@ from ..session import cut
 
 LEAST_SCORE, OF_BEST = 0.15, 0.45
 FEWEST, MOST, BUDGET = 5, 8, 1250
-#: Sections of a video whose themes one task finds.
-MOST_SECTIONS = 4096
 
 
 def query_words(question: str, least: int) -> list[str]:
@@ -88,41 +86,3 @@ def mmr(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
         picks.append(chosen.select(F.col("g").alias(key), F.col("c_id").alias("id"), F.lit(n).cast("bigint").alias("pick")))
         held = held.join(chosen, "g").where("id <> c_id").withColumn("like", F.greatest("like", dot(F.col("v"), F.col("c_v")))).drop("c_id", "c_v")
     return functools.reduce(DataFrame.unionByName, picks)
-
-
-def themes(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Average-link clusters of a key's vectors by cosine distance: n // 2 of them, two to five; fewer than four vectors are one.
-
-    A key is one video's sections: more than MOST_SECTIONS of them are refused.
-    """
-    from ..session import ship
-
-    ship(rows.sparkSession)
-
-    def cluster(own):
-        import numpy as np
-        import pandas as pd
-
-        if len(own) > MOST_SECTIONS:
-            raise ValueError(f"{len(own)} sections of one video")
-        own = own.sort_values("id")
-        v = np.array(own[vector].tolist(), dtype=float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        n = len(v)
-        labels = np.zeros(n, dtype=int)
-        if n >= 4:
-            near, size, group = 1 - v @ v.T, np.ones(n), np.arange(n)
-            np.fill_diagonal(near, np.inf)
-            for _ in range(n - max(2, min(n // 2, 5))):
-                a, b = sorted(np.unravel_index(np.argmin(near), near.shape))
-                merged = (near[a] * size[a] + near[b] * size[b]) / (size[a] + size[b])
-                near[a], near[:, a] = merged, merged
-                near[b], near[:, b] = np.inf, np.inf
-                near[a, a] = np.inf
-                size[a] += size[b]
-                group[group == b] = a
-            labels = np.unique(group, return_inverse=True)[1]
-        return pd.DataFrame({key: own[key], "id": own["id"], "theme": labels})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(cluster, f"{key} {kind}, id long, theme long")

@@ -72,21 +72,23 @@ def similar(queries: DataFrame, rows: DataFrame, least: float, *, key: str = "ve
 LINK_BLOCK, PIVOTS = 1024, 64
 
 
-def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, block: int = LINK_BLOCK) -> DataFrame:
+def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", by: str | None = None, pivots: int = PIVOTS, block: int = LINK_BLOCK) -> DataFrame:
     """(a, b) of vectors whose cosine is at least so much: not every such pair, but links that join the same vectors as all of them.
 
     The angle between vectors is a metric. Every vector belongs to the region of its nearest pivot, and is copied to each region whose
     farthest own vector is at most the link angle nearer to that pivot than it is; a pair is looked at in the region of the one or
     the other. Regions are joined in blocks of bounded size, own vectors with all; equal vectors are linked in a chain first and
-    stand in the join once. Exact for any data; how many regions a vector is copied to depends on how the vectors cluster.
+    stand in the join once. Exact for any data; how many regions a vector is copied to depends on how the vectors cluster. With ``by``,
+    only vectors that are equal in it are linked.
     """
     spark = rows.sparkSession
     ship(spark)
     kind = rows.schema[key].dataType.simpleString()
-    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    equal = held.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    repeats = held.join(equal.where("n > 1"), "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    points = cut(equal.select(F.col("first").alias("id"), "v"))
+    group = F.col(by) if by else F.lit(0)
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & group.isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("g"))
+    equal = held.groupBy("g", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeats = held.join(equal.where("n > 1"), ["g", "v"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    points = cut(equal.select(F.col("first").alias("id"), "v", "g"))
     drawn = points.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # so many vectors
     if not drawn:
         return repeats
@@ -149,7 +151,7 @@ def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: st
                     take += [r] * len(own)
             at = pa.array(take, pa.int64())
             columns = [pa.array([g[k] for g in groups], pa.int32()) for k in range(4)] + [pa.array([g[4] for g in groups], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "i", "j", "k", "own", "id", "v"])
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c).take(at) for c in range(3)]], names=["cell", "i", "j", "k", "own", "id", "v", "g"])
 
     def join(part):
         import pyarrow as pa
@@ -158,15 +160,16 @@ def near_links(rows: DataFrame, least: float, *, key: str = "vec_id", vector: st
         v = np.array(part.column("v").to_pylist(), dtype=np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         own, ids = np.flatnonzero(part.column("own").to_numpy(zero_copy_only=False)), part.column("id").to_numpy()
+        group = part.column("g").combine_chunks().dictionary_encode().indices.to_numpy()
         label, links = np.arange(len(v)), []
         for x in own.tolist():
-            for y in np.flatnonzero(v @ v[x] >= least).tolist():
+            for y in np.flatnonzero((v @ v[x] >= least) & (group == group[x])).tolist():
                 if label[x] != label[y]:
                     links.append((ids[x], ids[y]))
                     label[label == label[y]] = label[x]
         return pa.table({"a": pa.array([a for a, _ in links], part.schema.field("id").type), "b": pa.array([b for _, b in links], part.schema.field("id").type)})
 
-    pairs = points.mapInArrow(dealt, f"cell int, i int, j int, k int, own boolean, id {kind}, v array<double>").repartition("cell", "i", "j", "k")
+    pairs = points.mapInArrow(dealt, f"cell int, i int, j int, k int, own boolean, id {kind}, v array<double>, g {points.schema['g'].dataType.simpleString()}").repartition("cell", "i", "j", "k")
     return pairs.groupBy("cell", "i", "j", "k").applyInArrow(join, f"a {kind}, b {kind}").unionByName(repeats)
 
 

@@ -266,6 +266,26 @@ def hub_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(held, [F.desc("members"), F.asc("component")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
+#: Documents of which phrases that occur in the same ones are alike.
+BUCKETS = 64
+_SQL_SIMILAR = f"""{_SQL_MAX}, top AS (SELECT grp, term FROM m QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, term) <= 60),
+p AS (SELECT grp, term, [{", ".join(f"coalesce(sum(tf) FILTER (seg % {BUCKETS} = {b}), 0)::DOUBLE" for b in range(BUCKETS))}] AS v, regexp_replace(term, '(ies|es|s|ing|ed)\\b', '', 'g') AS stem FROM tf JOIN top USING (grp, term) GROUP BY grp, term),
+e AS (SELECT a.grp, a.term AS a, b.term AS b FROM p a JOIN p b ON a.grp = b.grp AND a.term <> b.term AND (a.stem = b.stem OR list_cosine_similarity(a.v, b.v) >= 0.82
+  OR ((contains(a.term, b.term) OR contains(b.term, a.term)) AND list_cosine_similarity(a.v, b.v) > 0.72))),
+r(grp, a, b) AS (SELECT grp, a, b FROM e UNION SELECT r.grp, r.a, e.b FROM r JOIN e ON r.grp = e.grp AND r.b = e.a)
+SELECT grp, term, least(term, (SELECT min(b) FROM r WHERE r.grp = p.grp AND r.a = p.term)) AS head FROM p"""
+
+
+@registry.query(f"WITH RECURSIVE {_SQL_SIMILAR}")
+def similar_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixty best words of each source, those together that have one stem, or occur in the same documents, or partly so and one in the other."""
+    tf = _tf(spark, sf_dir)
+    top = C.ranked_candidates(C.max_tf_idf(tf), 60).select("grp", "term")
+    counts = [F.coalesce(F.sum(F.when(F.col("seg") % BUCKETS == b, F.col("tf"))), F.lit(0)).cast("double") for b in range(BUCKETS)]
+    vectors = tf.join(top, ["grp", "term"]).groupBy("grp", "term").agg(F.array(*counts).alias("vector"))
+    return C.similar_groups(vectors)
+
+
 _KEY = "left(sha1(doc_id || '|' || left(text, 80)), 20)"
 
 

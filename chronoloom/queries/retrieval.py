@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import labels as B
 from ..operators import retrieval as R
 from ..operators import timeline as T
+from ..operators.average_link import themes
 from ..sources.tables import SQL_DOCUMENT_CAPTIONS, document_captions, table
 from . import Registry
 from .text import WORDS, sql_clean, sql_clock, sql_truncated
@@ -151,7 +152,14 @@ def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as the sections of videos, a dozen to each."""
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 12).alias("video_id"), F.col("vec_id").alias("id"), "embedding")
-    return R.themes(rows, "video_id", "embedding")
+    return themes(rows, "video_id", "embedding")
+
+
+@registry.query()
+def label_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes of all vectors of a label, however many it has."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
+    return themes(rows, "label", "embedding")
 
 
 @registry.query(f"WITH {_SQL_V} SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1) > 0.6 AND cosine IS NOT NULL THEN round(greatest(0, cosine), 2) END AS faith FROM v")
