@@ -34,7 +34,8 @@ def provided(rows: DataFrame, provider: Provider, *, text: str = "text", lang: s
                     made.loc[own.index] = [x if x is not None else t for x, t in zip(answers, own[text], strict=True)]
             yield frame.assign(**{out: made})
 
-    return rows.repartition(F.col(lang), F.spark_partition_id() % 8).mapInPandas(run, schema)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(F.col(lang), F.spark_partition_id() % tasks).mapInPandas(run, schema)
 
 
 def looked_up(rows: DataFrame, dictionary: DataFrame, *, text: str = "text", out: str = "translated") -> DataFrame:

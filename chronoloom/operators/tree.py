@@ -276,7 +276,7 @@ def _replayed(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None, out, sc
     state = nodes.select("map_id", F.lit(False).alias("edge"), "node_id", "parent_id", "ord", "type", "text", *none("source", "target"))
     if edges is not None:
         state = state.unionByName(edges.select("map_id", F.lit(True).alias("edge"), F.col("edge_id").alias("node_id"), *none("parent_id"), F.lit(0).cast("bigint").alias("ord"), *none("type", "text"), "source", "target"))
-    log = ops.select("map_id", *[(F.col(n) if n in ops.columns else F.lit(None)).cast(kind).alias(n) for n, kind in LOG.items()])
+    log = ops.select(F.col("map_id").alias("log_map"), *[(F.col(n) if n in ops.columns else F.lit(None)).cast(kind).alias(n) for n, kind in LOG.items()])
 
     def replay(own, lines):
         import pandas as pd
@@ -286,10 +286,10 @@ def _replayed(nodes: DataFrame, ops: DataFrame, edges: DataFrame | None, out, sc
         document = Document.of([r for r in rows if not r.edge], [r for r in rows if r.edge])
         steps = [{k: clean(v) for k, v in r._asdict().items()} for r in lines.sort_values("seq").itertuples(index=False)]
         names = [part.split()[0] for part in schema.split(", ")]
-        number = own["map_id"].iloc[0] if len(own) else lines["map_id"].iloc[0]
+        number = own["map_id"].iloc[0] if len(own) else lines["log_map"].iloc[0]
         return pd.DataFrame([(number, *r) for r in out(document, steps)], columns=names)
 
-    return state.groupBy("map_id").cogroup(log.groupBy("map_id")).applyInPandas(replay, schema)
+    return state.groupBy("map_id").cogroup(log.groupBy("log_map")).applyInPandas(replay, schema)
 
 
 def _map_kind(nodes: DataFrame) -> str:
