@@ -48,9 +48,10 @@ def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main topic of each document."""
+    """The main topic of each document. All words count; the model is topics times words, which Spark's library holds in each task."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.filter(X.tokens(F.col("text")), lambda w: ~w.isin(L.STOPS)).alias("words"))
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000).fit(words).transform(words)
+    many = words.select(F.explode("words").alias("w")).distinct().count()
+    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(1, many)).fit(words).transform(words)
     found = LDA(k=8, seed=42, maxIter=10).fit(counted).transform(counted).withColumn("t", vector_to_array("topicDistribution"))
     return found.select("doc_id", (F.array_position("t", F.array_max("t")) - 1).alias("topic"))
 
