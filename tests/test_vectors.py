@@ -48,3 +48,16 @@ def test_similar_in_blocks(spark):
     a, b = (sorted((r.query, r.row, round(r.cosine, 9)) for r in V.similar(queries, rows, 0.3, block=n).collect()) for n in (1000, 7))
     assert a == b and len(a) > 100
     assert V.similar(queries.where("vec_id < 0"), rows, 0.3).count() == 0
+
+
+def test_similar_in_slices(spark, monkeypatch):
+    """A task holds so many products at a time, in both forms of the search; the pairs are those of all products."""
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((90, 6))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    v = v.astype(np.float32).astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = sorted((q, r) for q in range(0, 90, 3) for r in range(90) if q != r and v[q] @ v[r] >= 0.3)
+    monkeypatch.setattr(V, "CELLS", 64)
+    for block in (1000, 7):
+        assert sorted((r.query, r.row) for r in V.similar(rows.where("vec_id % 3 = 0"), rows, 0.3, block=block).collect()) == want
