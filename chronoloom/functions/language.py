@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .text import bound
 
 #: Languages that captions come in, and the script that each is written in.
 LANGUAGES = {
@@ -18,20 +19,32 @@ LATIN_LETTER = r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]"
 
 def script_counts(c: Column) -> Column:
     """(script, letters), with kanji counted as Japanese where there is kana."""
+    # no letter of these scripts is ASCII: what is left is read once for each script
+    return bound(F.regexp_replace(c, r"[\x00-\x7F]+", ""), _script_counts)
+
+
+def _script_counts(c: Column) -> Column:
     codes = list(dict.fromkeys(code for _, code, _ in L.SCRIPTS))
     count = lambda code: F.regexp_count(c, F.lit("[" + "".join(rf"\p{{Is{n}}}" for n, k, _ in L.SCRIPTS if k == code) + "]"))
     kana, han = count("Jpan"), count("Hans")
-    n = {k: count(k) for k in codes} | {"Jpan": F.when(kana > 0, kana + han).otherwise(0), "Hans": F.when(kana > 0, 0).otherwise(han)}
-    return F.array(*[F.struct(n[k].cast("int").alias("n"), F.lit(k).alias("script")) for k in codes])
+    pair = bound(F.struct(kana.alias("kana"), han.alias("han")), lambda p: F.when(p["kana"] > 0, F.struct((p["kana"] + p["han"]).alias("Jpan"), F.lit(0).alias("Hans"))).otherwise(F.struct(F.lit(0).alias("Jpan"), p["han"].alias("Hans"))))
+    alone = {k: count(k) for k in codes if k not in ("Jpan", "Hans")}
+    return bound(pair, lambda p: F.array(*[F.struct((alone[k] if k in alone else p[k]).cast("int").alias("n"), F.lit(k).alias("script")) for k in codes]))
 
 
 def main_script(c: Column) -> Column:
     """(script, share): the commonest script but Latin, and the share of all letters that such scripts have."""
-    counts = script_counts(c)
-    other = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
-    total = other + F.regexp_count(c, F.lit(LATIN_LETTER))
-    top = F.array_max(F.transform(counts, lambda x: F.struct(x["n"].alias("n"), x["script"].alias("script"))))
-    return F.struct(F.when(other > 0, top["script"]).alias("script"), F.when(other > 0, other / total).otherwise(F.lit(0.0)).alias("share"))
+
+    def of(s: Column) -> Column:
+        top, other = F.array_max(s["counts"]), s["other"]
+        return F.struct(F.when(other > 0, top["script"]).alias("script"), F.when(other > 0, other / (other + s["latin"])).otherwise(F.lit(0.0)).alias("share"))
+
+    def summed(t: Column, counts: Column) -> Column:
+        other = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
+        return F.struct(counts.alias("counts"), other.alias("other"), F.regexp_count(t, F.lit(LATIN_LETTER)).alias("latin"))
+
+    # bound: each use of a text or of its counts would search the text again
+    return bound(c, lambda t: bound(bound(script_counts(t), lambda counts: summed(t, counts)), of))
 
 
 def needs_translation(c: Column) -> Column:
@@ -47,8 +60,8 @@ def english_hits(c: Column) -> Column:
 
 
 def english_ratio(c: Column) -> Column:
-    n = F.size(english_words(c))
-    return F.when(n > 0, english_hits(c) / n).otherwise(F.lit(0.0))
+    hits = lambda ws: F.size(F.filter(ws, lambda w: w.isin(L.ENGLISH)))
+    return bound(english_words(c), lambda ws: F.when(F.size(ws) > 0, hits(ws) / F.size(ws)).otherwise(F.lit(0.0)))
 
 
 def normal_code(c: Column) -> Column:
@@ -66,13 +79,16 @@ def _of_script(hint: Column, script: Column) -> Column:
 
 def detected(sample: Column, hint: Column) -> Column:
     """The script decides, then English function words, then the hint; else English."""
-    found, ratio = main_script(sample), english_ratio(sample)
-    return (
-        F.when(found["share"] >= 0.3, _of_script(hint, found["script"]))
-        .when(ratio >= 0.2, F.lit("en"))
-        .when(hint.isNotNull() & (hint != "en"), hint)
-        .otherwise(F.lit("en"))
-    )
+
+    def of(t: Column, found: Column) -> Column:
+        return (
+            F.when(found["share"] >= 0.3, _of_script(hint, found["script"]))
+            .when(english_ratio(t) >= 0.2, F.lit("en"))
+            .when(hint.isNotNull() & (hint != "en"), hint)
+            .otherwise(F.lit("en"))
+        )
+
+    return bound(sample, lambda t: bound(main_script(t), lambda found: of(t, found)))
 
 
 def unit_language(c: Column, video: Column) -> Column:

@@ -105,3 +105,14 @@ def test_language(spark):
     assert one(spark, G.unit_language(F.col("x"), F.lit("hi")), "kya baat hai") == "en"
     assert one(spark, G.normal_code(F.col("x")), "a.PT_br") == "pt"
     assert one(spark, G.main_script(F.col("x")), "こんにちは世界").script == "Jpan"
+
+
+def test_scripts_are_looked_for_once(spark):
+    """A text is searched once for each script, however often its counts are used."""
+    rows = spark.createDataFrame([("abc привет",), ("",), (None,), ("漢字かな x",), ("漢字",), ("é 한글 العربية",)], "t string")
+    found = rows.select(G.main_script(F.col("t")).alias("f"), G.detected(F.col("t"), F.lit("de")).alias("d"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("IsCyrillic") == 2 and plan.count("IsHan}") == 2  # one for each of the two columns
+    assert [(r.f.script, round(r.f.share, 6), r.d) for r in found.collect()] == [
+        ("Cyrl", round(6 / 9, 6), "ru"), (None, 0.0, "de"), (None, 0.0, "de"), ("Jpan", 0.8, "ja"), ("Hans", 1.0, "zh"), ("Arab", round(9 / 10, 6), "ar"),
+    ]
