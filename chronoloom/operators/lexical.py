@@ -18,6 +18,16 @@ def counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("grp", "seg", "term").agg(F.count("*").alias("tf"))
 
 
+#: Characters of the texts of a part whose words are counted in one task.
+PART = 1 << 24
+
+
+def parts_of(texts: DataFrame, text: str = "text") -> int:
+    """How many parts of about PART characters the texts make, and one for each core at least."""
+    size = texts.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+
+
 def phrase_rows(rows: DataFrame, keys: list[str], text: str = "text", most: int = 3) -> DataFrame:
     """(keys, term): the candidate phrases of ``functions.text.candidate_phrases`` as rows, repeated ones too.
 

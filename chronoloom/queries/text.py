@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import language as G
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators.lexical import phrase_rows
+from ..operators.lexical import parts_of, phrase_rows
 from ..sources.tables import SQL_DOCUMENT_CAPTIONS, document_captions, table
 from . import Registry
 
@@ -160,7 +160,9 @@ def candidate_phrases_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten commonest phrases of each document."""
     from pyspark.sql import Window
 
-    rows = phrase_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    # the texts are dealt, in parts small enough to be counted in memory; their phrases, many times as much, are not
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = phrase_rows(texts.repartition(parts_of(texts), "doc_id"), ["doc_id"])
     found = rows.groupBy("doc_id", F.col("term").alias("phrase")).agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"), "phrase"))
     return found.withColumn("rank", rank.cast("bigint")).where("rank <= 10")

@@ -116,3 +116,11 @@ def test_scripts_are_looked_for_once(spark):
     assert [(r.f.script, round(r.f.share, 6), r.d) for r in found.collect()] == [
         ("Cyrl", round(6 / 9, 6), "ru"), (None, 0.0, "de"), (None, 0.0, "de"), ("Jpan", 0.8, "ja"), ("Hans", 1.0, "zh"), ("Arab", round(9 / 10, 6), "ar"),
     ]
+
+
+def test_phrases_are_counted_where_their_text_lies(spark):
+    """Only the texts are dealt by document, and not their phrases, which are many times as much."""
+    from chronoloom.queries.text import candidate_phrases_topk
+
+    plan = candidate_phrases_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
