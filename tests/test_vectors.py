@@ -61,3 +61,16 @@ def test_similar_in_slices(spark, monkeypatch):
     monkeypatch.setattr(V, "CELLS", 64)
     for block in (1000, 7):
         assert sorted((r.query, r.row) for r in V.similar(rows.where("vec_id % 3 = 0"), rows, 0.3, block=block).collect()) == want
+
+
+def test_copies_are_dealt_in_slices(spark, monkeypatch):
+    """Vectors that are copied to all regions are dealt out some copies at a time; the components are the same."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((120, 16))
+    v[60:] = v[:60] + rng.standard_normal((60, 16)) * 0.1
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(V, "COPIES", 5)
+    found = {r.v: r.component for r in components(V.near_links(rows, 0.9, pivots=8, block=16)).collect()}
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    alone = [k for k in range(60) if m[k] @ m[k + 60] >= 0.9]
+    assert len(alone) > 40 and all(found[k] == found[k + 60] == k for k in alone)
