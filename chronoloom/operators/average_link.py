@@ -75,8 +75,9 @@ def _pairs(held: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame
 def _merged(held: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """The clusters after the merges: the second of a pair is added to the first."""
     gone = pairs.select(key, F.col("b").alias("id"))
-    added = held.join(pairs.select(key, F.col("b").alias("id"), "a"), [key, "id"]).select(key, F.col("a").alias("id"), F.col("n").alias("more"), F.col("s").alias("t"))
-    kept = held.join(gone, [key, "id"], "left_anti").join(added, [key, "id"], "left")
+    added = held.hint("merge").join(pairs.select(key, F.col("b").alias("id"), "a"), [key, "id"]).select(key, F.col("a").alias("id"), F.col("n").alias("more"), F.col("s").alias("t"))
+    # vectors are taken for short arrays by the planner, and would be sent through the driver
+    kept = held.join(gone, [key, "id"], "left_anti").join(added.hint("merge"), [key, "id"], "left")
     both = F.when(F.col("t").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y))
     return kept.select(key, "id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), both.alias("s"))
 
@@ -96,7 +97,7 @@ def merges(rows: DataFrame, key: str, vector: str, *, block: int = BLOCK) -> Dat
     alone = F.when(~F.exists("s", lambda x: x != 0), F.col("id")).alias("alone")
     held = cut(units.groupBy(key, "s", alone).agg(F.min("id").alias("id"), F.count("*").alias("n")).select(key, "id", "n", "s"))
     equal = held.where("n > 1").select(key, "s", "n", F.col("id").alias("a"))
-    copies = units.join(equal, [key, "s"]).where("id <> a").select(key, "a", F.col("id").alias("b"), F.lit(0.0).alias("height"), "n")
+    copies = units.join(equal.hint("merge"), [key, "s"]).where("id <> a").select(key, "a", F.col("id").alias("b"), F.lit(0.0).alias("height"), "n")
     schema = f"{key} {kinds[key]}, a {kinds['id']}, b {kinds['id']}, height double, n long"
     found = [cut(copies)]
     while True:
