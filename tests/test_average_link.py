@@ -57,7 +57,7 @@ def test_vectors_are_merged_where_they_lie(spark):
     """Vectors count as short arrays in the planner's estimates: sums of clusters must not be broadcast."""
     from chronoloom.operators.average_link import _merged
 
-    held = spark.createDataFrame([(0, k, 1, [float(k), 1.0]) for k in range(4)], "g int, id long, n long, s array<double>")
-    plan = _merged(held, spark.createDataFrame([(0, 0, 1, 0.1)], "g int, a long, b long, height double"), "g")
+    held = spark.range(4).selectExpr("int(id DIV 100) AS g", "id", "1L AS n", "array(double(id), 1.0D) AS s")  # of known, small size
+    plan = _merged(held, spark.range(1).selectExpr("int(id) AS g", "id AS a", "id + 1 AS b", "0.1D AS height"), "g")
     assert plan._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
     assert {(r.id, r.n, tuple(r.s)) for r in plan.collect()} == {(0, 2, (1.0, 2.0)), (2, 1, (2.0, 1.0)), (3, 1, (3.0, 1.0))}
