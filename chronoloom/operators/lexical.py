@@ -153,16 +153,17 @@ def rolled_up(candidates: DataFrame, most: int) -> DataFrame:
 
 def main_words(docs: DataFrame, most: int = 6) -> DataFrame:
     """(video_id, concept, alias): the commonest longer words of each document."""
-    words = docs.select(F.col("doc_id").alias("video_id"), F.explode(X.tokens(F.col("text"))).alias("alias")).where((F.length("alias") > 3) & ~F.col("alias").isin(L.STOPS))
+    words = docs.select(F.col("doc_id").alias("video_id"), F.explode_outer(X.tokens(F.col("text"))).alias("alias")).where((F.length("alias") > 3) & ~F.col("alias").isin(L.STOPS))
     tf = words.groupBy("video_id", "alias").agg(F.count("*").alias("tf"))
     w = Window.partitionBy("video_id").orderBy(F.desc("tf"), "alias")
     return tf.withColumn("concept", F.row_number().over(w)).where(F.col("concept") <= most).select("video_id", "concept", "alias")
 
 
-def mentions(aliases: DataFrame, lines: DataFrame) -> DataFrame:
-    """(video_id, concept, pos, start): lines that hold one of a concept's aliases, in any case."""
-    held = aliases.join(lines, "video_id").where(F.contains(F.lower("text"), "alias"))
-    return held.select("video_id", "concept", "pos", "start").distinct()
+def mentions(aliases: DataFrame, lines: DataFrame, *more: str) -> DataFrame:
+    """(video_id, concept, pos, start, more): lines that hold one of a concept's aliases, in any case. Nothing is shuffled where aliases and
+    lines are of the same texts, dealt by video."""
+    held = aliases.hint("merge").join(lines, "video_id").where(F.contains(F.lower("text"), "alias"))
+    return held.select("video_id", "concept", "pos", "start", *more).distinct()
 
 
 def cooccurrence(mentioned: DataFrame) -> DataFrame:
