@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +75,79 @@ def class_tf_idf(tf: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.col("tf") / F.col("seg_total") * F.log(1 + F.col("mean_size") / F.col("term_total")))
 
 
-def top_terms(scored: DataFrame, most: int) -> DataFrame:
-    w = Window.partitionBy("grp", "seg").orderBy(F.round("score", 9).desc(), "term")
+def top_terms(scored: DataFrame, most: int, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys, "grp", "seg").orderBy(F.round("score", 9).desc(), "term")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def max_tf_idf(tf: DataFrame) -> DataFrame:
+#: Stands in each segment that has a term: the segments that hold it are all there are.
+EVERY = "\u0000"
+
+
+@dataclass(frozen=True)
+class Dealt:
+    """Texts (part, grp, seg, text) whose terms are counted in parts, with what a part must know of the rest.
+
+    A part's terms are made in memory for each use and never shuffled. places (part, grp, term, df, total) has each term of a part once, with
+    the segments of the whole group that hold it and how often it stands in them. groups (grp, n, size): segments with a term, and all occurrences.
+    """
+
+    texts: DataFrame
+    terms: Callable[[Column], Column]
+    parts: int
+
+    def rows(self, known: DataFrame | None = None) -> DataFrame:
+        """(part, grp, seg, term, tf, told), with EVERY. With known (part, grp, term, told) those terms only, and what is told of them: it is
+        dealt together with the texts, so that it is found within a part."""
+        none = lambda c: F.lit(None).cast(self.texts.schema[c].dataType).alias(c)
+        held = self.texts.withColumns({"one": F.lit(None).cast("string"), "told": F.lit(None).cast("double")})
+        if known is not None:
+            held = held.unionByName(known.select("part", "grp", none("seg"), none("text"), F.col("term").alias("one"), F.col("told").cast("double").alias("told")))
+        held = held.repartition(self.parts, "part").select("part", "grp", "seg", "one", "told", self.terms(F.col("text")).alias("ts"))
+        each = F.when(F.col("one").isNotNull(), F.array("one")).when(F.size("ts") > 0, F.array_append("ts", F.lit(EVERY)))
+        # not a plain explode: Spark would look for empty arrays before texts are dealt, and so find all terms twice
+        each = held.select("part", "grp", "seg", "told", F.explode_outer(each).alias("term")).where("term IS NOT NULL")
+        found = each.groupBy("part", "grp", "seg", "term", F.col("told").isNotNull().alias("sent")).agg(F.count("*").alias("tf"), F.max("told").alias("told"))
+        if known is None:
+            return found.drop("sent")
+        here = found.withColumn("told", F.max("told").over(Window.partitionBy("part", "grp", "term")))
+        return here.where("NOT sent AND told IS NOT NULL").drop("sent")
+
+    @functools.cached_property
+    def places(self) -> DataFrame:
+        w = Window.partitionBy("grp", "term")  # a row of each part
+        own = self.rows().groupBy("part", "grp", "term").agg(F.when(F.col("term") == EVERY, F.count("seg")).otherwise(F.count("*")).alias("df"), F.sum("tf").alias("own"))
+        return cut(own.select("part", "grp", "term", F.sum("df").over(w).alias("df"), F.sum("own").over(w).alias("total"), "own"))
+
+    @property
+    def groups(self) -> DataFrame:
+        every = F.col("term") == EVERY
+        return self.places.groupBy("grp").agg(F.max(F.when(every, F.col("df"))).alias("n"), F.sum(F.when(~every, F.col("own"))).alias("size"))
+
+    def known(self) -> DataFrame:
+        return self.places.where(F.col("term") != EVERY).join(self.groups, "grp")
+
+
+def dealt(texts: DataFrame, terms: Callable[[Column], Column]) -> Dealt:
+    """texts (grp, seg, text) in parts; terms makes an array of a text's terms, repeated ones too. Texts of one segment are one."""
+    texts = texts.where("grp IS NOT NULL")
+    parts = 4 * parts_of(texts)
+    return Dealt(texts.select(F.pmod(F.xxhash64("grp", "seg"), F.lit(parts)).cast("int").alias("part"), "grp", "seg", "text"), terms, parts)
+
+
+def class_tf_idf_of(d: Dealt) -> DataFrame:
+    """class_tf_idf of dealt texts, with their part."""
+    told = d.rows(d.known().withColumn("told", F.log(1 + F.col("size") / F.col("n") / F.col("total"))))
+    return told.withColumn("score", F.col("tf") / F.sum("tf").over(Window.partitionBy("part", "grp", "seg")) * F.col("told"))
+
+
+def max_tf_idf(d: Dealt) -> DataFrame:
     """(grp, term, score, segments): sublinear TF-IDF of unit length in each segment, the most over segments."""
-    n = tf.select("grp", "seg").distinct().groupBy("grp").agg(F.count("*").alias("n"))
-    df = tf.groupBy("grp", "term").agg(F.count("*").alias("df"))
-    w = tf.join(df, ["grp", "term"]).join(n, "grp").where((F.col("n") <= 3) | (F.col("df") <= 0.95 * F.col("n")))
-    w = w.withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    size = w.groupBy("grp", "seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return w.join(size, ["grp", "seg"]).groupBy("grp", "term").agg(F.max(F.col("w") / F.col("size")).alias("score"), F.count("*").alias("segments"))
+    known = d.known().where((F.col("n") <= 3) | (F.col("df") <= 0.95 * F.col("n")))
+    told = d.rows(known.withColumn("told", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = told.withColumn("w", (1 + F.log("tf")) * F.col("told"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("part", "grp", "seg")))
+    return w.withColumn("size", size).groupBy("grp", "term").agg(F.max(F.col("w") / F.col("size")).alias("score"), F.count("*").alias("segments"))
 
 
 def ranked_candidates(scores: DataFrame, most: int) -> DataFrame:
