@@ -75,6 +75,16 @@ def class_tf_idf(tf: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.col("tf") / F.col("seg_total") * F.log(1 + F.col("mean_size") / F.col("term_total")))
 
 
+def class_tf_idf_within(tf: DataFrame) -> DataFrame:
+    """class_tf_idf of groups of a text's size: windows within a group, so that tf which is dealt by grp is not shuffled."""
+    seg = Window.partitionBy("grp", "seg")
+    held = tf.withColumn("term_total", F.sum("tf").over(Window.partitionBy("grp", "term")))
+    held = held.withColumn("seg_total", F.sum("tf").over(seg)).withColumn("first", (F.row_number().over(seg.orderBy("term")) == 1).cast("int"))
+    whole = Window.partitionBy("grp")
+    held = held.withColumn("mean_size", F.sum("tf").over(whole) / F.sum("first").over(whole)).drop("first")
+    return held.withColumn("score", F.col("tf") / F.col("seg_total") * F.log(1 + F.col("mean_size") / F.col("term_total")))
+
+
 def top_terms(scored: DataFrame, most: int, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys, "grp", "seg").orderBy(F.round("score", 9).desc(), "term")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -42,9 +42,10 @@ def sections(blocks: DataFrame, mode: str) -> DataFrame:
 
 def keywords(blocks: DataFrame, seg: str = "block_no", most: int = 6) -> DataFrame:
     """(grp, seg, term, score, rank): class TF-IDF of phrases of one or two words, of blocks or, with seg_no, of sections."""
-    terms = C.phrase_rows(blocks.select(F.col("video_id").alias("grp"), F.col(seg).alias("seg"), "text"), ["grp", "seg"], "text", 2).where(F.length("term") > 2)
-    counted = cut(C.counts(terms))  # read four times by the totals below; finding the phrases is the dear part
-    return C.top_terms(C.class_tf_idf(counted), most).select("grp", "seg", "term", "score", "rank")
+    texts = blocks.select(F.col("video_id").alias("grp"), F.col(seg).alias("seg"), "text").where("grp IS NOT NULL AND seg IS NOT NULL")
+    # texts are dealt by video; their phrases, many times as much, are counted where they are and not written
+    terms = C.phrase_rows(texts.repartition(C.parts_of(texts), "grp"), ["grp", "seg"], "text", 2).where(F.length("term") > 2)
+    return C.top_terms(C.class_tf_idf_within(C.counts(terms)), most).select("grp", "seg", "term", "score", "rank")
 
 
 def picks(heads: DataFrame, most: int) -> DataFrame:
@@ -108,7 +109,7 @@ def build(captions: DataFrame, mode: str = "revision") -> dict[str, DataFrame]:
     entries = T.normalized(captions)
     blocks = spread(cut(T.blocks(entries)))  # each is read several times below
     segment = cut(sections(blocks, mode))
-    placed = spread(cut(blocks.join(segment, ["video_id", "block_no"])))
+    placed = blocks.join(segment, ["video_id", "block_no"])
     words = keywords(placed, "seg_no", KEYWORDS)
     spans = placed.groupBy("video_id", "seg_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     terms = words.groupBy(F.col("grp").alias("video_id"), F.col("seg").alias("seg_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import text as X
 from chronoloom.operators import lexical as C
+from chronoloom.plans import outline
 from chronoloom.queries import concepts as Q
 
 from .conftest import SMALL
@@ -38,3 +39,14 @@ def test_dealt_as_counted(spark):
     d = C.dealt(texts, X.tokens)
     assert plain(C.class_tf_idf_of(d)) == plain(C.class_tf_idf(tf))
     assert {(r.grp, r.n, r["size"]) for r in d.groups.collect()} == {("a", 2, 5), ("b", 2, 4)}
+
+
+def test_phrases_of_videos_are_not_shuffled(spark):
+    """Keywords of blocks: texts are dealt by video, and the windows' totals are those of the joins."""
+    texts = [("a", 0, "solar panels store power"), ("a", 1, "solar panels, wind farms"), ("a", 2, ""), ("b", 0, "wind farms"), ("b", 1, None)]
+    blocks = spark.createDataFrame(texts, "video_id string, block_no int, text string")
+    found = outline.keywords(blocks)
+    assert all(e.startswith("grp#") and len(e.split(", ")) == 2 for e in exchanges(found)), exchanges(found)
+    tf = C.counts(C.phrase_rows(blocks.selectExpr("video_id AS grp", "block_no AS seg", "text"), ["grp", "seg"], "text", 2).where("length(term) > 2"))
+    plain = lambda df: sorted((r.grp, r.seg, r.term, round(r.score, 9)) for r in df.collect())
+    assert plain(found) == plain(C.top_terms(C.class_tf_idf(tf), 6))
