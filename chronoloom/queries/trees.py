@@ -21,7 +21,8 @@ _SQL_WALK = f"""{SQL_NODES}, walked AS (
 
 @registry.query(f"WITH RECURSIVE {_SQL_WALK} SELECT map_id, node_id, parent_id, type, depth, path FROM walked")
 def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.walk(nodes(spark, sf_dir)).select("map_id", "node_id", "parent_id", "type", "depth", "path")
+    kept = nodes(spark, sf_dir).select("map_id", "node_id", "parent_id", "ord", "type")
+    return T.walk(kept, written=False).select("map_id", "node_id", "parent_id", "type", "depth", "path")
 
 
 @registry.query("SELECT o_orderkey, r_name || ' > ' || n_name || ' > ' || c_name || ': ' || c_mktsegment || ' > Tip: ' || o_orderpriority AS trail FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

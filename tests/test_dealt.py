@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import text as X
 from chronoloom.operators import lexical as C
+from chronoloom.operators import tree as T
 from chronoloom.plans import outline
 from chronoloom.queries import concepts as Q
 
@@ -50,3 +51,14 @@ def test_phrases_of_videos_are_not_shuffled(spark):
     tf = C.counts(C.phrase_rows(blocks.selectExpr("video_id AS grp", "block_no AS seg", "text"), ["grp", "seg"], "text", 2).where("length(term) > 2"))
     plain = lambda df: sorted((r.grp, r.seg, r.term, round(r.score, 9)) for r in df.collect())
     assert plain(found) == plain(C.top_terms(C.class_tf_idf(tf), 6))
+
+
+def test_levels_are_of_inner_nodes(spark, monkeypatch):
+    """A leaf is written with its table, and not as a level's; repeated ids and nodes that no root reaches are as they were."""
+    rows = [("m", "r", None, 0), ("m", "a", "r", 1), ("m", "b", "r", 2), ("m", "x", "y", 0)] + [("m", f"l{k // 2}", "ab"[k % 2], k) for k in range(60)]
+    nodes = spark.createDataFrame(rows, "map_id string, node_id string, parent_id string, ord int")
+    written = []
+    monkeypatch.setattr(T, "cut", lambda df: written.append(df.count()) or df.checkpoint())
+    walked = {(r.node_id, r.depth, r.path.replace("0" * 10, "")) for r in T.walk(nodes, written=False).collect()}
+    assert walked == {("r", 0, "00")} | {("a", 1, "00/01"), ("b", 1, "00/02")} | {(f"l{k // 2}", 2, f"00/0{1 + k % 2}/{k:02d}") for k in range(60)}
+    assert sum(written) == 64 + 3 + 1 + 2 + 0
