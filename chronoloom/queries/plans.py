@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import timeline as T
+from ..operators import topics
 from ..plans import outline
 from ..sources.tables import SQL_CONVERSATION_CAPTIONS, conversation_captions, document_captions, table
 from . import Registry
@@ -48,12 +48,9 @@ def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main topic of each document. All words count; the model is topics times words, which Spark's library holds in each task."""
+    """The main topic of each document. All words and all documents count; the model, topics times words, is a table."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.filter(X.tokens(F.col("text")), lambda w: ~w.isin(L.STOPS)).alias("words"))
-    many = words.select(F.explode("words").alias("w")).distinct().count()
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(1, many)).fit(words).transform(words)
-    found = LDA(k=8, seed=42, maxIter=10).fit(counted).transform(counted).withColumn("t", vector_to_array("topicDistribution"))
-    return found.select("doc_id", (F.array_position("t", F.array_max("t")) - 1).alias("topic"))
+    return topics.dominant(words, "doc_id", "words", k=8, rounds=10)
 
 
 @registry.query()
