@@ -99,8 +99,8 @@ _GONE = "type IN ('section', 'concept') AND ord % 7 = 3"
 
 @registry.query(f"WITH RECURSIVE {SQL_NODES}, gone AS (SELECT map_id, node_id FROM nodes WHERE {_GONE} UNION SELECT n.map_id, n.node_id FROM nodes n JOIN gone g ON n.map_id = g.map_id AND n.parent_id = g.node_id) SELECT map_id, node_id, type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.map_id = n.map_id AND g.node_id = n.node_id)")
 def subtree_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    return T.without_subtrees(n, n.where(_GONE)).select("map_id", "node_id", "type")
+    kept = nodes(spark, sf_dir).withColumn("gone", F.expr(_GONE)).select("map_id", "node_id", "parent_id", "type", "gone")
+    return T.without_subtrees(kept, F.col("gone")).select("map_id", "node_id", "type")
 
 
 @registry.query(

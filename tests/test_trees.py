@@ -5,6 +5,9 @@ from chronoloom.operators import labels as B
 from chronoloom.operators import retrieval as R
 from chronoloom.operators import tree as T
 from chronoloom.operators.components import components
+from chronoloom.queries import trees as Q
+
+from .conftest import SMALL
 
 NODES = "map_id int, node_id string, parent_id string, ord long, type string, text string"
 
@@ -212,3 +215,11 @@ def test_logs_are_read_in_slices(spark, monkeypatch):
     rows = T.apply_ops(start, ops.repartition(7)).collect()
     assert {(r.map_id, r.node_id, r.ord) for r in rows if r.node_id != "r"} == {(m, f"x{k}", 39 - k) for m in range(3) for k in range(40)} and len(rows) == 123
     assert {(r.map_id, r.seq, r.part, r.type, r.id) for r in T.inverses(start, ops).collect()} == {(m, k, 0, "remove", f"x{k}") for m in range(3) for k in range(40)}
+
+
+def test_nodes_are_made_once_where_subtrees_go(spark):
+    """The rest is told from what was written: no table is read again, and marks may be a column, null where nothing is said."""
+    n = spark.createDataFrame([(1, "r", None, 0), (1, "a", "r", 3), (1, "b", "a", None), (1, "c", "b", 1), (1, "d", "r", 1), (2, "r", None, 3), (2, "a", "r", 1)], "map_id int, node_id string, parent_id string, v int")
+    assert sorted((r.map_id, r.node_id) for r in T.without_subtrees(n, F.col("v") == 3).collect()) == [(1, "d"), (1, "r"), (2, "a"), (2, "r")]
+    plan = Q.subtree_remove(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower(), plan
