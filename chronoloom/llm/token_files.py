@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, ship, slices, table
-from .packing import encoder
+from .packing import SLICE
+from .pieces import pieces
 
 MAGIC = b"IDMIX1\0\0"
 #: Ids of a block; blocks that are coded side by side.
@@ -302,7 +303,7 @@ def write(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, encode, end = TaskContext.get(), encoder(tokenizer), np.array([end_id], np.uint32)
+        task, encode = TaskContext.get(), pieces(tokenizer)
         name, out = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin", None
         held, waiting, keys, counts, total = [], 0, [], [], [0, 0, 0]
 
@@ -323,20 +324,20 @@ def write(
             total[2] += len(data)
             held, waiting, keys, counts = [ids[most:]], max(0, len(ids) - most), [keys[0][:0]], []
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             if out is None and batch.num_rows:
                 files, folder = _open(root)
                 files.create_dir(folder, recursive=True)
                 out = files.open_output_stream(f"{folder}/{name}")
                 out.write(MAGIC)
-            for k in range(batch.num_rows):
-                ids = np.concatenate([encode(batch.column(1)[k].as_py() or ""), end])
-                keys.append(batch.column(0).slice(k, 1))
-                counts.append(len(ids))
-                held.append(ids)
-                waiting += len(ids)
-                while waiting >= lanes * BLOCK:
-                    frame(lanes * BLOCK)
+            ids, each = encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(each), end_id)  # the end id behind each text's
+            keys.append(batch.column(0))
+            counts += (each + 1).tolist()
+            held.append(ids)
+            waiting += len(ids)
+            while waiting >= lanes * BLOCK:
+                frame(lanes * BLOCK)
         if out is None:
             return
         if waiting or counts:

@@ -4,11 +4,13 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import manifest, token_files, vector_codes
+from chronoloom.llm import manifest, pieces, token_files, vector_codes
 from chronoloom.llm.packing import encoder
+from chronoloom.llm.pieces import Pieces
 
 from ..conftest import SMALL
 from ..twins import check
@@ -166,6 +168,49 @@ def test_files_of_odd_rows(spark, odd, none):
     assert token_files.read(token_files.write(none)).count() == 0
 
 
+def test_pieces_against_the_library():
+    """Texts of all kinds of signs, cut and encoded together, have the ids that the library gives each alone."""
+    rng, library, own = random.Random(7), encoder("byte_bpe_50k.json"), Pieces()
+    signs = ["'", "s", "t", "re", "ve", "ll", "d", "m", "l", "e", "r", "v", " ", "  ", "\n", "\t", "\u3000", "\xa0", "\x1c", "\x85", "a", "B", "\u00e9", "\u00df", "\u0416", "\u4e2d", "9", "\u00b2", "\u2167"]
+    signs += ["!", "?", "\u20ac", "\U0001f600", "\U0001d49c", "\0", "\u0301", "<|endoftext|>", "<|", "x" * 20, " " * 20]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)] + [None, "", "'", "x'", "'r", "s", " " * 5000 + "a"]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x3000), rng.randrange(0xE000, 0x20000)])) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    rng.shuffle(texts)
+    for a in range(0, len(texts), 500):
+        ids, each = own(pa.array(texts[a : a + 500]))
+        assert each.sum() == len(ids)
+        for text, found in zip(texts[a : a + 500], np.split(ids, np.cumsum(each)[:-1]), strict=True):
+            assert found.tolist() == library(text or "").tolist(), text
+
+
+def test_pieces_are_encoded_once(monkeypatch):
+    """A table of few places, where pieces push each other out, gives the same; with room, a piece goes to the tokenizer once."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(1, 18))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(100)]
+    want = [encoder()(t).tolist() for t in texts]
+
+    def run(own):
+        ids, each = own(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(each)[:-1])] == want
+
+    own, seen, plain = Pieces(), [], encoder()
+    own.encode = lambda text: seen.append(text) or plain(text)
+    run(own)
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 10
+    monkeypatch.setattr(pieces, "SLOTS", 16)
+    monkeypatch.setattr(pieces, "POOL", 100)
+    small = Pieces()
+    run(small)
+    run(small)
+
+
+def test_long_texts_go_their_own_way(monkeypatch):
+    monkeypatch.setattr(pieces, "MOST", 50)
+    ids, each = Pieces()(pa.array(["a b", "long " * 30, None, "c" * 60, "d"]))
+    assert ids.tolist() == [k for t in ("a b", "long " * 30, "", "c" * 60, "d") for k in encoder()(t).tolist()] and each[2] == 0
+
+
 # ---- manifest
 
 
