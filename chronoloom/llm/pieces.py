@@ -3,7 +3,7 @@
 The vocabulary's pattern cuts a text into pieces: ``'s`` and its like; a run of letters, of digits or of other signs, each with the space
 before it; blanks. No id reaches over a piece's end, so a piece has the same ids wherever it stands. ``Pieces`` finds where pieces begin by comparing
 the kinds of neighbouring bytes, and looks pieces of up to 15 bytes up by their bytes in a table of SLOTS places. What is not there is
-encoded by ``packing.encoder`` and takes the place of what was. Kinds of signs beyond ASCII are asked of the tokenizer's own pattern engine.
+encoded by ``packing.encoder`` and takes the place of what was, which moves to the place beside it. Kinds of signs beyond ASCII are asked of the tokenizer's own pattern engine.
 
 Texts that hold an added token, or more than MOST bytes, go to ``packing.encoder`` whole. Memory: one slice of texts, and at most POOL ids of known pieces
 beside those of the slice.
@@ -60,9 +60,8 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.low, self.high, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of entries, one after the other
-        self.first, self.count, self.entries = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+        self.table = np.zeros((SLOTS, 3), np.uint64)  # a piece's first 8 bytes; the other 7 and its size; where its ids are
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of pieces, one after the other
 
     def begins(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and the kinds of bytes. data: UTF-8 and 16 bytes more; bounds: where texts begin, and the end."""
@@ -107,7 +106,8 @@ class Pieces:
         return np.flatnonzero(at[:n]), kind
 
     def learn(self, pieces: list[bytes], blank: np.ndarray) -> np.ndarray:
-        """New entries of these pieces. Those that are not blanks are encoded as lines of one text: a line's end cuts as a text's does."""
+        """Puts the ids of these pieces into the pool; for each, its first place there << 32 | its ids. Pieces that are not blanks are
+        encoded as lines of one text: a line's end cuts as a text's does."""
         plain = np.flatnonzero(~blank)
         ids = self.encode("".join([pieces[k].decode() + "\n" for k in plain.tolist()]))
         ends = np.flatnonzero(ids == self.line)
@@ -123,13 +123,10 @@ class Pieces:
             at += len(parts[-1])
         while self.used + at > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        while self.entries + len(pieces) > len(self.first):
-            self.first, self.count = (np.append(x, np.zeros_like(x)) for x in (self.first, self.count))
         self.pool[self.used : self.used + at] = np.concatenate(parts)
-        new = np.arange(self.entries, self.entries + len(pieces))
-        self.first[new], self.count[new] = first + self.used, count
-        self.used, self.entries = self.used + at, self.entries + len(pieces)
-        return new
+        first += self.used
+        self.used += at
+        return (first << 32 | count).astype(np.uint64)
 
     def many(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = int(bounds[-1])
@@ -146,8 +143,9 @@ class Pieces:
         mixed = (low ^ high * _M1) * _M2
         mixed ^= mixed >> np.uint64(32)
         slot = ((mixed * _M1) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        entry = self.entry.take(slot)
-        known = (self.low.take(slot) == low) & (self.high.take(slot) == high)
+        found = self.table.take(slot, axis=0)
+        known = (found[:, 0] == low) & (found[:, 1] == high)
+        held = found[:, 2].copy()
         known[size > KEYED] = False
         raw, blank = data.tobytes(), kind[ends - 1] == BLANK
 
@@ -155,24 +153,31 @@ class Pieces:
             return [raw[a:b] for a, b in zip(at[own].tolist(), ends[own].tolist(), strict=True)]
 
         todo = np.flatnonzero(~known & (size <= KEYED))
+        found = self.table[slot[todo] ^ 1]
+        done = (found[:, 0] == low[todo]) & (found[:, 1] == high[todo])
+        held[todo[done]] = found[done, 2]
+        todo = todo[~done]
         while len(todo):
             where = slot[todo]
             places, k = np.unique(where, return_index=True)
             new = todo[k]
-            self.entry[places] = self.learn(texts(new), blank[new])
-            self.low[places], self.high[places] = low[new], high[new]
-            done = (self.low[where] == low[todo]) & (self.high[where] == high[todo])
-            entry[todo[done]] = self.entry[where[done]]
+            full = places[self.table[places, 1] > 0]
+            self.table[full ^ 1] = self.table[full]
+            self.table[places] = np.column_stack([low[new], high[new], self.learn(texts(new), blank[new])])
+            found = self.table[where]
+            done = (found[:, 0] == low[todo]) & (found[:, 1] == high[todo])
+            held[todo[done]] = found[done, 2]
             todo = todo[~done]
         long = np.flatnonzero(size > KEYED)
         if len(long):
             ranks: dict[bytes, int] = {}
             own = np.array([ranks.setdefault(p, len(ranks)) for p in texts(long)])
             k = np.unique(own, return_index=True)[1]
-            entry[long] = self.learn(list(ranks), blank[long[k]])[own]
-        count = self.count.take(entry)
+            held[long] = self.learn(list(ranks), blank[long[k]])[own]
+        held = held.astype(np.int64)
+        count = held & 0xFFFFFFFF
         ahead = np.append(0, np.cumsum(count))
-        ids = self.pool.take(np.repeat(self.first.take(entry) - ahead[:-1], count) + np.arange(ahead[-1]))
+        ids = self.pool.take(np.repeat((held >> 32) - ahead[:-1], count) + np.arange(ahead[-1]))
         return ids, np.diff(ahead[np.searchsorted(at, bounds)])
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:

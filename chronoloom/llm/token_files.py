@@ -56,65 +56,79 @@ class Mixture:
     def __init__(self, sizes: np.ndarray):
         lanes = len(sizes)
         self.sizes, self.place = sizes, (np.cumsum(sizes) - sizes).astype(np.int64)
-        self.lane_of = np.repeat(np.arange(lanes, dtype=np.int64), sizes)
-        self.within = np.arange(len(self.lane_of)) - self.place[self.lane_of]
-        self.seen = np.zeros(len(self.lane_of), np.int64)
-        self.order1, self.order2 = np.zeros(len(self.lane_of), np.uint16), np.zeros(lanes * SLOTS, np.uint16)  # id << 2 | confidence
+        self.within = (np.arange(int(sizes.sum())) - np.repeat(self.place, sizes)).astype(np.int32)
+        self.raw = np.ones(len(self.within), np.int64)
+        self.order1, self.order2 = np.zeros(len(self.within), np.uint16), np.zeros(lanes * SLOTS, np.uint16)  # id << 2 | confidence
         self.lanes = np.arange(lanes, dtype=np.int64)
         self.pairs, self.slots2 = self.lanes << 5, self.lanes * SLOTS
         self.weights = np.tile(START, lanes)
 
     def rebuild(self, since: np.ndarray) -> None:
-        """Order 0 anew, with the ids (steps x lanes) that have come since: cumulative shares out of 2^BITS0, each id with one at least."""
+        """Order 0 anew, with the ids (steps x lanes) that have come since: cumulative shares out of 2^BITS0, each id with one at least.
+        An id's first << 16 | share is one number, as both are looked up together."""
         if len(since):
-            self.seen += np.bincount((since + self.place).ravel(), minlength=len(self.seen))
-        raw = 1 + WEIGHT * self.seen
-        ahead = np.cumsum(raw)
-        total = np.diff(ahead[self.place + self.sizes - 1], prepend=0)[self.lane_of]
-        ahead -= raw
-        ahead -= ahead[self.place][self.lane_of]
-        room = ((1 << BITS0) - self.sizes)[self.lane_of]
-        first = self.within + (ahead * room / total).astype(np.int64)  # exact: below 2^53, and a quotient short of an integer stays short
-        self.first = first.astype(np.int32)
-        ends = np.append((self.lane_of << BITS0) + first, len(self.sizes) << BITS0)
-        self.share = np.diff(ends).astype(np.int32)
+            self.raw += WEIGHT * np.bincount((since + self.place).ravel(), minlength=len(self.raw))
+        ahead = np.cumsum(self.raw)
+        ends = ahead[self.place + self.sizes - 1]
+        base = np.append(0, ends[:-1])
+        ahead -= self.raw
+        ahead -= np.repeat(base, self.sizes)
+        ahead *= np.repeat((1 << BITS0) - self.sizes, self.sizes)
+        # exact: below 2^53, and a quotient short of an integer stays short
+        first = (ahead / np.repeat((ends - base).astype(np.float64), self.sizes)).astype(np.int32)
+        first += self.within
+        share = np.empty_like(first)
+        np.subtract(first[1:], first[:-1], out=share[:-1])
+        last = self.place + self.sizes - 1
+        share[last] = (1 << BITS0) - first[last]
+        self.share = share
+        self.order0 = first << 16 | share
 
     def inverse(self) -> np.ndarray:
         return np.repeat(self.within.astype(np.uint16), self.share)
 
     def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
         """Ids of order 1 and 2, and the shares of order 2, order 1 (another id) and order 0 out of 2^BITS."""
-        self.e1, self.e2 = self.order1.take(at1), self.order2.take(at2)
-        self.id1, self.id2, self.n1, self.n2 = self.e1 >> 2, self.e2 >> 2, self.e1 & 3, self.e2 & 3
-        self.context = self.pairs + (((self.n2 << 2 | self.n1) << 1) + (self.id1 == self.id2))
+        e1, e2 = self.order1.take(at1), self.order2.take(at2)
+        self.id1, self.id2, self.n1, self.n2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
+        self.context = self.pairs + (self.n2 * EIGHT + self.n1 * TWO + (self.id1 == self.id2))
         self.w = self.weights.take(self.context)
         self.share2 = (self.w >> 18) + 1
         self.share1 = ((self.w & FIELD) >> 3) + 1
         self.both = self.share2 + self.share1
-        self.share0 = (1 << BITS) - self.both
-
-    def interval(self, hit2: np.ndarray, one: np.ndarray, start0: np.ndarray, size0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size in the mixture. hit2: it is order 2's id; one: order 1's, which is another."""
-        known = hit2 | one
-        share = np.where(hit2, self.share2, np.where(one, self.share1, self.share0))
-        base = np.where(hit2, 0, np.where(one, self.share2, self.both))
-        start = (base << BITS0) + share * np.where(known, 0, start0)
-        return start.astype(np.uint64), (share * np.where(known, 1 << BITS0, size0)).astype(np.uint64)
-
-    def learn(self, at1: np.ndarray, at2: np.ndarray, fresh: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, one: np.ndarray) -> None:
-        """fresh: the ids << 2 | 1."""
+
+    def interval(self, two: np.ndarray, one: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in the mixture. two: 1 where it is order 2's id; one: where it is order 1's, which is another; first: its place in order 0."""
+        none = 1 - two
+        none -= one
+        share = self.share2 * two
+        share += self.share1 * one
+        share += ((1 << BITS) - self.both) * none
+        base = self.share2 * one
+        base += self.both * none
+        base <<= BITS0
+        base += share * ((first >> 16) * none)
+        size = (first & 0xFFFF) - (1 << BITS0)
+        size *= none
+        size += 1 << BITS0
+        size *= share
+        return base.astype(np.uint64), size.astype(np.uint64)
+
+    def learn(self, at1: np.ndarray, at2: np.ndarray, fresh: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        """fresh: the ids << 2 | 1. A confidence is 1 where the id is new, and grows to 3 where it is not."""
         w = self.w - ((self.w >> RATE) & (FIELD >> RATE) * ((1 << 15) + 1))
-        w += hit2 * np.int32(STEP << 15)
+        w += two * np.int32(STEP << 15)
         w += one * np.int32(STEP)
         self.weights[self.context] = w
-        self.order1[at1] = np.where(hit1, self.e1 + (self.n1 < 3), fresh)
-        self.order2[at2] = np.where(hit2, self.e2 + (self.n2 < 3), fresh)
+        self.order1[at1] = fresh + np.minimum(self.n1, TWO) * hit1
+        self.order2[at2] = fresh + np.minimum(self.n2, TWO) * hit2
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the tables of order 1 and order 2 hold what came after these ids."""
         return self.place + last, self.slots2 + ((last * 23 + before * 577) & (SLOTS - 1))
 
 
+TWO, EIGHT = np.uint16(2), np.uint16(8)
 SHIFT = np.uint64(BITS + BITS0)
 HALF, LOW = np.uint64(32), np.uint64(1 << 32)
 
@@ -140,14 +154,13 @@ def encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             if (k := (step - a) % AHEAD) == 0:
                 end = min(step + AHEAD, b)
                 own = ids[step:end]
-                at0 = model.place + own
-                start0, size0 = model.first.take(at0), model.share.take(at0)
+                first = model.order0.take(model.place + own)
                 at1, at2 = model.slots(shifted[step + 1 : end + 1], shifted[step:end])
                 fresh, own16 = ((own << 2) | 1).astype(np.uint16), own.astype(np.uint16)
             model.predict(at1[k], at2[k])
             hit2, hit1 = own16[k] == model.id2, own16[k] == model.id1
-            one = hit1 > hit2
-            start, size = model.interval(hit2, one, start0[k], size0[k])
+            two, one = hit2.astype(np.int32), (hit1 > hit2).astype(np.int32)
+            start, size = model.interval(two, one, first[k])
             width >>= SHIFT
             start *= width
             low += start
@@ -167,7 +180,7 @@ def encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
                 used[out] += 1
                 low[out] = tops << HALF
                 width[out] <<= HALF
-            model.learn(at1[k], at2[k], fresh[k], hit2, hit1, one)
+            model.learn(at1[k], at2[k], fresh[k], hit2, hit1, two, one)
     lane = np.arange(lanes)
     for part in (low >> HALF, low & np.uint64(0xFFFFFFFF)):
         words[lane, used] = part
@@ -196,13 +209,14 @@ def decode_lanes(coded: list[bytes], steps: int, sizes: np.ndarray) -> np.ndarra
             width >>= SHIFT
             value = np.minimum(code // width, np.uint64((1 << (BITS + BITS0)) - 1)).astype(np.int32)
             top = value >> BITS0
-            hit2 = top < model.share2
-            one = (top < model.both) > hit2
-            within = (np.maximum(value - (model.both << BITS0), 0) / model.share0).astype(np.int32)
+            hit2, known = top < model.share2, top < model.both
+            two, one = hit2.astype(np.int32), (known > hit2).astype(np.int32)
+            within = (np.maximum(value - (model.both << BITS0), 0) / ((1 << BITS) - model.both)).astype(np.int32)
             own0 = inverse.take(corner + within)
-            at0 = model.place + own0
-            start, size = model.interval(hit2, one, model.first.take(at0), model.share.take(at0))
-            own = np.where(hit2, model.id2, np.where(one, model.id1, own0))
+            start, size = model.interval(two, one, model.order0.take(model.place + own0))
+            own = own0 * ~known
+            own += model.id1 * (known > hit2)
+            own += model.id2 * hit2
             code -= width * start
             width *= size
             more = np.flatnonzero(width < LOW)
@@ -211,7 +225,7 @@ def decode_lanes(coded: list[bytes], steps: int, sizes: np.ndarray) -> np.ndarra
                 width[more] <<= HALF
                 at[more] += 1
             ids[k + 2] = own
-            model.learn(at1, at2, (own << 2) | 1, hit2, own == model.id1, one)  # 16 bits all along
+            model.learn(at1, at2, (own << 2) | 1, hit2, own == model.id1, two, one)  # 16 bits all along
     return ids[2:]
 
 
