@@ -91,10 +91,12 @@ def seconds_of(c: Column) -> Column:
 
 
 def distinct_in_order(c: Column) -> Column:
-    """The first of equal items (by trimmed lower case); blank ones go."""
+    """The first of equal items (by trimmed lower case); blank ones go. Items are sorted, so the work is that of a sort, not of all pairs."""
     held = F.filter(c, lambda x: F.trim(x) != "")
-    keys = F.transform(held, lambda x: F.lower(F.trim(x)))
-    return F.filter(held, lambda x, i: F.array_position(keys, F.lower(F.trim(x))) == i + 1)
+    placed = F.sort_array(F.transform(held, lambda x, i: F.struct(F.lower(F.trim(x)).alias("key"), i.alias("i"), x.alias("x"))))
+    # an array of one, whose item has a name in the lambda: an expression that is looked into there would be made anew for every item
+    first = F.get(F.transform(F.array(placed), lambda s: F.filter(s, lambda y, k: (k == 0) | (y["key"] != F.get(s, k - 1)["key"]))), F.lit(0))
+    return F.transform(F.sort_array(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
 
 
 def normal(c: Column) -> Column:

@@ -124,3 +124,19 @@ def test_phrases_are_counted_where_their_text_lies(spark):
 
     plan = candidate_phrases_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_distinct_in_order_of_a_long_text(spark):
+    """A text of 40,000 items: a sort's work is done in seconds, that of all pairs is not."""
+    import time
+
+    items = [f"{'W' if k % 3 else 'w'}{k * 7919 % 15000}{' ' * (k % 2)}" for k in range(40_000)] + ["", " "]
+    kept = {}
+    for x in items:
+        if x.strip():
+            kept.setdefault(x.strip().lower(), x)
+    began = time.time()
+    assert one(spark, X.distinct_in_order(F.col("x")), items, "array<string>") == list(kept.values())
+    assert time.time() - began < 20
+    assert one(spark, X.distinct_in_order(F.col("x")), ["b", None, "A", "B ", "a", "c"], "array<string>") == ["b", "A", "c"]
+    assert one(spark, X.distinct_in_order(F.col("x")), None, "array<string>") is None
