@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, tidy
 
 #: Rounds after which what earlier rounds left on disk is let go.
 TIDY = 2
@@ -45,7 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(_small_star(_large_star(now)))
         rounds += 1
         if rounds % TIDY == 0:
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # shuffles that nothing refers to are removed only when the driver collects its garbage
+            tidy(spark)
     stars = now.select(F.col("a").alias("v"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("v"), "component").distinct())

@@ -74,3 +74,27 @@ def test_copies_are_dealt_in_slices(spark, monkeypatch):
     m = v / np.linalg.norm(v, axis=1, keepdims=True)
     alone = [k for k in range(60) if m[k] @ m[k + 60] >= 0.9]
     assert len(alone) > 40 and all(found[k] == found[k + 60] == k for k in alone)
+
+
+def test_copies_are_bounded(spark, monkeypatch):
+    """However many blocks there are, no more than some copies of each vector are dealt out at once; the components are those of all pairs."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal((100, 12)), rng.standard_normal(12) + rng.standard_normal((60, 12)) * 0.05])
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").cache()
+    dealt, as_before = [], type(rows).repartition
+
+    def counted(self, *how):
+        dealt.append(self.count())
+        return as_before(self, *how)
+
+    monkeypatch.setattr(type(rows), "repartition", counted)
+    links = V.near_links(rows, 0.9, pivots=2, block=20)
+    assert dealt and max(dealt) <= 2 * len(v) + 40
+    monkeypatch.undo()
+    found = {r.v: r.component for r in components(links).collect()}
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = list(range(len(v)))
+    for a, b in np.argwhere(m @ m.T >= 0.9).tolist():
+        x, y = sorted((label[a], label[b]))
+        label = [x if c == y else c for c in label]
+    assert found == {k: c for k, c in enumerate(label) if label.count(c) > 1} and links.count() < 3 * len(v)
