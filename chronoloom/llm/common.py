@@ -7,10 +7,10 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut, shared_dir
+from ..session import cut, shared_dir, tidy
 from ..session import ship as ship_code
 
-__all__ = ["byte_table", "cut", "mix64", "shared_dir", "ship", "slices", "table", "text_buffer", "written"]
+__all__ = ["byte_table", "cut", "mix64", "shared_dir", "ship", "slices", "table", "text_buffer", "tidy", "written"]
 
 
 #: Rows of a batch that goes to Python: texts make rows large.

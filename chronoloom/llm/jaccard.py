@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, ship, slices, table, text_buffer, written
+from .common import cut, mix64, ship, slices, table, text_buffer, tidy, written
 from ..operators.components import components
 from .shingles import shingle_sets
 
@@ -182,19 +182,20 @@ def _digests(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
 
 
-def _points(texts: DataFrame, size: int) -> DataFrame:
-    """(key, n, a, b) of every text. a, b: a digest of the set."""
-    kind = texts.schema["key"].dataType.simpleString()
+def _points(texts: DataFrame, size: int, percent: int = 80) -> DataFrame:
+    """(key, n, m, a, b) of every text. m: shingles in the range that is counted for that percentage. a, b: a digest of the set."""
+    kind, below = texts.schema["key"].dataType.simpleString(), np.uint64(_range_of(percent))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, 1):
             sets = shingle_sets(*text_buffer(batch.column(1)), size)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _digests(sets))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "a", "b"])
+            n, m = [len(s) for s in sets], [int(np.searchsorted(s, below)) for s in sets]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), *map(pa.array, _digests(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "m", "a", "b"])
 
-    return texts.mapInArrow(run, f"key {kind}, n long, a long, b long")
+    return texts.mapInArrow(run, f"key {kind}, n long, m long, a long, b long")
 
 
 def _range_of(percent: int) -> int:
@@ -203,21 +204,73 @@ def _range_of(percent: int) -> int:
     return min((1 << 64) - 1, (1 << 64) * 3 * (100 - percent) // 200)
 
 
-def _sampled(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(shingle, a) of the shingles in the range, and the first half of their set's digest."""
-    below = np.uint64(_range_of(percent))
+#: Counted shingles that a task packs at a time, and that a part has; the bytes of each that are kept.
+PACKED, KEPT = 1 << 20, 5
 
-    def run(batches):
+
+def _sampled(texts: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """(part, shingles, owners): the shingles in the range by parts of it, KEPT bytes of each, and the first half of their set's digest.
+
+    Two shingles that agree in a part and these bytes count as one, which makes points pass for less alone than they are, never for more.
+    """
+    below = _range_of(percent)
+
+    def packed(sets, owners):
         import pyarrow as pa
 
+        flat, owner = np.concatenate(sets), np.repeat(np.array(owners, np.int64), [len(s) for s in sets])
+        part = np.minimum((flat >> np.uint64(32)) * np.uint64(parts) // np.uint64((below >> 32) + 1), np.uint64(parts - 1)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        flat, owner, part = flat[order], owner[order], part[order]
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        low = np.ascontiguousarray(flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT])
+        spans = list(zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True))
+        columns = [pa.array(part[heads[:-1]]), pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in spans], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "shingles", "owners"])
+
+    def run(batches):
+        held, owners, waiting, seen = [], [], 0, set()
         for batch in slices(batches, 0):
             sets = [s for s in shingle_sets(*text_buffer(batch.column(0)), size) if len(s)]
-            counts = [int(np.searchsorted(s, below)) for s in sets]
-            flat = np.concatenate([*(s[:k] for s, k in zip(sets, counts, strict=True)), np.zeros(0, np.uint64)])
-            a = np.repeat(_digests(sets)[0], counts) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(a)], names=["shingle", "a"])
+            if not sets:
+                continue
+            for s, a, b in zip(sets, *(d.tolist() for d in _digests(sets)), strict=True):
+                if (a, b) not in seen and (own := s[: np.searchsorted(s, np.uint64(below))]).size:
+                    seen.add((a, b))  # copies are one point
+                    held.append(own.copy())
+                    owners.append(a)
+                    waiting += len(own)
+            if waiting >= PACKED:
+                yield packed(held, owners)
+                held, owners, waiting, seen = [], [], 0, set()
+        if held:
+            yield packed(held, owners)
+
+    return texts.select("text").mapInArrow(run, "part int, shingles binary, owners binary")
+
+
+def _shared(sampled: DataFrame) -> DataFrame:
+    """(a, shared): how many of a set's counted shingles stand in another set too. Those that stand in one set alone, which are most, are not told."""
+
+    def run(own):
+        import pyarrow as pa
+
+        low = np.frombuffer(b"".join(own.column("shingles").to_pylist()), np.uint8).reshape(-1, KEPT)
+        owner = np.frombuffer(b"".join(own.column("owners").to_pylist()), np.int64)
+        value = np.zeros(len(low), np.uint64)
+        for k in range(KEPT):
+            value |= low[:, k].astype(np.uint64) << np.uint64(8 * k)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        apart = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+        told = np.repeat(apart, np.diff(np.concatenate([heads, [len(value)]])))
+        # a set that came from several tasks counts once for a shingle
+        both = np.unique(np.stack([owner[told], value[told].view(np.int64)], axis=1), axis=0) if told.any() else np.zeros((0, 2), np.int64)
+        names, n = np.unique(both[:, 0], return_counts=True)
+        return pa.table({"a": pa.array(names, pa.int64()), "shared": pa.array(n, pa.int64())})
 
-    return texts.select("text").mapInArrow(run, "shingle long, a long")
+    return sampled.groupBy("part").applyInArrow(run, "a long, shared long").groupBy("a").agg(F.sum("shared").alias("shared"))
 
 
 def _not_isolated(texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -225,10 +278,11 @@ def _not_isolated(texts: DataFrame, rows: DataFrame, size: int, percent: int) ->
 
     Two points could pass for one here only if the halves of their digests agreed; that matters if they are linked besides.
     """
-    alone = _sampled(texts, size, percent).groupBy("shingle").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a = last")
-    alone = alone.groupBy("a").agg(F.count("*").alias("alone"))
-    points = rows.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.min("key").alias("key"))
-    some = points.join(alone, "a", "left").where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n"))
+    counted = rows.agg(F.sum("m")).first()[0] or 0
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-counted // (4 * PACKED)))
+    shared = _shared(_sampled(texts, size, percent, parts).repartition(parts, "part"))
+    points = rows.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("key").alias("key"))
+    some = points.join(shared, "a", "left").where(100 * (F.col("m") - F.coalesce("shared", F.lit(0))) <= (100 - percent) * F.col("n"))
     return cut(some.select(F.monotonically_increasing_id().alias("point"), "key", "a", "b"))
 
 
@@ -466,10 +520,13 @@ def near_copies(
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = cut(_points(texts, size))
+    rows = cut(_points(texts, size, percent))
     some = _not_isolated(texts, rows, size, percent)
+    tidy(spark)  # the counted shingles are the most that is shuffled; they go before the next step has its own
     sets = _sets(texts, some, size)
+    tidy(spark)
     regions = cut(clusters(sets, percent))
+    tidy(spark)
     regions = F.broadcast(regions) if regions.count() <= SMALL else regions
     members = sets.join(regions, "point").select("region", "point", "set")
     classes = components(region_links(members, percent=percent, points=points, pivots=pivots, rounds=rounds))

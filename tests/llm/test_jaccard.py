@@ -158,3 +158,30 @@ def test_short_texts_are_one_shingle():
     text = "ab cd".encode()
     (s,) = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
     assert len(s) == 1
+
+
+def test_only_shared_shingles_are_told(spark, monkeypatch):
+    """Points that may have links are those that a count over all texts gives; nothing is told of a shingle that stands in one text alone."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lone = [[word() for _ in range(rng.randint(1, 60))] for _ in range(80)]
+    near = [[*w[:-1], word()] for w in lone[:12]]
+    texts = [" ".join(w) for w in lone + near] + [" ".join(lone[3])] * 5 + ["", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "PACKED", 50)
+    sampled = jaccard._sampled(table, 3, 80, 7)
+    told = {r.a: r.shared for r in jaccard._shared(sampled).collect()}
+    sets = {}
+    for t in texts:
+        if t:
+            b = t.encode()
+            s = shingle_sets(np.frombuffer(b, np.uint8), np.array([0, len(b)]), 3)[0]
+            sets[s.tobytes()] = s[s < np.uint64(jaccard._range_of(80))].tolist(), len(s), int(jaccard._digests([s])[0][0])
+    holds = {}
+    for own, _, a in sets.values():
+        for x in own:
+            holds.setdefault(x, set()).add(a)
+    want = {a: sum(len(holds[x]) > 1 for x in own) for own, _, a in sets.values()}
+    assert told == {a: n for a, n in want.items() if n} and len(told) < 40
+    some = {r.a for r in jaccard._not_isolated(table, jaccard._points(table, 3, 80), 3, 80).collect()}
+    assert some == {a for own, n, a in sets.values() if 100 * (len(own) - want[a]) <= 20 * n}
