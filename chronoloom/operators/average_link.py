@@ -1,9 +1,10 @@
 """Average-link clusters of a key's vectors by cosine distance, exact for any number of them.
 
 The mean distance between two clusters of unit vectors is one less the product of their mean vectors, so a cluster is a sum and a count and
-no matrix of distances is kept. Average link never brings a third cluster nearer by a merge, so all pairs that are each other's nearest can be merged at
+no matrix of distances is kept: a task holds CELLS of them. Average link never brings a third cluster nearer by a merge, so all pairs that are each other's nearest can be merged at
 once, in rounds, and give the same tree as one merge at a time. Every two blocks of a key's clusters meet in a task, which gives each
-cluster's nearest one, not the pairs; keys of a block or less are merged to the end in one task. The work is that of all pairs of a key in the
+cluster's nearest one, not the pairs; keys of a block or less are merged to the end in one task, which looks again only for the nearest ones of clusters that
+were merged or whose nearest one was. The work is that of all pairs of a key in the
 first round, and falls with the clusters that are left; vectors in a line, each nearer to the next than the last one, take a round for each merge.
 Equal vectors are merged before the first round.
 """
@@ -16,18 +17,39 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, tidy
 from .components import components
+from .vectors import _rows
 
-#: Clusters of a key that a task merges to the end, and clusters of a block.
-BLOCK = 1024
+#: Clusters of a key that a task merges to the end, and clusters of a block; distances that a task holds at a time.
+BLOCK, CELLS = 1 << 14, 1 << 20
 #: Digits of a distance; beyond them the least ids decide.
 DIGITS = 12
 
 
 def _means(part) -> np.ndarray:
-    s = np.array(part.column("s").to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
-    return s / part.column("n").to_numpy()[:, None]
+    return _rows(part.column("s")) / part.column("n").to_numpy()[:, None]
+
+
+def _nearest(mean: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of rows the place of its nearest other one in columns, the first of equal ones, and how far it is; the same for each of
+    columns among rows, of the same distances, which are made in slices of CELLS. rows and columns ascend."""
+    at, low = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+    back, back_low = np.zeros(len(columns), np.int64), np.full(len(columns), np.inf)
+    others, step = np.ascontiguousarray(mean[columns].T), max(1, CELLS // max(1, len(columns)))
+    for a in range(0, len(rows), step):
+        own = rows[a : a + step]
+        d = np.round(1 - mean[own] @ others, DIGITS)
+        self_at = np.searchsorted(columns, own)
+        here = np.flatnonzero((self_at < len(columns)) & (columns[np.minimum(self_at, len(columns) - 1)] == own))
+        d[here, self_at[here]] = np.inf
+        best = d.argmin(axis=1)
+        at[a : a + step], low[a : a + step] = columns[best], d[np.arange(len(own)), best]
+        best = d.argmin(axis=0)
+        far = d[best, np.arange(len(columns))]
+        less = far < back_low
+        back[less], back_low[less] = own[best[less]], far[less]
+    return at, low, back, back_low
 
 
 def _pairs(held: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
@@ -49,17 +71,15 @@ def _pairs(held: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame
         right = left if within else np.flatnonzero(mine != part.column("i")[0].as_py())
         froms, tos, far = [], [], []
         if len(left) and len(right):
-            d = np.round(1 - mean[left] @ mean[right].T, DIGITS)
-            if within:
-                d = np.minimum(d, d.T)
-                np.fill_diagonal(d, np.inf)
-            for rows, columns, m in ((left, right, d),) if within else ((left, right, d), (right, left, d.T)):
-                at = m.argmin(axis=1)  # the first of equal ones is the least id
-                low = m[np.arange(len(rows)), at]
-                ok = np.isfinite(low)
+            at, low, back, back_low = _nearest(mean, left, right)
+            sides = ((left, at, low), (right, back, back_low))
+            if within:  # a distance may differ in its last digit from itself the other way
+                sides = ((left, np.where(low < back_low, at, np.where(low > back_low, back, np.minimum(at, back))), np.minimum(low, back_low)),)
+            for rows, places, lows in sides:
+                ok = np.isfinite(lows)
                 froms.append(rows[ok])
-                tos.append(columns[at[ok]])
-                far.append(low[ok])
+                tos.append(places[ok])
+                far.append(lows[ok])
         froms, tos, far = (np.concatenate(x) if x else np.zeros(0) for x in (froms, tos, far))
         ids, take = part.column("id").combine_chunks(), lambda x: pa.array(x.astype(np.int64))
         keys = part.column(key).combine_chunks()
@@ -107,28 +127,35 @@ def merges(rows: DataFrame, key: str, vector: str, *, block: int = BLOCK) -> Dat
         big = held.join(sizes.select(key), key, "left_semi")
         pairs = cut(_pairs(big, sizes, key, block))
         held = cut(_merged(held, pairs, key))
-        found.append(pairs.join(held.select(key, F.col("id").alias("a"), "n"), [key, "a"]).select(key, "a", "b", "height", "n"))
+        found.append(cut(pairs.join(held.select(key, F.col("id").alias("a"), "n"), [key, "a"]).select(key, "a", "b", "height", "n")))
+        tidy(held.sparkSession)
 
     def finish(part):
         import pyarrow as pa
 
         part = part.sort_by("id")
         ids, n, out = part.column("id").to_pylist(), part.column("n").to_numpy().astype(np.float64), []
-        s = np.array(part.column("s").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        while len(ids) > 1:
-            mean = s / n[:, None]
-            d = np.round(1 - mean @ mean.T, DIGITS)
-            d = np.minimum(d, d.T)
-            np.fill_diagonal(d, np.inf)
-            near = d.argmin(axis=1)
-            first = np.flatnonzero((near[near] == np.arange(len(ids))) & (np.arange(len(ids)) < near))
-            for a in first.tolist():
-                b = int(near[a])
-                n[a] += n[b]
-                s[a] += s[b]
-                out.append((ids[a], ids[b], float(d[a, b]), int(n[a])))
-            stay = np.setdiff1d(np.arange(len(ids)), near[first])
-            ids, n, s = [ids[k] for k in stay.tolist()], n[stay], s[stay]
+        s = _rows(part.column("s"))
+        mean, alive = s / n[:, None], np.arange(len(ids))
+        near, far = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        stale = alive
+        while len(alive) > 1:
+            # a merge brings no third cluster nearer, so the nearest one of the others stands
+            near[stale], far[stale], *_ = _nearest(mean, stale, alive)
+            first = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+            if not len(first):  # last digits that differ each way can leave no such pair
+                a = alive[far[alive].argmin()]
+                first = np.array([min(a, near[a])])
+                far[first], near[first] = far[a], max(a, near[a])
+            gone = near[first]
+            n[first] += n[gone]
+            s[first] += s[gone]
+            mean[first] = s[first] / n[first, None]
+            out += [(ids[a], ids[b], h, int(m)) for a, b, h, m in zip(first.tolist(), gone.tolist(), far[first].tolist(), n[first].tolist(), strict=True)]
+            changed = np.zeros(len(ids), bool)
+            changed[first] = changed[gone] = True
+            alive = np.setdiff1d(alive, gone)
+            stale = alive[changed[alive] | changed[near[alive]]]
         kind, own = part.schema.field("id").type, part.column(key).combine_chunks()
         columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((kind, kind, pa.float64(), pa.int64()))]
         return pa.table(dict(zip((key, "a", "b", "height", "n"), [own.slice(0, len(out)), *columns], strict=True)))

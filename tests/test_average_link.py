@@ -61,3 +61,19 @@ def test_vectors_are_merged_where_they_lie(spark):
     plan = _merged(held, spark.range(1).selectExpr("int(id) AS g", "id AS a", "id + 1 AS b", "0.1D AS height"), "g")
     assert plan._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
     assert {(r.id, r.n, tuple(r.s)) for r in plan.collect()} == {(0, 2, (1.0, 2.0)), (2, 1, (2.0, 1.0)), (3, 1, (3.0, 1.0))}
+
+
+def test_a_task_holds_slices_of_distances(spark, monkeypatch):
+    """However few distances a task holds at a time, merges are those of one at a time; a key of thousands needs no round over tasks."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((40, 5))
+    rows = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "key int, id long, v array<double>")
+    monkeypatch.setattr(A, "CELLS", 50)
+    for block in (1024, 12):
+        assert found(A.themes(rows, "key", "v", block=block).collect()) == one_by_one(v, 5)
+    monkeypatch.undo()
+    rounds, pairs_of = [], A._pairs
+    monkeypatch.setattr(A, "_pairs", lambda *how: rounds.append(1) or pairs_of(*how))
+    many = rng.standard_normal((3000, 8))
+    rows = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(many)], "key int, id long, v array<double>")
+    assert A.merges(rows, "key", "v").count() == 2999 and not rounds
