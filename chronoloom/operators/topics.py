@@ -3,21 +3,25 @@
 Texts are packed where they lie in tiles of about TILE words: a tile holds its texts' counts and names each of its words once. The model is
 a table (term, v0, v1, ..). In a round a word's numbers are sent to the tiles that use it, a tile goes on from its texts' shares of the
 topics for INNER steps, and what its texts give each word is summed by word. Only the topics' totals, a number each, pass through the
-driver. The words alone decide where the rounds begin, so topics don't depend on where rows lie.
+driver. A round goes in passes of some tiles, which send SENT words or about as many; what a pass has written and shuffled is let go before the next,
+so the disk holds the model, and not what all tiles use of it in all rounds. The words alone decide where the rounds begin, so topics don't depend on where rows lie.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir, ship
+from ..session import cut, shared_dir, ship, tidy
 
 #: Words of a tile; counts that are worked on at a time.
 TILE, SLICE = 1 << 22, 1 << 16
+#: Words of tiles that a pass sends, each once in a tile.
+SENT = 1 << 24
 #: Steps of a text in a round; steps at most, and the mean change that ends them, when the model stands.
 INNER, LAST, STILL = 2, 100, 1e-3
 
@@ -155,10 +159,16 @@ def dominant(texts: DataFrame, key: str, words: str, *, k: int = 8, rounds: int
     kind = texts.schema[key].dataType.simpleString()
     spots = cut(tiles.mapInArrow(_spots, "tile long, term string"))
     at_random = lambda j: F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << 20)) / (1 << 20) + 0.5
-    model = spots.select("term").distinct().select("term", *(at_random(j).alias(c) for j, c in enumerate(names)))
+    model = cut(spots.select("term").distinct().select("term", *(at_random(j).alias(c) for j, c in enumerate(names))))
     state = None
-
-    def round_of(totals: np.ndarray, last: bool):
+    sizes = {r.tile: r["count"] for r in spots.groupBy("tile").count().collect()}  # a number for each tile
+    passes: list[list[int]] = [[]]
+    for (tile,) in tiles.select("tile").orderBy("tile").collect():
+        if passes[-1] and sum(sizes.get(t, 0) for t in passes[-1]) + sizes.get(tile, 0) > SENT:
+            passes.append([])
+        passes[-1].append(tile)
+
+    def round_of(own: list[int], totals: np.ndarray, last: bool):
         off = digamma(totals)
 
         def run(tile, sent):
@@ -184,19 +194,25 @@ def dominant(texts: DataFrame, key: str, words: str, *, k: int = 8, rounds: int
             row += [pa.concat_arrays([pa.nulls(len(terms), pa.binary()), pa.array([gamma.tobytes()], pa.binary())]), *(pa.array(np.append(x, 0.0)) for x in given)]
             return pa.Table.from_arrays(row, names=["tile", "term", "state", *names])
 
+        here = lambda rows: rows.where(F.col("tile").isin(own)) if len(passes) > 1 else rows
         # a model is taken for small by the planner, and would be sent through the driver
-        out = spots.join(model.hint("merge"), "term").select("tile", "term", F.lit(None).cast("binary").alias("state"), *names)
+        out = here(spots).join(model.hint("merge"), "term").select("tile", "term", F.lit(None).cast("binary").alias("state"), *names)
         if state is not None:
-            out = out.unionByName(state)
+            out = out.unionByName(here(state))
         made = f"{key} {kind}, topic long" if last else "tile long, term string, state binary, " + ", ".join(f"{c} double" for c in names)
-        return tiles.groupBy("tile").cogroup(out.groupBy("tile")).applyInArrow(run, made)
+        return here(tiles).groupBy("tile").cogroup(out.groupBy("tile")).applyInArrow(run, made)
 
     for number in range(rounds + 1):
-        model = cut(model)
         totals = np.array([x or 1.0 for x in model.agg(*(F.sum(c) for c in names)).first()])  # k numbers
-        found = round_of(totals, number == rounds)
         if number == rounds:
-            return found
-        found = cut(found)
-        state = found.where("term IS NULL")
-        model = found.where("term IS NOT NULL").groupBy("term").agg(*((F.sum(c) + eta).alias(c) for c in names))
+            return functools.reduce(DataFrame.unionByName, (cut(found) if len(passes) > 1 else found for found in (round_of(own, totals, True) for own in passes)))
+        states, given = [], None
+        for own in passes:
+            found = cut(round_of(own, totals, False))
+            states.append(cut(found.where("term IS NULL")))
+            told = found.where("term IS NOT NULL").select("term", *names)
+            given = cut((told if given is None else given.unionByName(told)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)))
+            del found, told
+            tidy(spark)
+        state = functools.reduce(DataFrame.unionByName, states)
+        model = given.select("term", *((F.col(c) + eta).alias(c) for c in names))

@@ -50,3 +50,14 @@ def test_topics_do_not_depend_on_where_rows_lie(spark, tmp_path):
 
 def test_no_rows(spark):
     assert topics.dominant(planted(spark).limit(0), "doc_id", "words").count() == 0
+
+
+def test_tiles_go_in_passes(spark, monkeypatch):
+    """Small tiles, of which a pass takes few, give the topics of one pass; what a pass writes is let go before the next."""
+    rows = rows_of(topics.dominant(planted(spark).coalesce(1), "doc_id", "words", k=3, rounds=2))
+    tidied = []
+    monkeypatch.setattr(topics, "TILE", 300)
+    monkeypatch.setattr(topics, "SENT", 1000)
+    monkeypatch.setattr(topics, "tidy", lambda s: tidied.append(s))
+    assert rows_of(topics.dominant(planted(spark).coalesce(1), "doc_id", "words", k=3, rounds=2)) == rows
+    assert len(tidied) >= 4  # two passes a round at least
